@@ -1,6 +1,6 @@
 """Every query of the library on the test tables, each with the SQL it is checked by."""
 
 from ..plans.registry import QUERIES, SQL
-from . import analytics  # noqa: F401
+from . import analytics, cleaning, quality, returns, sources  # noqa: F401
 
 __all__ = ["QUERIES", "SQL"]

@@ -76,8 +76,9 @@ _sales("velocity_class", lambda df: ops.inventory_analysis(df).select("product_i
        f"select product_id, avg_daily_sales, velocity_class from ({_INVENTORY}) v")
 _sales("velocity_counts", ops.velocity_counts,
        f"select velocity_class, count(*) as products from ({_INVENTORY}) v group by 1")
-_sales("median_broadcast", lambda df: ops.inventory_analysis(df).where("velocity_class = 'High'"),
-       f"select * from ({_INVENTORY}) v where velocity_class = 'High'")
+_sales("median_broadcast", ops.faster_than_median,
+       f"select v.* from ({_INVENTORY}) v, (select median(avg_daily_sales) as m from ({_INVENTORY}) w) x"
+       " where avg_daily_sales > m")
 _sales("compute_kpis", ops.compute_kpis, """
 with k as (select XS[revenue] as r, XS[gross_profit] as p, count(distinct order_id) as num_orders,
                   SI[quantity] as units_sold from sales)

@@ -110,6 +110,76 @@ with a as (select category, XS[marketing_spend] as s, count(distinct date) as n
 select category, R2[s/n*30e0] as current_spend, R2[s/n*36e0] as proposed_spend from a
 """
 
+# Typed sales with faults the text columns of raw_sales cannot have.
+VIEWS["odd_sales"] = """
+select date, order_id, line_id, product_id, product_name, category, customer_id, region, cost_per_unit,
+       marketing_spend, revenue,
+       case when k % 307=0 then -quantity else quantity end as quantity,
+       case when k % 503=0 then cast('Infinity' as double) when k % 389=0 then 0e0 else unit_price end as unit_price,
+       case when k % 499=0 then 120e0 when k % 701=0 then -5e0 else discount end as discount,
+       case when k % 83=0 then quantity+1 else returns end as returns,
+       case when k % 211=0 then -inventory_units when k % 2<>0 then null else inventory_units end as inventory_units
+from (select *, cast(order_id as bigint)*7 + line_id % 97 as k from sales) s
+"""
+
+# Headers as many exports would spell them: one header per order, in four spellings.
+VIEWS["export_headers"] = """
+select export_id, case pick % 4 when 0 then upper(name) when 1 then replace(name, ' ', '_')
+                  when 2 then concat('  ', name, ' ') else concat(replace(name, ' ', '-'), '!') end as header
+from (select o_custkey as export_id, cast(floor(o_orderkey/16e0) as bigint) as pick,
+             split_part('order date|quantity|sku|total sales|quanity|customer state|prodct name|platform note|'
+                     || 'sale ammount|discount rate|unit cost|return qty|stock quantitty|region|gross profit|product cose',
+                        '|', cast(1 + o_orderkey % 16 as int)) as name from orders) h
+"""
+
+# The steps of cleaning as the checking engine sees them; Spark never reads these.
+CHECK_VIEWS: dict[str, str] = {}
+
+CHECK_VIEWS["typed_sales"] = """
+select try_cast(date as date) as date, order_id, line_id, product_id, product_name, category,
+       try_cast(quantity as double) as quantity, unit_price, discount, cost_per_unit, marketing_spend,
+       cast(returns as double) as returns, customer_id, region, cast(inventory_units as double) as inventory_units
+from (select distinct * from raw_sales) r where try_cast(date as date) is not null
+"""
+
+CHECK_VIEWS["medians"] = """
+select median(quantity) as mq, median(unit_price) as mp, median(cost_per_unit) as mc,
+       median(inventory_units) as mi from typed_sales
+"""
+
+CHECK_VIEWS["filled_sales"] = """
+select date, order_id, line_id, product_id, product_name, category, coalesce(quantity, mq) as quantity,
+       coalesce(unit_price, mp) as unit_price, coalesce(discount, 0) as discount,
+       coalesce(cost_per_unit, mc) as cost_per_unit, coalesce(marketing_spend, 0) as marketing_spend,
+       coalesce(returns, 0) as returns, customer_id, region, coalesce(inventory_units, mi) as inventory_units
+from typed_sales, medians
+"""
+
+_DERIVED_SQL = """
+select *, case when revenue<>0 then R4[gross_profit/revenue] else 0e0 end as profit_margin from (
+select *, R2[revenue-cost] as gross_profit, R2[revenue-returns*net_price] as net_revenue from (
+select *, R2[quantity*net_price] as revenue, R2[quantity*cost_per_unit] as cost from (
+select *, R2[unit_price*(1e0-discount_rate)] as net_price from (
+select *, discount/100e0 as discount_rate from {source} b) d1) d2) d3) d4
+"""
+
+CHECK_VIEWS["valid_sales"] = """
+select * from filled_sales where quantity >= 0 and unit_price > 0 and cost_per_unit >= 0
+"""
+
+CHECK_VIEWS["cleaned_sales"] = _DERIVED_SQL.format(source="valid_sales")
+
+CHECK_VIEWS["strict_rows"] = """
+select date, order_id, line_id, product_id, product_name, category, try_cast(quantity as double) as quantity,
+       unit_price, coalesce(discount, 0) as discount, cost_per_unit, coalesce(marketing_spend, 0) as marketing_spend,
+       coalesce(cast(returns as double), 0) as returns, customer_id, region,
+       cast(inventory_units as double) as inventory_units
+from raw_sales
+where product_id is not null and try_cast(quantity as double) >= 0 and unit_price > 0 and cost_per_unit >= 0
+"""
+
+CHECK_VIEWS["strict_sales"] = _DERIVED_SQL.format(source="strict_rows")
+
 
 def _fill(text: str, macro: str, make) -> str:
     """Replace ``macro[...]`` from the innermost bracket outwards."""
@@ -172,17 +242,18 @@ def run_sql(spark: SparkSession, text: str, sources: dict[str, DataFrame]) -> Da
 def checker_sql(text: str) -> str:
     """The same text for the checking engine, with the views it needs in front."""
     needed: list[str] = []
+    views = VIEWS | CHECK_VIEWS
 
     def visit(body: str, me: str | None) -> None:
-        for name in _read_names(body):
-            if name in VIEWS and name != me and name not in needed:
-                visit(VIEWS[name], name)
+        for name in re.findall(r"\w+", body):
+            if name in views and name != me and name not in needed:
+                visit(views[name], name)
                 needed.append(name)
 
     visit(text, None)
     body = text.strip()
     if needed:
-        ctes = ",\n".join(f"{n} as ({VIEWS[n].strip()})" for n in needed)
+        ctes = ",\n".join(f"{n} as ({views[n].strip()})" for n in needed)
         if re.match(r"with\b", body, re.I):
             body = f"with {ctes},\n{body[4:].lstrip()}"
         else:

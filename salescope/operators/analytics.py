@@ -157,6 +157,12 @@ def inventory_analysis(df: DataFrame) -> DataFrame:
     return out.withColumns(added).orderBy(F.desc("total_units_sold"), "product_id")
 
 
+def faster_than_median(df: DataFrame) -> DataFrame:
+    """Products that sell faster than the median product."""
+    products = inventory_analysis(df)
+    return products.where(F.col("avg_daily_sales") > products.agg(F.median("avg_daily_sales")).scalar())
+
+
 def velocity_counts(df: DataFrame) -> DataFrame:
     products = inventory_analysis(df)
     return products.groupBy("velocity_class").agg(F.count(F.lit(1)).alias("products"))

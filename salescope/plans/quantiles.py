@@ -25,7 +25,7 @@ def exact_quantiles(
     numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
     bounds = numbers.agg(
         F.struct(
-            *[F.percentile_approx(c, [F.lit(e) for e in ends], F.lit(accuracy)).alias(c) for c in columns]
+            *[F.percentile_approx(c, F.array(*[F.lit(e) for e in ends]), F.lit(accuracy)).alias(c) for c in columns]
         ).alias("b")
     ).scalar()
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -50,3 +52,18 @@ def use_checkpoints(spark: SparkSession) -> None:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
     return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make the package importable for Python workers, once per application."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        package = Path(__file__).resolve().parent.parent
+        archive = shutil.make_archive(
+            os.path.join(tempfile.mkdtemp(prefix="salescope-"), package.name), "zip", package.parent, package.name
+        )
+        spark.sparkContext.addPyFile(archive)
+        _shipped.add(app)

@@ -44,13 +44,14 @@ def lookup_join(
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns if c != key] or [F.lit(0)]), F.lit(SALTS))
     salted = (
         left.join(hot, key, "left")
-        .withColumn("__salt", F.when(F.col("__hot") | F.col(key).isNull(), spread).otherwise(F.lit(0)))
+        .withColumn("__salt", F.when(F.col("__hot") | F.col(key).isNull(), spread).otherwise(F.lit(0)).cast("bigint"))
         .drop("__hot")
     )
     copies = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    copies = copies.cast("array<bigint>")
     replicated = (
         right.join(hot, key, "left")
-        .withColumn("__salt", F.explode(copies).cast("bigint"))
+        .withColumn("__salt", F.explode(copies))
         .drop("__hot")
     )
     return salted.join(replicated, [key, "__salt"], how).drop("__salt")
