@@ -23,7 +23,11 @@ TABLES = (
 VIEWS: dict[str, str] = {}
 
 VIEWS["sales"] = """
-with b as (
+select *, case when revenue<>0 then R4[gross_profit/revenue] else 0e0 end as profit_margin from (
+select *, R2[revenue-cost] as gross_profit, R2[revenue-returns*net_price] as net_revenue from (
+select *, R2[quantity*net_price] as revenue, R2[quantity*cost_per_unit] as cost from (
+select *, R2[unit_price*(1e0-discount_rate)] as net_price from (
+select *, discount/100e0 as discount_rate from (
   select cast(o.o_orderdate as date) as date,
          cast(l.l_orderkey as STR) as order_id,
          cast(l.l_linenumber as bigint)*100000 + l.l_suppkey as line_id,
@@ -45,22 +49,14 @@ with b as (
   join part p on l.l_partkey=p.p_partkey
   join customer c on o.o_custkey=c.c_custkey
   join nation n on c.c_nationkey=n.n_nationkey
-  join region r on n.n_regionkey=r.r_regionkey),
-d1 as (select *, discount/100e0 as discount_rate from b),
-d2 as (select *, R2[unit_price*(1e0-discount_rate)] as net_price from d1),
-d3 as (select *, R2[quantity*net_price] as revenue, R2[quantity*cost_per_unit] as cost from d2),
-d4 as (select *, R2[revenue-cost] as gross_profit, R2[revenue-returns*net_price] as net_revenue from d3)
-select *, case when revenue<>0 then R4[gross_profit/revenue] else 0e0 end as profit_margin from d4
+  join region r on n.n_regionkey=r.r_regionkey) b) d1) d2) d3) d4
 """
 
-_RAW_COLUMNS = (
-    "date, order_id, line_id, product_id, product_name, category, quantity, unit_price, discount,"
-    " cost_per_unit, marketing_spend, returns, customer_id, region, inventory_units"
-)
-
-VIEWS["raw_sales"] = f"""
-with k as (select *, cast(order_id as bigint)*7 + line_id % 97 as k from sales),
-f as (
+# The lines with faults; every 67th of them twice.
+VIEWS["raw_sales"] = """
+select date, order_id, line_id, product_id, product_name, category, quantity, unit_price, discount,
+       cost_per_unit, marketing_spend, returns, customer_id, region, inventory_units
+from (
   select k,
          case when k % 211=0 then 'not-a-date' else cast(date as STR) end as date,
          order_id, line_id, product_id, product_name, category,
@@ -73,10 +69,8 @@ f as (
          case when k % 61=0 then null else marketing_spend end as marketing_spend,
          case when k % 71=0 then null else returns end as returns,
          customer_id, region, inventory_units
-  from k)
-select {_RAW_COLUMNS} from f
-union all
-select {_RAW_COLUMNS} from f where k % 67=0
+  from (select *, cast(order_id as bigint)*7 + line_id % 97 as k from sales) s) f
+join (values (1), (2)) c(copy) on copy = 1 or k % 67 = 0
 """
 
 VIEWS["order_sales"] = """
@@ -94,9 +88,9 @@ from lineitem where l_returnflag='R' and l_linenumber=1
 """
 
 VIEWS["price_proposals"] = """
-with a as (select product_id, R2[XA[unit_price]] as current_price from sales group by product_id)
 select product_id, current_price,
-       R2[current_price*(0.85e0+(cast(product_id as bigint) % 7)*0.05e0)] as proposed_price from a
+       R2[current_price*(0.85e0+(cast(product_id as bigint) % 7)*0.05e0)] as proposed_price
+from (select product_id, R2[XA[unit_price]] as current_price from sales group by product_id) a
 union all select 'UNKNOWN', 100e0, 110e0
 """
 
@@ -106,8 +100,8 @@ select product_id, cast(max(inventory_units) as int) as current_inventory,
 """
 
 VIEWS["spend_proposals"] = """
-with a as (select category, XS[marketing_spend] as s, count(distinct date) as n from sales group by category)
-select category, R2[s/n*30e0] as current_spend, R2[s/n*36e0] as proposed_spend from a
+select category, R2[s/n*30e0] as current_spend, R2[s/n*36e0] as proposed_spend
+from (select category, XS[marketing_spend] as s, count(distinct date) as n from sales group by category) a
 """
 
 # Typed sales with faults the text columns of raw_sales cannot have.

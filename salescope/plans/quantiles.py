@@ -2,13 +2,14 @@
 
 A sketch gives, for each wanted rank, two values the rank must lie between. Only
 the values between them are then counted one by one; everything else is counted in
-bulk. With the sketch error 1/ACCURACY this keeps about 4/ACCURACY of the rows per
-rank, and equal values are already combined on the map side.
+bulk. With the sketch error 1/ACCURACY this keeps about 8/ACCURACY of the rows per
+rank, and equal values are already combined on the map side. Columns with no more
+than ACCURACY values are counted value by value.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,50 +17,62 @@ from pyspark.sql import functions as F
 ACCURACY = 20_000
 
 
-def exact_quantiles(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], accuracy: int = ACCURACY
-) -> DataFrame:
-    """One row (name, n, q0, q1, ...) per column, interpolated as numpy does by default."""
-    slack = 2.0 / accuracy
+def beside(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Put the columns of a global aggregate next to every row.
+
+    A global aggregate is one row by definition, so sending it to all tasks is safe.
+    """
+    return df.crossJoin(F.broadcast(one_row))
+
+
+def _counts_around(df: DataFrame, columns: Sequence[str], probs: Sequence[float], accuracy: int) -> DataFrame:
+    """(name, v, upto, n): running counts of values, exact around the wanted ranks."""
+    slack = 4.0 / accuracy
     ends = [e for p in probs for e in (max(0.0, p - slack), min(1.0, p + slack))]
+    marks = F.array(*[F.lit(e) for e in ends])
     numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
     bounds = numbers.agg(
-        F.struct(
-            *[F.percentile_approx(c, F.array(*[F.lit(e) for e in ends]), F.lit(accuracy)).alias(c) for c in columns]
-        ).alias("b")
-    ).scalar()
-
-    long = numbers.select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(c).alias("name"), F.col(c).alias("v"), bounds.getField(c).alias("ends"))
-                    for c in columns
-                ]
-            )
-        ).alias("x")
-    ).select("x.*").where(F.col("v").isNotNull())
-
-    inside = F.lit(False)
+        *[F.percentile_approx(c, marks, F.lit(accuracy)).alias(f"ends_{c}") for c in columns],
+        *[F.count(c).alias(f"n_{c}") for c in columns],
+    )
+
+    def entry(c: str) -> Column:
+        few = F.col(f"n_{c}") <= accuracy
+        return F.struct(F.lit(c).alias("name"), F.col(c).alias("v"), F.col(f"ends_{c}").alias("ends"), few.alias("few"))
+
+    long = (
+        beside(numbers, bounds)
+        .select(F.explode(F.array(*[entry(c) for c in columns])).alias("x"))
+        .select("x.*")
+        .where(F.col("v").isNotNull())
+    )
+    inside = F.col("few")
     for i in range(len(probs)):
         inside = inside | F.col("v").between(F.col("ends")[2 * i], F.col("ends")[2 * i + 1])
     below = F.array_max(F.filter("ends", lambda e: e < F.col("v")))
     counts = (
         long.select("name", F.when(inside, F.col("v")).otherwise(below).alias("v"))
         .groupBy("name", "v")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count(F.lit(1)).alias("k"))
     )
-
     running = Window.partitionBy("name").orderBy(F.col("v").asc_nulls_first())
     whole = Window.partitionBy("name")
-    ranked = counts.withColumns({"upto": F.sum("n").over(running), "all": F.sum("n").over(whole)})
+    return counts.select("name", "v", F.sum("k").over(running).alias("upto"), F.sum("k").over(whole).alias("n"))
+
+
+def _value_at(rank: Column) -> Column:
+    return F.min(F.when(F.col("upto") > rank, F.col("v")))
 
+
+def exact_quantiles(
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], accuracy: int = ACCURACY
+) -> DataFrame:
+    """One row (name, n, q0, q1, ...) per column, interpolated as numpy does by default."""
     found = []
     for i, p in enumerate(probs):
-        rank = F.lit(p) * (F.col("all") - 1)
-        for side, r in (("lo", F.floor(rank)), ("hi", F.ceil(rank))):
-            found.append(F.min(F.when(F.col("upto") > r, F.col("v"))).alias(f"{side}{i}"))
-    picked = ranked.groupBy("name").agg(F.max("all").alias("n"), *found)
+        rank = F.lit(p) * (F.col("n") - 1)
+        found += [_value_at(F.floor(rank)).alias(f"lo{i}"), _value_at(F.ceil(rank)).alias(f"hi{i}")]
+    picked = _counts_around(df, columns, probs, accuracy).groupBy("name").agg(F.max("n").alias("n"), *found)
     return picked.select("name", "n", *[_between(i, p).alias(f"q{i}") for i, p in enumerate(probs)])
 
 
@@ -74,9 +87,15 @@ def _between(i: int, p: float) -> Column:
     )
 
 
-def exact_medians(df: DataFrame, columns: Sequence[str], accuracy: int = ACCURACY) -> Column:
-    """A struct expression with the exact median of each column (null if it has no value)."""
+def exact_medians(df: DataFrame, columns: Sequence[str], accuracy: int = ACCURACY) -> DataFrame:
+    """One row with the exact median of each column (null if it has no value)."""
     rows = exact_quantiles(df, columns, [0.5], accuracy)
-    return rows.agg(
-        F.struct(*[F.max(F.when(F.col("name") == c, F.col("q0"))).alias(c) for c in columns]).alias("m")
-    ).scalar()
+    return rows.agg(*[F.max(F.when(F.col("name") == c, F.col("q0"))).alias(f"median_{c}") for c in columns])
+
+
+def value_at(
+    df: DataFrame, column: str, share: float, rank: Callable[[Column], Column], accuracy: int = ACCURACY
+) -> DataFrame:
+    """One row with the value at 0-based position ``rank(n)``, which lies near ``share`` of n."""
+    counts = _counts_around(df, [column], [share], accuracy)
+    return counts.agg(_value_at(rank(F.col("n"))).alias("value"))
