@@ -1,6 +1,8 @@
 """Every query of the library on the test tables, each with the SQL it is checked by."""
 
 from ..plans.registry import QUERIES, SQL
-from . import analytics, cleaning, features, functions, profile, quality, returns, signals, sources  # noqa: F401
+from . import (  # noqa: F401
+    analytics, cleaning, decisions, features, functions, profile, quality, returns, signals, sources,
+)
 
 __all__ = ["QUERIES", "SQL"]

@@ -24,6 +24,7 @@ NOT_FEATURES = (
 ENCODED = ("category", "region")
 TEST_SHARE = 0.2
 LEAST_ROWS = 50
+MOST_LABELS = 10_000
 TIE_BREAKERS = ("date", "order_id", "line_id", "quantity")
 
 
@@ -111,16 +112,36 @@ def ml_features(df: DataFrame) -> DataFrame:
     return out.dropna(subset=[c for c in out.columns if "lag_" in c or "rolling_" in c])
 
 
-def encode_categories(df: DataFrame, columns=ENCODED) -> DataFrame:
-    """Codes by sorted value, joined from a table of the distinct values."""
+def encode_categories(df: DataFrame, columns=ENCODED, most: int = MOST_LABELS) -> DataFrame:
+    """Codes by sorted value.
+
+    The distinct values are read first, never more than ``most`` of them. A complete
+    list is small enough to broadcast; a longer one stays a table and is joined with
+    the hot values spread.
+    """
+    names = [c for c in columns if has(df, c)]
+    if not names:
+        return df
+
+    def value(c: str) -> Column:
+        return F.coalesce(F.col(c).cast("string"), F.lit("nan"))
+
+    pairs = F.array(*[F.struct(F.lit(c).alias("field"), value(c).alias("value")) for c in names])
+    labels = df.select(F.explode(pairs).alias("x")).select("x.*").distinct()
+    listed = labels.limit(most + 1).collect()
     out = df
-    for c in columns:
-        if not has(df, c):
-            continue
-        value = F.coalesce(F.col(c).cast("string"), F.lit("nan"))
-        codes = df.select(value.alias("__value")).distinct().withColumn(
-            f"{c}_encoded", F.row_number().over(Window.orderBy("__value")) - 1)
-        out = lookup_join(out.withColumn("__value", value), codes, "__value").drop("__value")
+    for c in names:
+        keyed = out.withColumn("__value", value(c))
+        if len(listed) <= most:
+            found = sorted((r["value"] for r in listed if r["field"] == c), key=lambda v: v.encode())
+            codes = df.sparkSession.createDataFrame(
+                [(v, i) for i, v in enumerate(found)], f"__value string, {c}_encoded int")
+            out = keyed.join(F.broadcast(codes), "__value", "left").drop("__value")
+        else:
+            codes = labels.where(F.col("field") == c).select(
+                F.col("value").alias("__value"),
+                (F.row_number().over(Window.orderBy("value")) - 1).alias(f"{c}_encoded"))
+            out = lookup_join(keyed, codes, "__value").drop("__value")
     return out
 
 
