@@ -2,7 +2,9 @@
 
 Every proposal meets one history row of its product or category; its three
 scenarios are computed side by side in that row as an array, so there is no join
-or shuffle per scenario, and a recommendation needs no pivot.
+or shuffle per scenario, and a recommendation needs no pivot. Proposals meet history in plain joins on
+purpose: the planner broadcasts a history it has seen to be small, and otherwise
+splits partitions of often-proposed products at run time.
 """
 
 from __future__ import annotations
@@ -14,7 +16,6 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import clamp, exact_avg, exact_sum, ratio, round_even
 from ..functions.text import RUPEE, fixed, grouped
-from ..plans.skew import lookup_join
 from ..schema import has
 from .analytics import historical_roas
 
@@ -45,12 +46,36 @@ EVIDENCE = (
 # ---- history ----------------------------------------------------------------
 
 
+def _product_days(sales: DataFrame) -> DataFrame:
+    """Sums and counts per product and day, the base of everything said of a product.
+
+    At scale this is far smaller than the order lines, and a hot product is already
+    spread over its days.
+    """
+    known = [c for c in ("cost_per_unit", "revenue") if has(sales, c)]
+    name = F.min("product_name") if has(sales, "product_name") else F.min("product_id")
+    return sales.where(F.col("product_id").isNotNull()).groupBy("product_id", "date").agg(
+        name.alias("product_name"), F.count(F.lit(1)).alias("rows"),
+        exact_sum("unit_price").alias("price_sum"), F.count("unit_price").alias("price_n"),
+        F.sum("quantity").cast("double").alias("total_qty"), F.count("quantity").alias("qty_n"),
+        *[f for c in known for f in (exact_sum(c).alias(f"{c}_sum"), F.count(c).alias(f"{c}_n"))],
+    ).withColumn("avg_price", F.try_divide("price_sum", "price_n"))
+
+
 def daily_price_quantity(sales: DataFrame) -> DataFrame:
     """Mean price, units and rows per product and day."""
-    return sales.where(F.col("product_id").isNotNull() & F.col("date").isNotNull()).groupBy("product_id", "date").agg(
-        exact_avg("unit_price").alias("avg_price"), F.sum("quantity").cast("double").alias("total_qty"),
-        F.count(F.lit(1)).alias("rows"),
-    )
+    days = _product_days(sales).where(F.col("date").isNotNull())
+    return days.select("product_id", "date", "avg_price", "total_qty", "rows")
+
+
+def _with_changes(days: DataFrame) -> DataFrame:
+    w = Window.partitionBy("product_id").orderBy("date")
+
+    def step(c: str) -> Column:
+        dated = F.when(F.col("date").isNotNull(), F.col(c))
+        return F.try_divide(dated, F.lag(dated).over(w)) - F.lit(1.0)
+
+    return days.withColumns({"price_change": step("avg_price"), "qty_change": step("total_qty")})
 
 
 def price_changes(sales: DataFrame) -> DataFrame:
@@ -58,13 +83,45 @@ def price_changes(sales: DataFrame) -> DataFrame:
 
     The window runs over days of a product, at most one row per calendar day.
     """
-    w = Window.partitionBy("product_id").orderBy("date")
+    return _with_changes(daily_price_quantity(sales))
 
-    def step(c: str) -> Column:
-        return F.try_divide(F.col(c), F.lag(c).over(w)) - F.lit(1.0)
 
-    return daily_price_quantity(sales).withColumns(
-        {"price_change": step("avg_price"), "qty_change": step("total_qty")})
+def _elasticity_parts() -> list[Column]:
+    both = F.col("price_change").isNotNull() & F.col("qty_change").isNotNull()
+    p, q = F.when(both, F.col("price_change")), F.when(both, F.col("qty_change"))
+
+    def flat(c: str) -> Column:
+        dated = F.when(F.col("date").isNotNull(), F.col(c))
+        return (F.min(dated) == F.max(dated)) & (F.count(dated) > 1)
+
+    return [
+        F.sum("rows").alias("rows"), F.count_if(both).alias("changes"), F.regr_slope(q, p).alias("slope"),
+        (F.min(p) < F.max(p)).alias("moves"), flat("avg_price").alias("flat_price"), flat("total_qty").alias("flat_qty"),
+    ]
+
+
+def _elasticity() -> Column:
+    no = F.lit(False)
+    usable = (
+        (F.col("rows") >= ELASTICITY_ROWS) & ~F.coalesce("flat_price", no) & ~F.coalesce("flat_qty", no)
+        & (F.col("changes") >= ELASTICITY_CHANGES) & F.coalesce("moves", no) & F.col("slope").isNotNull()
+    )
+    return F.when(usable, round_even(clamp("slope", *ELASTICITY_RANGE), 2)).otherwise(F.lit(DEFAULT_ELASTICITY))
+
+
+def _history_parts(days: DataFrame) -> list[Column]:
+    def avg(total: Column, n: str) -> Column:
+        return F.try_divide(total, F.sum(n))
+
+    parts = [
+        F.min("product_name").alias("product_name"), F.sum("total_qty").alias("total_qty"),
+        avg(F.sum("total_qty"), "qty_n").alias("avg_qty"), avg(exact_sum("price_sum"), "price_n").alias("avg_price"),
+    ]
+    if has(days, "cost_per_unit_sum"):
+        parts.append(avg(exact_sum("cost_per_unit_sum"), "cost_per_unit_n").alias("avg_cost"))
+    if has(days, "revenue_sum"):
+        parts.append(F.coalesce(exact_sum("revenue_sum"), F.lit(0.0)).alias("total_revenue"))
+    return parts
 
 
 def price_elasticity(sales: DataFrame) -> DataFrame:
@@ -73,40 +130,29 @@ def price_elasticity(sales: DataFrame) -> DataFrame:
     The slope equals correlation times the ratio of deviations. Products with too
     little history or no variation, or without a slope, get the default.
     """
-    days = price_changes(sales)
-    both = F.col("price_change").isNotNull() & F.col("qty_change").isNotNull()
-    p, q = F.when(both, F.col("price_change")), F.when(both, F.col("qty_change"))
-    per = days.groupBy("product_id").agg(
-        F.sum("rows").alias("rows"), F.count_if(both).alias("changes"), F.regr_slope(q, p).alias("slope"),
-        (F.min(p) < F.max(p)).alias("moves"),
-        ((F.min("avg_price") == F.max("avg_price")) & (F.count("avg_price") > 1)).alias("flat_price"),
-        ((F.min("total_qty") == F.max("total_qty")) & (F.count("total_qty") > 1)).alias("flat_qty"),
-    )
-    usable = (
-        (F.col("rows") >= ELASTICITY_ROWS) & ~F.col("flat_price") & ~F.col("flat_qty")
-        & (F.col("changes") >= ELASTICITY_CHANGES) & F.coalesce("moves", F.lit(False)) & F.col("slope").isNotNull()
-    )
-    value = F.when(usable, round_even(clamp("slope", *ELASTICITY_RANGE), 2)).otherwise(F.lit(DEFAULT_ELASTICITY))
-    return per.select("product_id", value.alias("estimated_elasticity"))
+    per = _with_changes(_product_days(sales)).groupBy("product_id").agg(*_elasticity_parts())
+    return per.select("product_id", _elasticity().alias("estimated_elasticity"))
 
 
 def product_history(sales: DataFrame) -> DataFrame:
     """One row per product with the averages and totals scenarios start from."""
-    optional = []
-    if has(sales, "revenue"):
-        optional.append(F.coalesce(exact_sum("revenue"), F.lit(0.0)).alias("total_revenue"))
-    name = F.min("product_name") if has(sales, "product_name") else F.first("product_id")
-    return sales.where(F.col("product_id").isNotNull()).groupBy("product_id").agg(
-        name.alias("product_name"), exact_avg("quantity").alias("avg_qty"), exact_avg("cost_per_unit").alias("avg_cost"),
-        exact_avg("unit_price").alias("avg_price"), F.sum("quantity").cast("double").alias("total_qty"), *optional,
-    )
+    days = _product_days(sales)
+    return days.groupBy("product_id").agg(*_history_parts(days))
+
+
+def product_history_and_elasticity(sales: DataFrame) -> DataFrame:
+    """Both from one scan: the window and the aggregate share the product partitioning."""
+    days = _with_changes(_product_days(sales))
+    per = days.groupBy("product_id").agg(*_history_parts(days), *_elasticity_parts())
+    return per.withColumn("estimated_elasticity", _elasticity())
 
 
 def demand_30d(base: DataFrame, forecast: DataFrame | None) -> DataFrame:
     """Adds ``demand``: the forecast if there is one and it is not zero, else thirty
     times the mean quantity; ``from_forecast`` tells which."""
     if forecast is not None:
-        base = lookup_join(base, forecast.select("product_id", F.col("demand_30d").alias("forecast")), "product_id")
+        totals = forecast.select("product_id", F.col("demand_30d").alias("forecast"))
+        base = base.join(totals, "product_id", "left")
     else:
         base = base.withColumn("forecast", F.lit(None).cast("double"))
     known = F.nullif("forecast", F.lit(0.0))
@@ -114,8 +160,8 @@ def demand_30d(base: DataFrame, forecast: DataFrame | None) -> DataFrame:
         "from_forecast": known.isNotNull(), "demand": F.coalesce(known, F.col("avg_qty") * MONTH_DAYS)})
 
 
-def _with_product(sales: DataFrame, proposals: DataFrame, history: DataFrame, forecast: DataFrame | None) -> DataFrame:
-    joined = lookup_join(proposals, history.withColumn("known", F.lit(True)), "product_id")
+def _with_product(proposals: DataFrame, history: DataFrame, forecast: DataFrame | None) -> DataFrame:
+    joined = proposals.join(history.withColumn("known", F.lit(True)), "product_id", "left")
     missing = F.concat(F.lit("No data found for product "), F.col("product_id"))
     joined = joined.withColumn("error", F.when(F.col("known").isNull(), missing)).drop("known")
     return demand_30d(joined, forecast)
@@ -142,8 +188,7 @@ def _say(*parts) -> Column:
 
 def simulate_pricing(sales: DataFrame, proposals: DataFrame, forecast: DataFrame | None = None) -> DataFrame:
     """Proposals (product_id, current_price, proposed_price) with summary and scenarios."""
-    history = product_history(sales).join(price_elasticity(sales), "product_id", "left")
-    base = _with_product(sales, proposals, history, forecast)
+    base = _with_product(proposals, product_history_and_elasticity(sales), forecast)
     now, new, cost, demand = (F.col(c) for c in ("current_price", "proposed_price", "avg_cost", "demand"))
     step = ratio(new - now, now)
     margin_now, margin_new = ratio(now - cost, now), ratio(new - cost, new)
@@ -191,7 +236,7 @@ def simulate_pricing(sales: DataFrame, proposals: DataFrame, forecast: DataFrame
 
 def simulate_inventory(sales: DataFrame, proposals: DataFrame, forecast: DataFrame | None = None) -> DataFrame:
     """Proposals (product_id, current_inventory, proposed_purchase) with summary and scenarios."""
-    base = _with_product(sales, proposals, product_history(sales), forecast)
+    base = _with_product(proposals, product_history(sales), forecast)
     stock = F.col("current_inventory") + F.col("proposed_purchase")
     cost, price, demand = F.col("avg_cost"), F.col("avg_price"), F.col("demand")
     capital = F.col("proposed_purchase") * cost
@@ -251,7 +296,7 @@ def simulate_marketing(sales: DataFrame, proposals: DataFrame) -> DataFrame:
         label.alias("__key"), F.col("roas").alias("historical_roas"), F.col("data_points"))
     margins = category_margin(sales).select(label.alias("__key"), "avg_margin")
     history = roas.join(margins, "__key", "left")
-    base = lookup_join(proposals.withColumn("__key", label), history, "__key")
+    base = proposals.withColumn("__key", label).join(history, "__key", "left")
     r, margin = F.col("historical_roas"), F.col("avg_margin")
     none = (F.coalesce(r, F.lit(0.0)) == 0.0)
     base = base.withColumn("error", F.when(none, F.lit("No historical marketing data available for estimation.")))

@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from .quantiles import beside
+
 # A key is hot when it holds more rows than both of these allow. At most
 # 1 / HOT_SHARE keys can exceed the share, so a list of hot keys has a proven
 # bound and may be broadcast however large the table is.
@@ -21,9 +23,9 @@ def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE, floor: int = HOT
     Only the key column is read, and counting combines on the map side.
     """
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("__rows"))
-    everything = counts.agg(F.sum("__rows")).scalar()
-    limit = F.greatest(F.lit(float(floor)), everything * F.lit(share))
-    return counts.where(F.col(key).isNotNull() & (F.col("__rows") > limit)).select(key)
+    limit = F.greatest(F.lit(float(floor)), F.col("__all") * F.lit(share))
+    totals = counts.agg(F.sum("__rows").alias("__all"))
+    return beside(counts, totals).where(F.col(key).isNotNull() & (F.col("__rows") > limit)).select(key)
 
 
 def lookup_join(
