@@ -2,7 +2,8 @@
 
 from ..plans.registry import QUERIES, SQL
 from . import (  # noqa: F401
-    analytics, cleaning, decisions, features, functions, profile, quality, returns, signals, sources,
+    analytics, cleaning, decisions, features, forecast, functions, models, profile, quality, returns, signals,
+    sources,
 )
 
 __all__ = ["QUERIES", "SQL"]
