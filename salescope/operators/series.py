@@ -60,7 +60,11 @@ def fill_days(observed: DataFrame) -> DataFrame:
 
     Each observed day also emits the empty days up to the next one, so no calendar
     table is joined, and later windows find the rows already partitioned by series.
+    The number of partitions is set here: few observed rows can become many days, so
+    partitions merged by their size before that would leave cores idle after it.
     """
+    parts = int(observed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    observed = observed.repartition(parts, "series_id")
     until = F.coalesce(F.date_sub(F.lead("date").over(_by_day()), 1), F.col("date"))
     spans = observed.withColumn("until", until)
     days = spans.select("series_id", "date", "quantity", F.explode(F.sequence("date", "until")).alias("day"))
@@ -92,14 +96,15 @@ def positions(series: DataFrame) -> DataFrame:
 def daily_features(series: DataFrame) -> DataFrame:
     """Model inputs per day from the days before it. A series has one row per calendar
     day, so its window stays small however many order lines it stands for."""
-    def past(k: int):
-        return _by_day().rowsBetween(-k, -1)
+    w = _by_day()
+
+    def past(k: int) -> WindowSpec:
+        return w.rowsBetween(-k, -1)
 
     zero = F.lit(0.0)
-    numbered = positions(series)
-    return numbered.withColumns({
+    return positions(series).withColumns({
         **cycle(F.col("date")), "trend_days": F.col("day"),
-        **{f"lag_{k}": F.coalesce(F.lag("quantity", k).over(_by_day()), zero) for k in LAG_DAYS},
+        **{f"lag_{k}": F.coalesce(F.lag("quantity", k).over(w), zero) for k in LAG_DAYS},
         **{f"mean_{k}": F.coalesce(F.avg("quantity").over(past(k)), zero) for k in ROLLING_DAYS},
         **{f"std_{k}": F.coalesce(F.stddev_pop("quantity").over(past(k)), zero) for k in ROLLING_DAYS},
     })
