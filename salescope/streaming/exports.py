@@ -31,14 +31,15 @@ def incremental_load(
 
     def take(batch: DataFrame, number: int) -> None:
         text = batch.select(*[blank_to_null(F.col(f"`{c}`")).alias(c) for c in batch.columns])
-        rows, _, _ = map_columns(normalize_headers(text))
-        rows = type_columns(rows.persist())
+        named, _, _ = map_columns(normalize_headers(text))
+        cached = named.persist()
+        rows = type_columns(cached)
         issues = validate(prepare(rows) if prepare else rows)
         issues.write.mode("overwrite").parquet(f"{issues_out}/batch={number}")
         found = report(spark.read.parquet(f"{issues_out}/batch={number}")).first()
         if found["is_valid"]:
             clean_sales(prepare(rows) if prepare else rows).write.mode("overwrite").parquet(f"{out}/batch={number}")
-        batch.unpersist()
+        cached.unpersist()
 
     return (
         files.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
