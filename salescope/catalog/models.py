@@ -7,7 +7,7 @@ from ..operators import features as feats
 from ..operators import models as ops
 from ..operators.series import forecast_totals
 from ..plans.registry import query
-from ..plans.session import scratch
+from ..plans.session import written
 
 SMALL = {"trees": 8, "depth": 5}
 
@@ -15,9 +15,8 @@ SMALL = {"trees": 8, "depth": 5}
 def _prepared(spark, sf):
     """Train and test rows with a feature vector, and the feature names."""
     lines = feats.ml_features(view(spark, sf, "sales"))
-    path = scratch(spark, "lines")
-    feats.select_features(lines, keep=("date", "product_id", "order_id", "line_id"), least=False).write.parquet(path)
-    rows = feats.chronological_split(spark.read.parquet(path))
+    keep = ("date", "product_id", "order_id", "line_id")
+    rows = feats.chronological_split(written(feats.select_features(lines, keep=keep, least=False), "lines"))
     names = [c for c in rows.columns if c not in (
         "date", "product_id", "order_id", "line_id", "quantity", "is_test")]
     made = ops.assemble(rows, names, keep=("order_id", "line_id", "is_test"))

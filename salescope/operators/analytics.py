@@ -129,6 +129,12 @@ def velocity_class(speed: Column, median: Column) -> Column:
     )
 
 
+def stock_cover() -> Column:
+    """Days the average stock lasts at the average sales, from the rounded means."""
+    speed = F.col("avg_daily_sales")
+    return F.when(speed > 0, round_even(F.col("avg_inventory") / speed, 1)).otherwise(F.lit(float("inf")))
+
+
 def inventory_analysis(df: DataFrame) -> DataFrame:
     """Stock, speed of sale, days of cover and capital per product, most sold first.
 
@@ -147,13 +153,11 @@ def inventory_analysis(df: DataFrame) -> DataFrame:
         ("cost_per_unit", "avg_cost", mean("cost_per_unit")),
     ])
     out = _known(df, *PRODUCT_KEYS).groupBy(*PRODUCT_KEYS).agg(*metrics)
-    speed = F.col("avg_daily_sales")
     median = out.agg(F.median("avg_daily_sales")).scalar()
-    cover = F.when(speed > 0, round_even(F.col("avg_inventory") / speed, 1)).otherwise(F.lit(float("inf")))
-    added = {"stock_cover_days": cover}
+    added = {"stock_cover_days": stock_cover()}
     if has(df, "cost_per_unit"):
         added["inventory_capital"] = round_even(F.col("avg_inventory") * F.col("avg_cost"), 2)
-    added["velocity_class"] = velocity_class(speed, median)
+    added["velocity_class"] = velocity_class(F.col("avg_daily_sales"), median)
     return out.withColumns(added).orderBy(F.desc("total_units_sold"), "product_id")
 
 

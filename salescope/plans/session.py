@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "salescope", master: str | None = None, **conf: str) -> SparkSession:
@@ -43,17 +43,22 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def use_checkpoints(spark: SparkSession) -> None:
-    """Point checkpoint() at the shared folder unless the cluster already did."""
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
     return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared folder, for plans that read them many times.
+
+    It is computed once, survives lost executors and cuts the lineage. The folder is
+    the cluster's scratch space; its files may be removed when the application ends.
+    """
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 _shipped: set[str] = set()
 
 
