@@ -1,5 +1,7 @@
 """Aggregate tables, key figures, rankings and baselines."""
 
+from pyspark.sql import functions as F
+
 from ..fixtures import view
 from ..operators import analytics as ops
 from ..plans.registry import query
@@ -124,3 +126,7 @@ _sales("year_month", lambda df: df.select("order_id", "line_id", ops.year_month(
        "select order_id, line_id, strftime(date, '%Y-%m') as year_month from sales")
 _sales("filter_spend", lambda df: ops.spending_rows(df).select("order_id", "line_id", "marketing_spend"),
        "select order_id, line_id, marketing_spend from sales where marketing_spend > 0")
+_sales("filter_product", lambda df: df.groupBy("product_id").agg(F.count(F.lit(1)).alias("rows")),
+       "select product_id, count(*) as rows from sales group by 1")
+_sales("filter_category", lambda df: df.groupBy("category").agg(F.count(F.lit(1)).alias("rows")),
+       "select category, count(*) as rows from sales group by 1")

@@ -7,7 +7,7 @@ from math import pi
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..schema import has, require
+from ..schema import require
 
 # Look-backs in days, the least history, and the fold rule.
 LAG_DAYS = (1, 7, 14, 28)
@@ -37,22 +37,23 @@ def _by_day() -> WindowSpec:
 
 
 def daily_demand(df: DataFrame, overall: bool = True, products: bool = True) -> DataFrame:
-    """Units per series and observed day. The overall series is summed from the product
-    days, so the order lines are read and combined once."""
+    """Units per series and observed day.
+
+    With both kinds of series the order lines are read once: the product days, which
+    are far fewer, are then counted a second time under the overall name.
+    """
     require(df, ["date", "quantity"], "Forecasting")
-    if products:
-        require(df, ["product_id"], "Product forecasting")
-    keys = ["product_id", "date"] if has(df, "product_id") else ["date"]
     dated = df.where(F.col("date").isNotNull() & F.col("quantity").isNotNull())
-    days = dated.groupBy(*keys).agg(F.sum("quantity").cast("double").alias("quantity"))
-    parts = []
-    if products:
-        named = days.where(F.col("product_id").isNotNull())
-        parts.append(named.select(F.col("product_id").cast("string").alias("series_id"), "date", "quantity"))
-    if overall:
-        every = days.groupBy("date").agg(F.sum("quantity").alias("quantity"))
-        parts.append(every.select(F.lit(OVERALL).alias("series_id"), "date", "quantity"))
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    units = F.sum("quantity").cast("double").alias("quantity")
+    if not products:
+        return dated.groupBy("date").agg(units).select(F.lit(OVERALL).alias("series_id"), "date", "quantity")
+    require(df, ["product_id"], "Product forecasting")
+    product = F.col("product_id").cast("string").alias("series_id")
+    if not overall:
+        return dated.where(F.col("product_id").isNotNull()).groupBy(product, "date").agg(units)
+    days = dated.groupBy(product, "date").agg(units)
+    names = F.explode(F.array_compact(F.array("series_id", F.lit(OVERALL)))).alias("series_id")
+    return days.select(names, "date", "quantity").groupBy("series_id", "date").agg(F.sum("quantity").alias("quantity"))
 
 
 def fill_days(observed: DataFrame) -> DataFrame:
