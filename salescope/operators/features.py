@@ -180,7 +180,7 @@ def chronological_split(df: DataFrame, date: str = "date", test_share: float = T
 
 def ordered_split(df: DataFrame, order: str, test_share: float = TEST_SHARE) -> DataFrame:
     """For tables without dates: the first rows along a unique numeric key train."""
-    first_test = value_at(df, order, 1 - test_share, lambda n: F.floor(n * F.lit(1 - test_share)))
+    first_test = value_at(df, order, lambda n: F.floor(n * F.lit(1 - test_share)))
     return beside(df, first_test).withColumn("is_test", F.col(order) >= F.col("value")).drop("value")
 
 

@@ -1,10 +1,9 @@
 """Exact quantiles of large columns without gathering their values.
 
-A sketch gives, for each wanted rank, two values the rank must lie between. Only
-the values between them are then counted one by one; everything else is counted in
-bulk. With the sketch error 1/ACCURACY this keeps about 8/ACCURACY of the rows per
-rank, and equal values are already combined on the map side. Columns with no more
-than ACCURACY values are counted value by value.
+Values are first counted by bucket of a fixed, order-keeping scale. The running
+counts tell which bucket holds each wanted rank; only the values of those buckets
+are then counted one by one. Both counts combine on the map side and spread over
+all tasks, no sketch has to be merged in one place, and equal values cost nothing.
 """
 
 from __future__ import annotations
@@ -14,7 +13,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ACCURACY = 20_000
+# Buckets per doubling of 1 + |value|: about a hundred-thousandth of a value wide.
+FINENESS = 65_536
 
 
 def beside(df: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -25,39 +25,34 @@ def beside(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(one_row))
 
 
-def _counts_around(df: DataFrame, columns: Sequence[str], probs: Sequence[float], accuracy: int) -> DataFrame:
-    """(name, v, upto, n): running counts of values, exact around the wanted ranks."""
-    slack = 4.0 / accuracy
-    ends = [e for p in probs for e in (max(0.0, p - slack), min(1.0, p + slack))]
-    marks = F.array(*[F.lit(e) for e in ends])
-    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    bounds = numbers.agg(
-        *[F.percentile_approx(c, marks, F.lit(accuracy)).alias(f"ends_{c}") for c in columns],
-        *[F.count(c).alias(f"n_{c}") for c in columns],
-    )
+def bucket(v: Column, fineness: int = FINENESS) -> Column:
+    """A whole number that never falls when the value rises."""
+    return F.floor(F.signum(v) * F.log2(F.abs(v) + 1.0) * F.lit(float(fineness)))
 
-    def entry(c: str) -> Column:
-        few = F.col(f"n_{c}") <= accuracy
-        return F.struct(F.lit(c).alias("name"), F.col(c).alias("v"), F.col(f"ends_{c}").alias("ends"), few.alias("few"))
 
-    long = (
-        beside(numbers, bounds)
-        .select(F.explode(F.array(*[entry(c) for c in columns])).alias("x"))
-        .select("x.*")
-        .where(F.col("v").isNotNull())
-    )
-    inside = F.col("few")
-    for i in range(len(probs)):
-        inside = inside | F.col("v").between(F.col("ends")[2 * i], F.col("ends")[2 * i + 1])
-    below = F.array_max(F.filter("ends", lambda e: e < F.col("v")))
-    counts = (
-        long.select("name", F.when(inside, F.col("v")).otherwise(below).alias("v"))
-        .groupBy("name", "v")
-        .agg(F.count(F.lit(1)).alias("k"))
-    )
-    running = Window.partitionBy("name").orderBy(F.col("v").asc_nulls_first())
+def _counts_around(
+    df: DataFrame, columns: Sequence[str], ranks: Callable[[Column], list[Column]], fineness: int
+) -> DataFrame:
+    """(name, v, upto, n): values of the buckets holding a wanted rank, with the number
+    of rows up to and including each value."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in columns])
+    long = df.select(F.explode(pairs).alias("x")).select("x.*").where(F.col("v").isNotNull())
+    placed = long.withColumn("b", bucket(F.col("v"), fineness))
+
     whole = Window.partitionBy("name")
-    return counts.select("name", "v", F.sum("k").over(running).alias("upto"), F.sum("k").over(whole).alias("n"))
+    coarse = placed.groupBy("name", "b").agg(F.count(F.lit(1)).alias("k")).select(
+        "name", "b", "k", F.sum("k").over(whole.orderBy("b")).alias("upto"), F.sum("k").over(whole).alias("n"))
+    before = F.col("upto") - F.col("k")
+    wanted = F.lit(False)
+    for r in ranks(F.col("n")):
+        wanted = wanted | ((r >= before) & (r < F.col("upto")))
+    # At most one bucket per column and rank.
+    marks = coarse.where(wanted).select("name", "b", before.alias("before"), "n")
+
+    fine = placed.join(F.broadcast(marks), ["name", "b"]).groupBy("name", "b", "v", "before", "n").agg(
+        F.count(F.lit(1)).alias("k"))
+    running = F.sum("k").over(Window.partitionBy("name", "b").orderBy("v"))
+    return fine.select("name", "v", (F.col("before") + running).alias("upto"), "n")
 
 
 def _value_at(rank: Column) -> Column:
@@ -65,14 +60,15 @@ def _value_at(rank: Column) -> Column:
 
 
 def exact_quantiles(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], accuracy: int = ACCURACY
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], fineness: int = FINENESS
 ) -> DataFrame:
     """One row (name, n, q0, q1, ...) per column, interpolated as numpy does by default."""
-    found = []
-    for i, p in enumerate(probs):
-        rank = F.lit(p) * (F.col("n") - 1)
-        found += [_value_at(F.floor(rank)).alias(f"lo{i}"), _value_at(F.ceil(rank)).alias(f"hi{i}")]
-    picked = _counts_around(df, columns, probs, accuracy).groupBy("name").agg(F.max("n").alias("n"), *found)
+    def ends(n: Column) -> list[Column]:
+        return [side(F.lit(p) * (n - 1)) for p in probs for side in (F.floor, F.ceil)]
+
+    values = [_value_at(r) for r in ends(F.col("n"))]
+    found = [v.alias(f"{('lo', 'hi')[i % 2]}{i // 2}") for i, v in enumerate(values)]
+    picked = _counts_around(df, columns, ends, fineness).groupBy("name").agg(F.max("n").alias("n"), *found)
     return picked.select("name", "n", *[_between(i, p).alias(f"q{i}") for i, p in enumerate(probs)])
 
 
@@ -87,15 +83,13 @@ def _between(i: int, p: float) -> Column:
     )
 
 
-def exact_medians(df: DataFrame, columns: Sequence[str], accuracy: int = ACCURACY) -> DataFrame:
+def exact_medians(df: DataFrame, columns: Sequence[str], fineness: int = FINENESS) -> DataFrame:
     """One row with the exact median of each column (null if it has no value)."""
-    rows = exact_quantiles(df, columns, [0.5], accuracy)
+    rows = exact_quantiles(df, columns, [0.5], fineness)
     return rows.agg(*[F.max(F.when(F.col("name") == c, F.col("q0"))).alias(f"median_{c}") for c in columns])
 
 
-def value_at(
-    df: DataFrame, column: str, share: float, rank: Callable[[Column], Column], accuracy: int = ACCURACY
-) -> DataFrame:
-    """One row with the value at 0-based position ``rank(n)``, which lies near ``share`` of n."""
-    counts = _counts_around(df, [column], [share], accuracy)
+def value_at(df: DataFrame, column: str, rank: Callable[[Column], Column], fineness: int = FINENESS) -> DataFrame:
+    """One row with the value at the 0-based position ``rank(n)``."""
+    counts = _counts_around(df, [column], lambda n: [rank(n)], fineness)
     return counts.agg(_value_at(rank(F.col("n"))).alias("value"))

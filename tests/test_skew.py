@@ -74,13 +74,14 @@ def test_small_quantiles_are_exact(spark, n):
         assert r[f"q{i}"] == pytest.approx(np.percentile(values, p), abs=1e-12)
 
 
+@pytest.mark.parametrize("fineness", [1, 65536])
 @pytest.mark.parametrize("shape", ["spread", "ties", "outliers"])
-def test_bracketed_quantiles_are_exact(spark, shape):
+def test_quantiles_are_exact_for_any_buckets(spark, shape, fineness):
     rnd = np.random.default_rng(3)
     values = {"spread": rnd.normal(size=20000), "ties": rnd.integers(0, 9, 20000).astype(float),
               "outliers": np.concatenate([rnd.normal(size=19990), [1e12] * 10])}[shape]
     df = spark.createDataFrame([(float(v),) for v in values], "v double").repartition(7)
-    r = quantiles.exact_quantiles(df, ["v"], [0.25, 0.5, 0.9], accuracy=500).first()
+    r = quantiles.exact_quantiles(df, ["v"], [0.25, 0.5, 0.9], fineness=fineness).first()
     for i, p in enumerate((25, 50, 90)):
         assert r[f"q{i}"] == pytest.approx(np.percentile(values, p), rel=1e-12)
     assert r["n"] == 20000
@@ -88,8 +89,8 @@ def test_bracketed_quantiles_are_exact(spark, shape):
 
 def test_value_at_rank(spark):
     df = spark.range(5000).select(((F.col("id") * 7) % 5000).alias("k")).repartition(5)
-    for accuracy in (100, 20000):
-        got = quantiles.value_at(df, "k", 0.8, lambda n: F.floor(n * F.lit(0.8)), accuracy).first()["value"]
+    for fineness in (1, 65536):
+        got = quantiles.value_at(df, "k", lambda n: F.floor(n * F.lit(0.8)), fineness).first()["value"]
         assert got == 4000
 
 
