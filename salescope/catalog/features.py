@@ -1,6 +1,5 @@
 """Line features, splits, scaling and future rows."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..fixtures import view

@@ -83,11 +83,8 @@ select 'min_rows' as rule, cast(null as varchar) as field, 'warning' as severity
        cast(null as double) as pct from (select region from sales group by region) r having count(*) < 50""")(
     lambda spark, sf: ops.quality_issues(_by_region(spark, sf)).where("rule = 'min_rows'").select(*SHOWN))
 
-_ALL = " union all ".join([_TEXT, _DATES, _RAW_GAPS, _REPEATS, _FREE, _DISCOUNT.format("raw_sales"),
-                           _count("returns_exceed", "'returns'", "error", "raw_sales", "false"),
-                           "select 'sale', 'x', 'x', 0, 0e0 from raw_sales where false"])
-_rule_free = "select * from (" + _ALL + ") a"
-query("dq_issues", _rule_free)(
+_ALL = " union all ".join([_TEXT, _DATES, _RAW_GAPS, _REPEATS, _FREE, _DISCOUNT.format("raw_sales")])
+query("dq_issues", f"select * from ({_ALL}) a")(
     lambda spark, sf: ops.validate(view(spark, sf, "raw_sales")).where("rule <> 'optional_missing'").select(*SHOWN))
 query("dq_report", f"""
 select e as errors, w as warnings, e + w as total_issues, e = 0 as is_valid,

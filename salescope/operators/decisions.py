@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import clamp, exact_avg, exact_sum, ratio, round_even
+from ..functions.numeric import clamp, exact_sum, ratio, round_even
 from ..functions.text import RUPEE, fixed, grouped
 from ..schema import has
 from .analytics import historical_roas

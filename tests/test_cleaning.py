@@ -108,6 +108,25 @@ def test_returns_split_without_loss(frame):
     assert returns.attach_returns(sold, back).count() == 4
 
 
+def test_returns_with_a_hot_order(spark):
+    """A third of the sales share one order, a third have none; salting changes nothing."""
+    from salescope.plans import skew
+
+    rows = [("hot" if i % 3 == 0 else None if i % 3 == 1 else f"o{i}", 1, 10.0) for i in range(3000)]
+    sold = spark.createDataFrame(rows, "order_id string, quantity int, revenue double")
+    back = spark.createDataFrame([(f"o{i}", 1, 2.0) for i in range(2, 3000, 30)] + [("hot", 1, 5.0)] * 50,
+                                 "order_id string, quantity int, revenue double")
+    plain = returns.attach_returns(sold, back)
+    floor, skew.lookup_join.__defaults__ = skew.lookup_join.__defaults__, ("left", 0.0, 10)
+    try:
+        salted = returns.attach_returns(sold, back)
+        assert salted.count() == 3000 and salted.exceptAll(plain).count() == 0
+        assert salted.agg(F.sum("returned_revenue")).first()[0] == 200.0
+        assert returns.returns_unmatched(sold, back).count() == 50
+    finally:
+        skew.lookup_join.__defaults__ = floor
+
+
 def test_return_guards(frame):
     sold = frame("order_id string, quantity int, revenue double, returns int", [("A", 1, 10.0, 1)])
     back = frame("order_id string, quantity int, revenue double", [("A", 1, 4.0)])
