@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows that one ordered block of a running total holds on average.
-BLOCK_ROWS = 50_000
+BLOCK_ROWS = 2_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,23 +68,33 @@ def byte_codes(data: bytes | bytearray) -> np.ndarray:
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOW_BYTES = np.array([(1 << (8 * i)) - 1 for i in range(8)] + [(1 << 64) - 1], np.uint64)
 
+#: Classes of bytes: 0 stands between words; a word is a run of one other class.
+BY_SPACE = np.ones(256, np.uint8)
+BY_SPACE[[0, 9, 10, 11, 12, 13, 32]] = 0
+LETTERS = np.zeros(256, np.uint8)
+LETTERS[128:] = 1
+LETTERS[[*range(48, 58), *range(65, 91), *range(97, 123)]] = 1
+LETTERS_AND_SIGNS = np.where(BY_SPACE == 0, 0, np.where(LETTERS == 1, 1, 2)).astype(np.uint8)
 
-def word_hashes(data: bytes, spaces: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, start, end) of each word of a byte string, A-Z lower-cased; ``spaces`` tells the bytes between words.
 
-    The hash of a word is built from eight of its bytes at a time, so it costs a few array passes for the whole string.
+def word_hashes(
+    data: bytes, classes: np.ndarray = BY_SPACE, lower: bool = True,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end) of each word of a byte string, with A-Z lower-cased if asked for.
+
+    A hash is built from eight bytes of the word at a time, so it costs a few array passes for the whole string.
     """
     raw = np.frombuffer(data, np.uint8)
-    space = np.ones(len(raw) + 2, bool)
-    space[1:-1] = spaces[raw]
-    edge = np.flatnonzero(space[1:] != space[:-1])
-    start, end = edge[::2], edge[1::2]
+    kind = np.zeros(len(raw) + 2, np.uint8)
+    kind[1:-1] = classes[raw]
+    edge = np.flatnonzero(kind[1:] != kind[:-1])
+    start, end = edge[:-1], edge[1:]
+    real = kind[1:][start] > 0
+    start, end = start[real], end[real]
     low = np.zeros(len(raw) + 16, np.uint8)
-    low[: len(raw)] = _LOWER[raw]
+    low[: len(raw)] = _LOWER[raw] if lower else raw
     codes = byte_codes(low.tobytes())
     length = end - start
     h = mix64(length.astype(np.uint64) + _ODD)
@@ -96,3 +106,34 @@ def word_hashes(data: bytes, spaces: np.ndarray = _SPACE) -> tuple[np.ndarray, n
         at += 8
         live = live[left > 8]
     return h, start, end
+
+
+def word_heads(data: bytes, start: np.ndarray, end: np.ndarray, most: int) -> np.ndarray:
+    """A hash of the first ``most`` bytes, at most eight, of each word, A-Z lower-cased."""
+    low = np.zeros(len(data) + 16, np.uint8)
+    low[: len(data)] = _LOWER[np.frombuffer(data, np.uint8)]
+    return mix64(byte_codes(low.tobytes())[start] & _LOW_BYTES[np.minimum(end - start, most)] ^ _ODD)
+
+
+#: Bytes of text that one array pass takes together; a longer document is a pass of its own.
+PASS_BYTES = 1 << 20
+
+
+def passes(texts: list[str | None]):
+    """Yields (number of the first document, bytes of each document) for runs of documents; null counts as empty."""
+    held, first, size = [], 0, 0
+    for i, text in enumerate(texts):
+        raw = (text or "").encode("utf-8", "replace")
+        if held and size + len(raw) > PASS_BYTES:
+            yield first, held
+            held, first, size = [], i, 0
+        held.append(raw)
+        size += len(raw) + 1
+    if held:
+        yield first, held
+
+
+def joined(held: list[bytes]) -> tuple[bytes, np.ndarray]:
+    """Documents divided by a zero byte, and the place of each start, with the end of all as the last."""
+    starts = np.concatenate([[0], np.cumsum([len(b) + 1 for b in held])]).astype(np.int64)
+    return b"\0".join(held) + b"\0", starts

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salescope.llm import mixing, sharding
+from salescope.llm import mixing, quality, sharding, toxicity
 from salescope.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,3 +39,17 @@ def op4_sharding(spark: SparkSession, sf: str) -> DataFrame:
         F.col("row.doc_id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query
+def op9_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    scored = quality.score_quality(docs, read_table(spark, sf, "labels"))
+    return scored.select(F.col("row.doc_id").alias("doc_id"), "held_out", "score", "predicted")
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    scored = toxicity.classify(docs, read_table(spark, sf, "labels"))
+    return scored.select(F.col("row.doc_id").alias("doc_id"), "held_out", "score", "predicted")
