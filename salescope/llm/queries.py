@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salescope.llm import mixing, quality, sharding, toxicity
+from salescope.llm import mixing, packing, quality, sharding, toxicity
 from salescope.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +54,9 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     docs = read_table(spark, sf, "documents").select("doc_id", "text")
     scored = toxicity.classify(docs, read_table(spark, sf, "labels"))
     return scored.select(F.col("row.doc_id").alias("doc_id"), "held_out", "score", "predicted")
+
+
+@query
+def op7_packing(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
