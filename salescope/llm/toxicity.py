@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from salescope.llm.common import LETTERS, joined, packed, passes, word_hashes, word_heads
 from salescope.llm.labelled import labelled_sample, remainder
-from salescope.plans.session import ship_package
+from salescope.plans.session import ship_package, written
 
 #: Labelled documents the model is fitted on at most.
 SAMPLE_ROWS = 20_000
@@ -80,8 +80,9 @@ def score(texts: list[str | None], model: Machine) -> np.ndarray:
 
 
 def fit(rows: list[np.ndarray], y: np.ndarray, s: Settings = Settings()) -> Machine:
-    """Adaptive steps over shuffled batches; weights shrink towards zero, so terms without a bearing end there.
+    """Fits the weights of the terms in ``rows``, the numbers of each document's clear terms.
 
+    Adaptive steps over shuffled batches; weights shrink towards zero, so terms without a bearing end there.
     Without labelled rows every score is one half; with labels of one kind the bias alone tells it.
     """
     rng = np.random.default_rng(7)
@@ -90,14 +91,8 @@ def fit(rows: list[np.ndarray], y: np.ndarray, s: Settings = Settings()) -> Mach
         return model
     share = (y.sum() + 0.5) / (len(y) + 1)
     model.bias = float(np.log(share / (1 - share)))
-    n = np.bincount(np.concatenate(rows), minlength=s.buckets)
-    toxic = np.bincount(np.concatenate(rows), np.repeat(y, [len(r) for r in rows]), s.buckets)
-    clear = np.abs(toxic - n * share) / np.sqrt(n * share * (1 - share) + 1)
-    seen = np.zeros(s.buckets, bool)
-    seen[np.argsort(-clear, kind="stable")[: s.kept]] = True
-    seen &= clear >= s.clear
-    rows = [r[seen[r]] for r in rows]
-    model.factors[:, seen] = rng.normal(0, 0.02, (s.factors, int(seen.sum())))
+    seen = np.unique(np.concatenate(rows))
+    model.factors[:, seen] = rng.normal(0, 0.02, (s.factors, len(seen)))
     gw, gv = np.full(s.buckets, 1e-3), np.full(model.factors.shape, 1e-3)
     gb = 1e-3
     for _ in range(-(-s.steps * s.batch // max(len(rows), s.batch))):
@@ -129,7 +124,12 @@ def fit(rows: list[np.ndarray], y: np.ndarray, s: Settings = Settings()) -> Mach
 
 
 def train(documents: DataFrame, labels: DataFrame, s: Settings = Settings(), folds: int = 5, held: int = 0) -> Machine:
-    """Fits the machine on at most SAMPLE_ROWS labelled documents; their terms are worked out by Spark."""
+    """Fits the machine on at most SAMPLE_ROWS labelled documents.
+
+    Spark works out their terms and screens them: a term is kept if the share of toxic documents among those
+    that hold it is ``clear`` standard deviations from the share of all. Only kept terms, at most ``kept``, reach the
+    driver.
+    """
     ship_package(documents.sparkSession)
     buckets = s.buckets
 
@@ -140,7 +140,16 @@ def train(documents: DataFrame, labels: DataFrame, s: Settings = Settings(), fol
             yield pd.DataFrame({"doc_id": batch["doc_id"], "y": batch["y"], "terms": np.split(bucket.astype(np.int32), cuts)})
 
     sample = labelled_sample(documents, labels, "toxic", folds, held, SAMPLE_ROWS)
-    rows = sample.mapInPandas(featurize, "doc_id long, y int, terms array<int>").toPandas().sort_values("doc_id")
+    sample = written(sample.mapInPandas(featurize, "doc_id long, y int, terms array<int>"), "toxicity-sample")
+    n, toxic = sample.agg(F.count(F.lit(1)), F.sum("y")).first()
+    share = ((toxic or 0) + 0.5) / (n + 1)
+    held_by = sample.select("y", F.explode("terms").alias("term")).groupBy("term").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("y").alias("toxic"))
+    clear = F.abs(F.col("toxic") - F.col("n") * share) / F.sqrt(F.col("n") * (share * (1 - share)) + 1)
+    best = held_by.filter(clear >= s.clear).orderBy(clear.desc(), "term").limit(s.kept)
+    kept = [r["term"] for r in best.select("term").collect()]
+    own = F.array_intersect("terms", F.array(*[F.lit(t) for t in kept]) if kept else F.array().cast("array<int>"))
+    rows = sample.select("doc_id", "y", own.alias("terms")).toPandas().sort_values("doc_id")
     return fit([np.asarray(t, np.int64) for t in rows["terms"]], rows["y"].to_numpy(float), s)
 
 
