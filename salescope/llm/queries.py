@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salescope.llm import main_text, mixing, packing, quality, sharding, toxicity
+from salescope.llm import main_text, mixing, near_duplicates, packing, quality, sharding, toxicity
 from salescope.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,8 @@ def op7_packing(spark: SparkSession, sf: str) -> DataFrame:
 def op8_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
     pages = main_text.extract_pages(read_table(spark, sf, "pages").select("page_id", "url", "html"))
     return pages.select("row.page_id", "row.url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op2_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates.link_documents(read_table(spark, sf, "documents").select("doc_id", "text"))
