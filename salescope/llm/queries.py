@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salescope.llm import main_text, mixing, near_duplicates, packing, quality, repeats, sharding, toxicity
+from salescope.llm import main_text, mixing, near_duplicates, packing, quality, repeats, sharding, top_k, toxicity
 from salescope.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,11 @@ def op2_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
 def op1_repeats(spark: SparkSession, sf: str) -> DataFrame:
     done = repeats.deduplicate(read_table(spark, sf, "documents").select("doc_id", "text"))
     return done.select(F.col("row.doc_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query
+def op5_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    return top_k.top_k(read_table(spark, sf, "embeddings").select("vec_id", "embedding"))
+
+
+SQL["op5_top_k"] = top_k.TOP_K_SQL
