@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,3 +86,8 @@ def op5_top_k(spark: SparkSession, sf: str) -> DataFrame:
 
 
 SQL["op5_top_k"] = top_k.TOP_K_SQL
+
+
+@query
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf)
