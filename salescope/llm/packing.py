@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,35 +27,57 @@ GROUP_PIECES = 20_000
 DIVIDE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
 
+#: White space but spaces and line breaks, which are looked for without a pattern.
+_RARE_SPACE = re.compile(r"[^\S \n]")
+
+
+def _near_space(text: str) -> bool:
+    """Whether a space may stand next to other white space."""
+    return "  " in text or " \n" in text or "\n " in text or bool(_RARE_SPACE.search(text))
+
+
 class Encoder:
     """Token ids of texts, as bytes of little-endian 32-bit numbers.
 
-    Merges never cross the parts a text is divided into, so each part is encoded once and remembered. The memory is
-    emptied when it is full; parts of unusual length are not kept.
+    Merges never cross the parts a text is divided into, so each part is encoded once and remembered. A single space
+    between other characters always begins a part: texts are first split there, and whole words looked up, sign and all;
+    only words not seen before are divided into parts. Memories are emptied when they are full.
     """
 
-    ROOM, LONGEST = 300_000, 64
+    ROOM = 1_000_000
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        parts = [DIVIDE.findall(t or "") for t in texts]
-        new = list(set().union(*parts).difference(self.known))
-        if len(self.known) + len(new) > self.ROOM:
-            self.known = {}
-            new = list(set().union(*parts))
-        known = self.known
-        for part, got in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            known[part] = np.array(got.ids, "<u4").tobytes()
-        out = [b"".join(map(known.__getitem__, p)) for p in parts]
-        for part in new:
-            if len(part) > self.LONGEST:
-                del known[part]
+        split = [[t] if _near_space(t) else t.split(" ") for t in (t or "" for t in texts)]
+        first = self._encode([s.pop(0) for s in split])
+        new = list(set().union(*split).difference(self.words))
+        if len(self.words) + len(new) > self.ROOM:
+            self.words.clear()
+            new = list(set().union(*split))
+        self.words.update(zip(new, self._encode([" " + w for w in new])))
+        get = self.words.__getitem__
+        out = [f + b"".join(map(get, s)) for f, s in zip(first, split)]
+        for word in new:
+            if len(word) > 64:
+                del self.words[word]
         return out
 
+    def _encode(self, words: list[str]) -> list[bytes]:
+        divided = [DIVIDE.findall(w) for w in words]
+        new = list(set().union(*divided).difference(self.parts))
+        if len(self.parts) + len(new) > self.ROOM:
+            self.parts.clear()
+            new = list(set().union(*divided))
+        got = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
+        self.parts.update(zip(new, [array("I", g.ids).tobytes() for g in got]))
+        get = self.parts.__getitem__
+        return [b"".join(map(get, d)) for d in divided]
+
 
 _encoders: dict[str, Encoder] = {}
 

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salescope.llm import main_text, mixing, near_duplicates, packing, quality, repeats, sharding, top_k, toxicity
+from salescope.llm import main_text, mixing, near_duplicates, neighbours, packing, quality, repeats, sharding, top_k, toxicity
 from salescope.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,8 @@ SQL["op5_top_k"] = top_k.TOP_K_SQL
 @query
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf)
+
+
+@query
+def op6_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.nearest(read_table(spark, sf, "embeddings").select("vec_id", "embedding"))
