@@ -203,7 +203,8 @@ def host_templates(pages: DataFrame) -> DataFrame:
             for host, source in zip(batch["host"], batch["html"]):
                 rows += [(host, xxhash.xxh3_64_intdigest(source) - (1 << 63), h)
                          for h in set(subtrees(parse(source)).values())]
-            yield pd.DataFrame(rows, columns=["host", "page", "subtree"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["host", "page", "subtree"])
 
     sent = pages.select("host", F.coalesce("html", F.lit("")).alias("html"))
     seen = sent.mapInPandas(emit, "host string, page long, subtree long").distinct()

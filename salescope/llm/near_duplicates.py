@@ -62,17 +62,17 @@ def common_counts(texts: DataFrame) -> np.ndarray:
                 np.add.at(total, place, 1)
         parts = total.reshape(-1, SLICE)
         some = np.flatnonzero(parts.any(axis=1))
-        kinds = [("<u1" if parts[i].max() < 256 else "<u4") for i in some]
-        yield pd.DataFrame({"slice": some, "kind": kinds, "sums": [parts[i].astype(k).tobytes() for i, k in zip(some, kinds)]})
+        wide = [1 if parts[i].max() < 256 else 4 for i in some]
+        yield pd.DataFrame({"slice": some, "wide": wide, "sums": [parts[i].astype(f"<u{k}").tobytes() for i, k in zip(some, wide)]})
 
     def add(key: tuple, batch: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(SLICE, np.int64)
-        for kind, sums in zip(batch["kind"], batch["sums"]):
-            total += np.frombuffer(sums, kind)
+        for wide, sums in zip(batch["wide"], batch["sums"]):
+            total += np.frombuffer(sums, f"<u{wide}")
         level = np.floor(2 * np.log2(np.maximum(total, 1))).astype(np.uint8)
         return pd.DataFrame({"slice": [key[0]], "levels": [level.tobytes()]})
 
-    sums = texts.mapInPandas(count, "slice long, kind string, sums binary")
+    sums = texts.mapInPandas(count, "slice long, wide int, sums binary")
     levels = np.zeros((COUNTERS // SLICE, SLICE), np.uint8)
     for row in sums.groupBy("slice").applyInPandas(add, "slice long, levels binary").toLocalIterator():
         levels[row["slice"]] = np.frombuffer(row["levels"], np.uint8)
