@@ -26,6 +26,8 @@ PERCENT = 75
 COUNTERS, SLICE = 1 << 22, 1 << 16
 #: Values of the sketch that estimates the similarity of a pair, and the estimate below which it is dropped.
 SKETCH, LEAST_ESTIMATE = 32, 0.35
+#: Bits of the parities that bound from below how many shingles two documents do not share.
+PARITIES = 512
 #: Members of a list that one task compares; longer lists are cut into blocks.
 BLOCK = 4_096
 
@@ -125,11 +127,15 @@ def _sketched(levels):
                 spread = mix64(h ^ np.uint64(77))
                 small = spread[np.lexsort((spread, doc))] >> np.uint64(32)
                 s1, s2 = _set_hashes(h, n)
+                bit = doc * PARITIES + (mix64(h + np.uint64(3)) % np.uint64(PARITIES)).astype(np.int64)
+                odd = np.bincount(bit, minlength=len(held) * PARITIES).astype(np.uint8) & 1
+                parity = np.packbits(odd.reshape(-1, PARITIES), axis=1)
                 part = batch.iloc[first : first + len(held)]
                 yield pd.DataFrame({
                     "doc_id": part["doc_id"].array, "n": n, "node": s1, "check": s2,
                     "kept": [ranked[a : a + k].astype(np.int64) for a, k in zip(low, keep)],
                     "sketch": [small[a : a + min(k, SKETCH)].astype("<u4").tobytes() for a, k in zip(low, n)],
+                    "parity": [row.tobytes() for row in parity],
                 })
 
     return sketch
@@ -201,11 +207,17 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _cross_pairs(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    """Pairs of different components, of fitting sizes, within each list; ``batch`` holds whole lists."""
+    """Pairs of different components within each list that may be alike; ``batch`` holds whole lists.
+
+    Two alike documents differ in (100 - PERCENT) / (100 + PERCENT) of the sum of their sizes at most. What they retain
+    before the first value they share differs, and each shingle that one of them lacks turns one parity at most: pairs
+    that differ in more are left out. No alike pair is.
+    """
     batch = batch.sort_values(["value", "pb", "node"], kind="stable")
     value, pb, own = batch["value"].to_numpy(), batch["pb"].to_numpy(), batch["own"].to_numpy()
     node, comp, n = batch["node"].to_numpy(), batch["component"].to_numpy(), batch["n"].to_numpy()
-    s = batch["blocks"].to_numpy()
+    s, at = batch["blocks"].to_numpy(), batch["at"].to_numpy()
+    parity = np.frombuffer(b"".join(batch["parity"]), "<u8").reshape(len(batch), -1)
     step, live = 1, np.arange(len(value))
     while True:
         live = live[live + step < len(value)]
@@ -213,12 +225,16 @@ def _cross_pairs(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
         if not len(live):
             return
         other = live + step
-        small, large = np.minimum(n[live], n[other]), np.maximum(n[live], n[other])
-        fit = (comp[live] != comp[other]) & (100 * small >= PERCENT * large)
+        most = (100 - PERCENT) * (n[live] + n[other])
+        differ = np.maximum(at[live] + at[other], np.abs(n[live] - n[other]))
+        fit = (comp[live] != comp[other]) & ((100 + PERCENT) * differ <= most)
         # In a list of several blocks, two members of one block meet where that block is paired with itself.
         lo, hi = np.minimum(own[live], own[other]), np.maximum(own[live], own[other])
         fit &= lo * s[live] + hi == pb[live]
-        if fit.any():
+        fit = np.flatnonzero(fit)
+        turned = np.bitwise_count(parity[live[fit]] ^ parity[other[fit]]).sum(axis=1, dtype=np.int64)
+        fit = fit[(100 + PERCENT) * turned <= most[fit]]
+        if len(fit):
             yield pd.DataFrame({"a": np.minimum(node[live], node[other])[fit], "b": np.maximum(node[live], node[other])[fit]})
         step += 1
 
@@ -236,9 +252,10 @@ def document_sets(documents: DataFrame) -> DataFrame:
     sent = sent.filter("doc_id is not null")
     levels = spark.sparkContext.broadcast(common_counts(sent.select("text")))
     rows = sent.mapInPandas(
-        _sketched(levels), "doc_id long, n long, node long, check long, kept array<long>, sketch binary")
+        _sketched(levels), "doc_id long, n long, node long, check long, kept array<long>, sketch binary, parity binary")
     nodes = written(rows.groupBy("node", "check", "n").agg(
         F.min("doc_id").alias("least_id"), F.first("kept").alias("kept"), F.first("sketch").alias("sketch"),
+        F.first("parity").alias("parity"),
     ), "near-nodes")
 
     # Lists of very common values are cut, so that no list meets in one task; the counters tell which may be long.
@@ -247,7 +264,7 @@ def document_sets(documents: DataFrame) -> DataFrame:
         level = levels.value[(values.to_numpy().astype(np.uint64) % np.uint64(COUNTERS)).astype(np.int64)]
         return pd.Series(np.ceil(2.0 ** ((level + 1) / 2) / BLOCK).astype(np.int32))
 
-    values = nodes.filter("n > 0").select("node", "n", F.explode("kept").alias("value"))
+    values = nodes.filter("n > 0").select("node", "n", F.posexplode("kept").alias("at", "value"))
     values = values.withColumn("blocks", blocks_of("value")).withColumn(
         "own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     within = Window.partitionBy("value", "own")
@@ -265,7 +282,8 @@ def document_sets(documents: DataFrame) -> DataFrame:
     apart = members.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
     other = F.sequence(F.lit(0), F.col("blocks") - 1)
     pair_block = F.transform(other, lambda o: F.least("own", o) * F.col("blocks") + F.greatest("own", o))
-    open_lists = members.join(apart.select("value"), "value").withColumn("pb", F.explode(pair_block))
+    open_lists = members.join(apart.select("value"), "value").join(nodes.select("node", "parity"), "node")
+    open_lists = open_lists.withColumn("pb", F.explode(pair_block))
 
     def cross(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if whole := list(batches):
