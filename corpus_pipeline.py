@@ -30,8 +30,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the bytes that an earlier one has, too; ``n_chars`` follows. A null text stays null."""
     done = repeats.deduplicate(docs)
-    text = F.when(F.col("row.text").isNull(), F.lit(None)).otherwise(F.col("text"))
-    changed = {"text": text}
+    changed = {"text": F.col("text")}
     if "n_chars" in docs.columns:
         length = F.length("text").cast(docs.schema["n_chars"].dataType)
         changed["n_chars"] = F.when(F.col("n_removed") > 0, length).otherwise(F.col("row.n_chars"))
