@@ -4,7 +4,7 @@ Prefix doubling over a sampled suffix array. Every string of THRESHOLD bytes hol
 with the smallest hash, so equal strings have equal anchors at equal places. Anchors are the positions of the first
 round: Spark ranks them by bucket, and those of one document only are dropped. What is left is dealt by anchor and doubled
 to 8, 16, 32 and THRESHOLD bytes: sorted pairs of ranks at a growing offset give the next ranks, and equal last ranks
-are equal strings.
+are equal strings. Runs of strings that agree whole, as copies do, are settled by a hash before that.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,14 +82,17 @@ def runs(texts: list[str]) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.n
         yield data, anchor[at], doc[at], offset[at], place[at], np.diff(np.append(at, len(place)))
 
 
-def _six(anchors: np.ndarray) -> bytes:
-    return (anchors >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def _short(anchors: np.ndarray) -> np.ndarray:
+    """What tells anchors of one bucket apart: their upper 32 bits. A chance tie only lets an anchor pass that is dropped later."""
+    return anchors >> np.uint64(32)
 
 
-def _from_six(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.reshape(-1).view("<u8").astype(np.uint64)
+def _packed(shorts: np.ndarray) -> bytes:
+    return shorts.astype("<u4").tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, "<u4").astype(np.uint64)
 
 
 def _block_anchors(buckets: int):
@@ -97,7 +100,7 @@ def _block_anchors(buckets: int):
         """The block's anchors by bucket: those of one document, and those of several."""
         ids = pd.factorize(batch["doc_id"])[0]
         pairs = []
-        for _, anchor, doc, *_ in runs(batch["text"].tolist()):
+        for _, anchor, doc, *_ in runs(_texts(batch)):
             pairs.append(np.unique(np.stack([anchor, ids[doc].astype(np.uint64)]), axis=1))
         if not pairs:
             return pd.DataFrame({"bucket": [], "block": [], "one": [], "more": []})
@@ -110,7 +113,7 @@ def _block_anchors(buckets: int):
         rows = []
         for b, x, y in zip(some, at, [*at[1:], len(bucket)]):
             part, several = anchor[x:y], n[x:y] > 1
-            rows.append((int(b), key[0], _six(part[~several]), _six(part[several])))
+            rows.append((int(b), key[0], _packed(_short(part[~several])), _packed(_short(part[several]))))
         return pd.DataFrame(rows, columns=["bucket", "block", "one", "more"])
 
     return anchors
@@ -118,54 +121,123 @@ def _block_anchors(buckets: int):
 
 def _repeated_anchors(key: tuple, batch: pd.DataFrame) -> pd.DataFrame:
     """For each block, its anchors in the bucket that several documents have, and which of them are hot."""
-    sides = [(_from_six(one), _from_six(more)) for one, more in zip(batch["one"], batch["more"])]
-    every = np.concatenate([x for pair in sides for x in pair])
-    anchor, n = np.unique(every, return_counts=True)
-    several = np.concatenate([more for _, more in sides])
-    live = anchor[(n > 1) | np.isin(anchor, several)]
-    hot = anchor[n >= HOT_BLOCKS]
-    rows = []
-    for block, (one, more) in zip(batch["block"], sides):
-        own = np.concatenate([one, more])
-        own = own[np.isin(own, live)]
+    sides = [_unpacked(side) for pair in zip(batch["one"], batch["more"]) for side in pair]
+    sizes = np.array([len(x) for x in sides])
+    several = np.repeat(np.arange(len(sides)) % 2 == 1, sizes)
+    anchor, where, n = np.unique(np.concatenate(sides), return_inverse=True, return_counts=True)
+    live = (n > 1) | (np.bincount(where, several, len(anchor)) > 0)
+    hot = n >= HOT_BLOCKS
+    rows, end = [], np.cumsum(sizes)
+    for i, block in enumerate(batch["block"]):
+        own = where[end[2 * i] - sizes[2 * i] : end[2 * i + 1]]
+        own = own[live[own]]
         if len(own):
-            high = np.isin(own, hot)
-            rows.append((block, _six(own[~high] << np.uint64(16)), _six(own[high] << np.uint64(16))))
+            rows.append((block, _packed(anchor[own[~hot[own]]]), _packed(anchor[own[hot[own]]])))
     return pd.DataFrame(rows, columns=["block", "live", "hot"])
 
 
+_powers: dict[int, np.ndarray] = {}
+
+
+def _power(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers of an odd number modulo 2**64, kept by the worker."""
+    if len(_powers.get(base, ())) < n:
+        _powers[base] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n, 2 * PASS_BYTES), base, np.uint64)]))
+    return _powers[base][:n]
+
+
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
+
+
+class Hashes:
+    """Hashes of any stretches of a byte string, from running sums over its spread eight-byte codes."""
+
+    def __init__(self, data: bytes) -> None:
+        codes = mix64(byte_codes(data))
+        self.sums = np.concatenate([[np.uint64(0)], np.cumsum(codes * _power(BASE, len(codes)))])
+        self.back = _power(INVERSE, len(codes) + 1)
+
+    def of(self, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        return mix64((self.sums[start + length - 7] - self.sums[start]) * self.back[start] ^ length.astype(np.uint64))
+
+
+FOLLOWED = "key long, content long, doc_id long, block long, text_hash int, start int, strings int, settled boolean"
+
+
+def _texts(batch: pd.DataFrame) -> list[str]:
+    expand = zstandard.ZstdDecompressor().decompress
+    return [expand(z).decode() for z in batch["z"]]
+
+
 def _followed(key: tuple, batch: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-    """The runs of a block with repeated anchors, as (anchor, doc_id, text_hash, start, strings, content).
+    """The runs of a block with repeated anchors, with a hash of their content; of hot anchors, the single strings.
 
-    A run that an earlier document of the block has in the same content is settled here: its content is null.
+    Runs whose content an earlier document of the block has, too, are settled here.
     """
-    columns = ["key", "doc_id", "text_hash", "start", "strings", "content"]
+    names = [c.split()[0] for c in FOLLOWED.split(", ")]
     if not len(batch) or not len(found):
-        return pd.DataFrame({c: [] for c in columns})
-    live = np.sort(np.concatenate([_from_six(b) for b in found["live"]]))
-    hot = np.sort(np.concatenate([_from_six(b) for b in found["hot"]]))
+        return pd.DataFrame({c: [] for c in names})
+    live = np.unique(np.concatenate([_unpacked(b) for b in found["live"]]))
+    hot = np.unique(np.concatenate([_unpacked(b) for b in found["hot"]]))
     ids, hashes = batch["doc_id"].to_numpy(), batch["text_hash"].to_numpy()
-    out = []
-    for data, anchor, doc, offset, place, n in runs(batch["text"].tolist()):
-        short = anchor >> np.uint64(16)
-        follow, single = np.isin(short, live), np.isin(short, hot)
-        for k in np.flatnonzero(follow).tolist():
-            out.append((anchor[k], doc[k], offset[k], n[k], data[place[k] : place[k] + n[k] + THRESHOLD - 1]))
-        for k in np.flatnonzero(single).tolist():
-            for j in range(n[k]):
-                content = data[place[k] + j : place[k] + j + THRESHOLD]
-                out.append((np.uint64(xxhash.xxh3_64_intdigest(content)), doc[k], offset[k] + j, 1, content))
-    if not out:
-        return pd.DataFrame({c: [] for c in columns})
-    keys, docs, start, n, content = zip(*out)
-    docs = np.array(docs)
-    made = pd.DataFrame({
-        "key": np.array(keys, np.uint64).astype(np.int64), "doc_id": ids[docs], "text_hash": hashes[docs],
-        "start": np.array(start, np.int64), "strings": np.array(n, np.int32), "content": content,
-    })
-    first = made.groupby("content")["doc_id"].transform("min")
-    made["content"] = made["content"].where(made["doc_id"] <= first, None)
-    return made
+    parts = []
+    for data, anchor, doc, offset, place, n in runs(_texts(batch)):
+        known = Hashes(data)
+        short = _short(anchor)
+        i = np.flatnonzero(np.isin(short, live))
+        parts.append((anchor[i], known.of(place[i], n[i] + THRESHOLD - 1), doc[i], offset[i], n[i]))
+        i = np.flatnonzero(np.isin(short, hot))
+        if len(i):
+            i, j = np.repeat(i, n[i]), np.arange(n[i].sum()) - np.repeat(np.cumsum(n[i]) - n[i], n[i])
+            single = known.of(place[i] + j, np.full(len(i), THRESHOLD))
+            parts.append((mix64(single + np.uint64(BASE)), single, doc[i], offset[i] + j, np.ones(len(i), np.int64)))
+    anchor, content, doc, offset, n = (np.concatenate(c) for c in zip(*parts)) if parts else [np.zeros(0, np.uint64)] * 5
+    own = ids[doc.astype(np.int64)]
+    order = np.lexsort((own, content, anchor))
+    anchor, content, doc, offset, n, own = (c[order] for c in (anchor, content, doc.astype(np.int64), offset, n, own))
+    new = np.ones(len(own), bool)
+    new[1:] = (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])
+    first = own[np.flatnonzero(new)][np.cumsum(new) - 1]
+    return pd.DataFrame({
+        "key": anchor.astype(np.int64), "content": np.where(own > first, 0, content.astype(np.int64)), "doc_id": own,
+        "block": key[0], "text_hash": hashes[doc], "start": offset.astype(np.int32), "strings": n.astype(np.int32),
+        "settled": own > first})
+
+
+SETTLED = "removed boolean, key long, doc_id long, block long, text_hash int, start int, strings int"
+
+
+def _compared(batch: pd.DataFrame) -> pd.DataFrame:
+    """Runs removed whole, as an earlier document has the same content, and first runs of anchors with several contents."""
+    names = [c.split()[0] for c in SETTLED.split(", ")]
+    done, rest = batch[batch["settled"]], batch[~batch["settled"]]
+    rest = rest.sort_values(["key", "content", "doc_id"])
+    key, content, ids = rest["key"].to_numpy(), rest["content"].to_numpy(), rest["doc_id"].to_numpy()
+    begins = np.ones(len(rest), bool)
+    begins[1:] = key[1:] != key[:-1]
+    new = begins.copy()
+    new[1:] |= content[1:] != content[:-1]
+    first = ids[np.flatnonzero(new)][np.cumsum(new) - 1]
+    group = np.cumsum(begins) - 1
+    several = np.bincount(group, new, int(begins.sum()))[group] > 1 if len(rest) else np.zeros(0, bool)
+    later = ids > first
+    return pd.concat([done.assign(removed=True), rest[later].assign(removed=True), rest[~later & several].assign(removed=False)])[names]
+
+
+CONTENTS = "key long, doc_id long, text_hash int, start int, strings int, content binary"
+
+
+def _contents(key: tuple, batch: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+    """The bytes of the wanted runs of a block."""
+    names = ["key", "doc_id", "text_hash", "start", "strings"]
+    if not len(batch) or not len(wanted):
+        return pd.DataFrame({c: [] for c in [*names, "content"]})
+    held = {(i, h): k for k, (i, h) in enumerate(zip(batch["doc_id"], batch["text_hash"]))}
+    raw = [zstandard.ZstdDecompressor().decompress(z) for z in batch["z"]]
+    return wanted[names].assign(content=[
+        raw[held[i, h]][a : a + n + THRESHOLD - 1]
+        for i, h, a, n in zip(wanted["doc_id"], wanted["text_hash"], wanted["start"], wanted["strings"])])
 
 
 def double(contents: list[bytes], owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -192,85 +264,85 @@ def double(contents: list[bytes], owner: np.ndarray) -> tuple[np.ndarray, np.nda
     return which, inside, least[rank]
 
 
-def _settled(batch: pd.DataFrame) -> pd.DataFrame:
-    """(doc_id, text_hash, start, length) of removed stretches; ``batch`` holds all rows of each of its keys."""
-    done = batch[batch["content"].isna()]
-    rest = batch[batch["content"].notna()].reset_index(drop=True)
-    out = [pd.DataFrame({"doc_id": done["doc_id"], "text_hash": done["text_hash"], "start": done["start"], "length": done["strings"] + THRESHOLD - 1})]
-    if len(rest):
-        kind, contents = pd.factorize(rest["content"])
-        ids = rest["doc_id"].to_numpy()
-        owner = np.full(len(contents), np.iinfo(np.int64).max)
-        np.minimum.at(owner, kind, ids)
-        later = ids > owner[kind]
-        out.append(pd.DataFrame({
-            "doc_id": ids[later], "text_hash": rest["text_hash"][later], "start": rest["start"][later],
-            "length": rest["strings"][later] + THRESHOLD - 1}))
-        # Contents that share an anchor with others are doubled; the first document of each may lose a part of it.
-        key = np.zeros(len(contents), np.int64)
-        key[kind] = rest["key"].to_numpy()
-        _, group, n = np.unique(key, return_inverse=True, return_counts=True)
-        mixed = np.flatnonzero(n[group] > 1)
-        if len(mixed):
-            which, inside, least = double([contents[i] for i in mixed], owner[mixed])
-            gone = least < owner[mixed][which]
-            lost = pd.DataFrame({"kind": mixed[which[gone]], "inside": inside[gone]})
-            # Neighbouring strings make one stretch.
-            lost = lost.sort_values(["kind", "inside"])
-            new = (lost["kind"].diff() != 0) | (lost["inside"].diff() != 1)
-            lost = lost.groupby(new.cumsum()).agg(kind=("kind", "first"), inside=("inside", "first"), n=("inside", "size"))
-            own = rest[~later].assign(kind=kind[~later])
-            own = own.merge(lost, on="kind")
-            out.append(pd.DataFrame({
-                "doc_id": own["doc_id"], "text_hash": own["text_hash"], "start": own["start"] + own["inside"],
-                "length": own["n"] + THRESHOLD - 1}))
-    return pd.concat(out, ignore_index=True)
-
-
-def _settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Batches come sorted by key; the last key of a batch waits for the next one."""
-    held: list[pd.DataFrame] = []
-    rows = 0
-    for batch in batches:
-        if not len(batch):
-            continue
-        held.append(batch)
-        rows += len(batch)
-        if rows < 50_000 or batch["key"].iloc[0] == batch["key"].iloc[-1]:
-            continue
-        whole = pd.concat(held, ignore_index=True)
-        last = whole["key"] == whole["key"].iloc[-1]
-        yield _settled(whole[~last].reset_index(drop=True))
-        held, rows = [whole[last]], int(last.sum())
-    if held:
-        yield _settled(pd.concat(held, ignore_index=True))
-
-
-def text_hash(text: Column) -> Column:
-    return F.xxhash64(F.coalesce(text, F.lit("")))
+def _doubled(batch: pd.DataFrame) -> pd.DataFrame:
+    """(doc_id, text_hash, start, length) of removed stretches; ``batch`` holds all runs of each of its anchors."""
+    kind, contents = pd.factorize(batch["content"])
+    ids = batch["doc_id"].to_numpy()
+    owner = np.full(len(contents), np.iinfo(np.int64).max)
+    np.minimum.at(owner, kind, ids)
+    which, inside, least = double(list(contents), owner)
+    gone = least < owner[which]
+    lost = pd.DataFrame({"kind": which[gone], "inside": inside[gone]}).sort_values(["kind", "inside"])
+    # Neighbouring strings make one stretch.
+    new = (lost["kind"].diff() != 0) | (lost["inside"].diff() != 1)
+    lost = lost.groupby(new.cumsum()).agg(kind=("kind", "first"), inside=("inside", "first"), n=("inside", "size"))
+    own = batch.assign(kind=kind).merge(lost, on="kind")
+    return pd.DataFrame({
+        "doc_id": own["doc_id"], "text_hash": own["text_hash"], "start": own["start"] + own["inside"],
+        "length": own["n"] + THRESHOLD - 1})
+
+
+def by_whole_keys(step):
+    """Applies ``step`` to batches sorted by key; the last key of a batch waits for the next one."""
+
+    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        rows = 0
+        for batch in batches:
+            if not len(batch):
+                continue
+            held.append(batch)
+            rows += len(batch)
+            if rows < 50_000 or batch["key"].iloc[0] == batch["key"].iloc[-1]:
+                continue
+            whole = pd.concat(held, ignore_index=True)
+            last = whole["key"] == whole["key"].iloc[-1]
+            yield step(whole[~last].reset_index(drop=True))
+            held, rows = [whole[last]], int(last.sum())
+        if held:
+            yield step(pd.concat(held, ignore_index=True))
+
+    return apply
+
+
+def compressed(text: Column) -> Column:
+    """A text as compressed bytes of UTF-8: it goes through shuffles that way. Null is empty."""
+
+    @F.pandas_udf("binary")
+    def squeeze(texts: pd.Series) -> pd.Series:
+        press = zstandard.ZstdCompressor(level=5).compress
+        return pd.Series([press((t or "").encode("utf-8", "replace")) for t in texts], dtype=object)
+
+    return squeeze(text)
 
 
 def repeated_stretches(documents: DataFrame) -> DataFrame:
     """(doc_id, text_hash, start, length): stretches of bytes whose strings also start in a document with a smaller id."""
     ship_package(documents.sparkSession)
     text = F.coalesce("text", F.lit(""))
-    sent = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), text_hash(F.col("text")).alias("text_hash"))
-    sent = sent.filter(F.col("doc_id").isNotNull())
+    sent = documents.filter(F.col("doc_id").isNotNull())
     total = sent.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks, buckets = 1 + total // BLOCK_BYTES, 1 + total // BUCKET_BYTES
+    sent = sent.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.hash(text).alias("text_hash"), compressed(F.col("text")).alias("z"))
     dealt = sent.withColumn("block", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(blocks))).repartition("block")
     by_block = dealt.groupBy("block")
     anchors = by_block.applyInPandas(_block_anchors(buckets), "bucket long, block long, one binary, more binary")
     repeated = anchors.groupBy("bucket").applyInPandas(_repeated_anchors, "block long, live binary, hot binary")
-    followed = by_block.cogroup(repeated.groupBy("block")).applyInPandas(
-        _followed, "key long, doc_id long, text_hash long, start long, strings int, content binary")
-    return followed.repartition("key").sortWithinPartitions("key").mapInPandas(
-        _settle, "doc_id long, text_hash long, start long, length long")
-
-
-def remove(text: str | None, starts: list[int] | None, lengths: list[int] | None) -> tuple[bytes, int, int]:
+    followed = by_block.cogroup(repeated.groupBy("block")).applyInPandas(_followed, FOLLOWED)
+    sorted_runs = followed.repartition("key").sortWithinPartitions("key")
+    compared = sorted_runs.mapInPandas(by_whole_keys(_compared), SETTLED)
+    whole = compared.filter("removed").select(
+        "doc_id", "text_hash", "start", (F.col("strings") + (THRESHOLD - 1)).alias("length"))
+    wanted = compared.filter("not removed").groupBy("block")
+    contents = by_block.cogroup(wanted).applyInPandas(_contents, CONTENTS)
+    doubled = contents.repartition("key").sortWithinPartitions("key").mapInPandas(
+        by_whole_keys(_doubled), "doc_id long, text_hash int, start int, length int")
+    return whole.unionByName(doubled)
+
+
+def remove(raw: bytes, starts: list[int] | None, lengths: list[int] | None) -> tuple[bytes, int, int]:
     """(bytes that stay, bytes removed, maximal removed runs)."""
-    raw = (text or "").encode("utf-8", "replace")
     if starts is None or not len(starts):
         return raw, 0, 0
     kept, at, spans, end = [], 0, 0, -1
@@ -286,26 +358,29 @@ def remove(text: str | None, starts: list[int] | None, lengths: list[int] | None
 
 
 def deduplicate(documents: DataFrame) -> DataFrame:
-    """(row, text, n_bytes, n_removed, n_spans, kept_sha256) for every document, ``row`` with all its columns.
+    """(row, text, n_bytes, n_removed, n_spans, kept_sha256) for every document, ``row`` with its other columns.
 
-    ``text`` is what stays; where a removed stretch cuts a character in two, its odd bytes go, too, while counts and the
+    ``text`` is what stays, null if it was null; where a removed stretch cuts a character in two, its odd bytes go, too, while counts and the
     digest are those of the bytes. Strings are judged on the input. Null text is empty. A null id is neither smaller nor
     larger than others: nothing is removed from such a document, and it removes nothing. Rows with one id remove nothing
     from each other. No documents: no rows.
     """
     stretches = repeated_stretches(documents).groupBy("doc_id", "text_hash").agg(
         F.collect_list("start").alias("starts"), F.collect_list("length").alias("lengths"))
-    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")
-    docs = documents.select(row, F.col("doc_id").cast("long").alias("doc_id"), text_hash(F.col("text")).alias("text_hash"))
+    row = F.struct(F.lit(None).cast("boolean").alias("_"), *[F.col(f"`{c}`") for c in documents.columns if c != "text"])
+    docs = documents.select(
+        row.alias("row"), F.col("text").isNull().alias("is_null"), F.col("doc_id").cast("long").alias("doc_id"),
+        F.hash(F.coalesce("text", F.lit(""))).alias("text_hash"), compressed(F.col("text")).alias("z"))
 
     @F.pandas_udf("text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    def cut(texts: pd.Series, starts: pd.Series, lengths: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text, a, n in zip(texts, starts, lengths):
-            left, gone, spans = remove(text, a, n)
+    def cut(pressed: pd.Series, starts: pd.Series, lengths: pd.Series) -> pd.DataFrame:
+        rows, expand = [], zstandard.ZstdDecompressor().decompress
+        for z, a, n in zip(pressed, starts, lengths):
+            left, gone, spans = remove(expand(z), a, n)
             rows.append((left.decode("utf-8", "ignore"), len(left) + gone, gone, spans, hashlib.sha256(left).hexdigest()))
         return pd.DataFrame(rows, columns=["text", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     joined = docs.join(stretches, ["doc_id", "text_hash"], "left")
-    done = joined.select("row", cut(F.col("row.text"), "starts", "lengths").alias("cut"))
-    return done.select("row", "cut.*")
+    done = joined.select("row", "is_null", cut("z", "starts", "lengths").alias("cut"))
+    text = F.when(~F.col("is_null"), F.col("cut.text"))
+    return done.select("row", text.alias("text"), *[f"cut.{c}" for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")])
