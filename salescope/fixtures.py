@@ -213,16 +213,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows over all cores when a table comes in fewer splits than there are cores.
-
-    The small test tables are single files that one task would read and work through
-    alone; a table of many files has enough splits and is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def _read_names(text: str) -> list[str]:
     return re.findall(r"\b(?:from|join)\s+(\w+)", text)
 
@@ -233,8 +223,6 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     names = set(_read_names(text))
     sources = {v: view(spark, sf_dir, v) for v in VIEWS if v in names and v != name}
     sources |= {t: table(spark, sf_dir, t) for t in TABLES if t in names}
-    if name == "sales":
-        sources["lineitem"] = spread(sources["lineitem"], "l_orderkey")
     return run_sql(spark, text, sources)
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MICRO = 1_000_000.0
+#: Whole numbers below this have an exact double.
+LARGEST_EXACT = float(2**53)
 
 
 def col(c: str | Column) -> Column:
@@ -23,12 +25,17 @@ def exact_sum(c: str | Column) -> Column:
 
     A value is split into its whole part and its millionths, and both are summed
     as 64-bit integers, which stay in generated code. Adding doubles directly
-    would lose cents on large tables and change with the task order.
+    would lose cents on large tables and change with the task order. Digits beyond a
+    millionth are lost. Values that no 64-bit integer holds, infinities and NaN among
+    them, are added as doubles beside that.
     """
     value = col(c).cast("double")
-    whole = F.floor(value)
-    micro = F.rint((value - whole) * F.lit(MICRO)).cast("bigint")
-    return F.sum(whole).cast("double") + F.sum(micro).cast("double") / F.lit(MICRO)
+    held = F.abs(value) < F.lit(LARGEST_EXACT)
+    exact, rest = F.when(held, value), F.sum(F.when(~held, value))
+    whole = F.floor(exact)
+    micro = F.rint((exact - whole) * F.lit(MICRO)).cast("bigint")
+    parts = F.sum(whole).cast("double") + F.sum(micro).cast("double") / F.lit(MICRO)
+    return F.when(rest.isNull(), parts).otherwise(F.coalesce(parts, F.lit(0.0)) + rest)
 
 
 def exact_avg(c: str | Column) -> Column:

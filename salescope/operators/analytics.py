@@ -215,7 +215,7 @@ def return_rate_by_category(df: DataFrame) -> DataFrame:
 
 
 def historical_roas(df: DataFrame) -> DataFrame:
-    """Return on ad spend per category and over all of them (category null), in one pass."""
+    """Return on ad spend per category and over all of them (category null), zeros without any spend."""
     spend = F.coalesce(F.col("s"), F.lit(0.0))
     profit = exact_sum("gross_profit") if has(df, "gross_profit") else F.lit(0.0)
     per = (
@@ -226,10 +226,10 @@ def historical_roas(df: DataFrame) -> DataFrame:
             profit.alias("p"), F.count(F.lit(1)).alias("n"),
         )
     )
-    rolled = per.rollup("category").agg(
-        F.grouping_id().alias("g"), exact_sum("r").alias("r"), exact_sum("s").alias("s"),
-        exact_sum("p").alias("p"), F.coalesce(F.sum("n"), F.lit(0)).alias("data_points"),
-    ).where((F.col("g") == 1) | F.col("category").isNotNull())
+    sums = [exact_sum(c).alias(c) for c in ("r", "s", "p")] + [F.coalesce(F.sum("n"), F.lit(0)).alias("data_points")]
+    # The overall row is there even when nothing was spent.
+    overall = per.agg(*sums).withColumn("category", F.lit(None).cast("string"))
+    rolled = per.where(F.col("category").isNotNull()).groupBy("category").agg(*sums).unionByName(overall)
     per_spend = lambda c: F.when(spend > 0, round_even(F.col(c) / F.col("s"), 2)).otherwise(F.lit(0.0))
     return rolled.select(
         "category",

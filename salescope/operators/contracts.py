@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -78,7 +78,10 @@ def decision_contracts(decisions: DataFrame, kind: str, notes: str = "", run: st
     run = run or uuid.uuid4().hex
     ok = decisions.where(F.col("error").isNull())
     content = F.to_json(F.struct(*[c for c in ok.columns if c not in ("scenarios", "assumptions", "risks", "monitoring")]))
-    digest = F.sha2(F.concat_ws("|", F.lit(run), F.lit(kind), content), 256)
+    # Equal proposals are decisions of their own: they are numbered before the id is made.
+    ok = ok.withColumn("_content", content)
+    ok = ok.withColumn("_nth", F.row_number().over(Window.partitionBy("_content").orderBy("_content")))
+    digest = F.sha2(F.concat_ws("|", F.lit(run), F.lit(kind), "_content", F.col("_nth").cast("string")), 256)
     return ok.select(
         F.upper(F.substring(digest, 1, 32)).alias("decision_id"),
         F.current_timestamp().alias("date"),

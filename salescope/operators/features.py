@@ -70,6 +70,16 @@ def _rolling(target: str, windows, std: bool = True, mean: bool = True):
     return outputs
 
 
+def _of_known(df: DataFrame, group: str, *args, **hot) -> DataFrame:
+    """Look-back columns per group. Rows without a group have no history: nulls, and no deviation."""
+    if not has(df, group):
+        return lookback(df, None, *args, **hot)
+    known = lookback(df.where(F.col(group).isNotNull()), group, *args, **hot)
+    added = [f for f in known.schema.fields if f.name not in df.columns]
+    none = {f.name: F.lit(0.0 if "_rolling_std_" in f.name else None).cast(f.dataType) for f in added}
+    return known.unionByName(df.where(F.col(group).isNull()).withColumns(none))
+
+
 def history_features(
     df: DataFrame, group: str = "product_id", target: str = "quantity", lags=LAGS, windows=WINDOWS,
     share: float = HOT_SHARE, floor: int = HOT_FLOOR,
@@ -77,11 +87,11 @@ def history_features(
     """Lags and rolling statistics of the earlier rows of the product, in one window pass."""
     both = lambda w: {**_lags(target, lags)(w), **_rolling(target, windows)(w)}
     rows = max([*lags, *windows])
-    return lookback(df, group if has(df, group) else None, _order(df), rows, both, share, floor)
+    return _of_known(df, group, _order(df), rows, both, share=share, floor=floor)
 
 
 def lag_features(df: DataFrame, group: str = "product_id", target: str = "quantity", lags=LAGS, **hot) -> DataFrame:
-    return lookback(df, group if has(df, group) else None, _order(df), max(lags), _lags(target, lags), **hot)
+    return _of_known(df, group, _order(df), max(lags), _lags(target, lags), **hot)
 
 
 def rolling_features(
@@ -89,7 +99,7 @@ def rolling_features(
     std: bool = True, mean: bool = True, **hot,
 ) -> DataFrame:
     outputs = _rolling(target, windows, std, mean)
-    return lookback(df, group if has(df, group) else None, _order(df), max(windows), outputs, **hot)
+    return _of_known(df, group, _order(df), max(windows), outputs, **hot)
 
 
 def business_features(df: DataFrame) -> DataFrame:

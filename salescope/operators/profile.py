@@ -43,8 +43,10 @@ def dataset_profile(df: DataFrame) -> DataFrame:
 
 
 def describe_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Count, mean, sample deviation, extremes and exact quartiles, two decimals."""
+    """Count, mean, sample deviation, extremes and exact quartiles, two decimals. NaN is no value."""
     names = columns or numeric_columns(df)
+    kinds = dict(df.dtypes)
+    df = df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in names if kinds[c] in ("float", "double")})
     parts = [f for c in names for f in (
         F.count(c).alias(f"count_{c}"), exact_avg(c).alias(f"mean_{c}"), F.stddev_samp(c).alias(f"std_{c}"),
         F.min(c).cast("double").alias(f"min_{c}"), F.max(c).cast("double").alias(f"max_{c}"))]

@@ -36,7 +36,7 @@ def _counts_around(
     """(name, v, upto, n): values of the buckets holding a wanted rank, with the number
     of rows up to and including each value."""
     pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in columns])
-    long = df.select(F.explode(pairs).alias("x")).select("x.*").where(F.col("v").isNotNull())
+    long = df.select(F.explode(pairs).alias("x")).select("x.*").where(F.col("v").isNotNull() & ~F.isnan("v"))
     placed = long.withColumn("b", bucket(F.col("v"), fineness))
 
     whole = Window.partitionBy("name")

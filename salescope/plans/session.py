@@ -26,20 +26,13 @@ def build_session(app: str = "salescope", master: str | None = None, **conf: str
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it.
-
-    Only a local session without the setting gets a folder of its own; on a
-    cluster a machine-local folder would be invisible to the other executors.
-    """
+    """The folder every executor can reach: the one the cluster names for checkpoints, else one in the warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = jvm_dir.get() if jvm_dir.isDefined() else None
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("Set spark.checkpoint.dir to a folder all executors share.")
-        folder = tempfile.mkdtemp(prefix="salescope-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
     return folder.rstrip("/")
 
 

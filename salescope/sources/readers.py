@@ -56,8 +56,12 @@ def read_parquet(spark: SparkSession, path) -> DataFrame:
 
 
 def suffix_of(path) -> str:
-    first = path if isinstance(path, str) else path[0]
-    return os.path.splitext(str(first).rstrip("/"))[1].lstrip(".").lower()
+    """The suffix all paths share; paths of several formats fail."""
+    paths = [path] if isinstance(path, str) else list(path)
+    found = sorted({os.path.splitext(str(p).rstrip("/"))[1].lstrip(".").lower() for p in paths})
+    if len(found) > 1:
+        raise ValueError(f"One call reads files of one format, not of several: {', '.join(found)}.")
+    return found[0] if found else ""
 
 
 def type_columns(df: DataFrame, probe: bool = True) -> DataFrame:
