@@ -92,8 +92,7 @@ query("daily_rolling", _per_series(_FEATURES, {
         (F.rint(F.max(f"{s}_{k}") * 100.0) / 100.0 + 0.0).alias(f"{s}_{k}") for s in ("mean", "std") for k in S.ROLLING_DAYS]))
 query("rolling_origin_folds", _FOLDS)(lambda spark, sf: S.rolling_origin_folds(_series(spark, sf)))
 query("seasonal_naive", _next(30))(lambda spark, sf: S.seasonal_naive(_series(spark, sf), 30))
-query("backtest", _NAIVE + " where f.series_id = 'All Products'")(
-    lambda spark, sf: S.naive_backtest(_series(spark, sf, products=False)))
+query("backtest", _NAIVE)(lambda spark, sf: S.naive_backtest(_series(spark, sf)))
 query("wape", f"select series_id, R4[mae] as mae, R4[wape] as wape from ({_SCORE}) s")(
     lambda spark, sf: S.scores(S.naive_backtest(_series(spark, sf)), "series_id").select("series_id", r4("mae"), r4("wape")))
 
@@ -117,8 +116,8 @@ select series_id, model, R4[mae] as mae, R4[wape] as wape from s
 qualify row_number() over (partition by series_id order by wape, mae, o) = 1""")(
     lambda spark, sf: fc.select_method(_rivals(spark, sf)).select("series_id", "model", r4("mae"), r4("wape")))
 query("history_tail", f"""
-select series_id, date, quantity from ({_POS}) p where series_id = 'All Products' and day >= days - 90""")(
-    lambda spark, sf: S.history_tail(_series(spark, sf, products=False)))
+select series_id, date, quantity from ({_POS}) p where day >= days - 90""")(
+    lambda spark, sf: S.history_tail(_series(spark, sf)))
 query("forecast_totals", f"""
 select series_id, R2[sum(predicted)] as total_predicted, R2[avg(predicted)] as avg_daily_predicted,
        R2[max(predicted)] as max_daily_predicted, R2[min(predicted)] as min_daily_predicted, count(*) as periods
