@@ -127,7 +127,7 @@ from ({_next(30)}) n group by 1""")(
 _LONG = f"select series_id, cast(count(*) as int) as days from ({_SPINE}) s group by 1"
 query("forecast_all_products", f"""
 select l.series_id, case when days >= 70 then 'success' else 'error' end as status,
-       case when days < 70 then 'At least 70 days of dated history are required; found ' || days || '.' end as error,
+       case when days < 70 then 'A forecast needs 70 days of history, this series has ' || days || '.' end as error,
        case when days >= 70 then 'Seasonal Naive' end as model_name,
        case when days >= 70 then R2[t] end as total_predicted, case when days >= 70 then R2[t/30e0] end as avg_daily_predicted,
        case when days >= 70 then 30 end as periods, case when days >= 70 then R2[mae] end as backtest_mae,

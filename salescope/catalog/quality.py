@@ -88,7 +88,7 @@ query("dq_issues", f"select * from ({_ALL}) a")(
     lambda spark, sf: ops.validate(view(spark, sf, "raw_sales")).where("rule <> 'optional_missing'").select(*SHOWN))
 query("dq_report", f"""
 select e as errors, w as warnings, e + w as total_issues, e = 0 as is_valid,
-       'Data validation failed with ' || e || ' error(s) and ' || w || ' warning(s).' as summary
+       'Errors: ' || e || ', warnings: ' || w || '.' as summary
 from (select count(*) filter (where severity = 'error') as e, count(*) filter (where severity = 'warning') as w
       from ({_ALL}) a) t""")(
     lambda spark, sf: ops.report(ops.validate(view(spark, sf, "raw_sales").withColumn("revenue", F.lit(1.0)))))

@@ -102,7 +102,7 @@ def read_business_table(spark: SparkSession, path, file_type: str = "auto", prob
     except ValueError:
         raise
     except Exception as e:
-        raise ValueError(f"Failed to load {FORMATS[kind]} file: {e}") from e
+        raise ValueError(f"This {FORMATS[kind]} file could not be read: {e}") from e
     return Loaded(type_columns(named, probe), FORMATS[kind], mappings, uncertain)
 
 
