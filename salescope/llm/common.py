@@ -116,7 +116,7 @@ def word_heads(data: bytes, start: np.ndarray, end: np.ndarray, most: int) -> np
 
 
 #: Bytes of text that one array pass takes together; a longer document is a pass of its own.
-PASS_BYTES = 1 << 20
+PASS_BYTES = 1 << 19
 
 
 def passes(texts: list[str | None]):
