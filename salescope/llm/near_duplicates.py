@@ -27,7 +27,7 @@ COUNTERS, SLICE = 1 << 22, 1 << 16
 #: Values of the sketch that estimates the similarity of a pair, and the estimate below which it is dropped.
 SKETCH, LEAST_ESTIMATE = 32, 0.35
 #: Bits of the parities that bound from below how many shingles two documents do not share.
-PARITIES = 512
+PARITIES = 1024
 #: Members of a list that one task compares; longer lists are cut into blocks.
 BLOCK = 4_096
 
