@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from salescope.llm.common import LETTERS, joined, packed, passes, word_hashes, word_heads
 from salescope.llm.labelled import labelled_sample, remainder
-from salescope.plans.session import ship_package, written
+from salescope.plans.session import ship_package
 
 #: Labelled documents the model is fitted on at most.
 SAMPLE_ROWS = 20_000
@@ -22,12 +22,10 @@ SAMPLE_ROWS = 20_000
 class Settings:
     buckets: int = 1 << 18
     factors: int = 4
-    kept: int = 1 << 13  # terms whose presence goes with the label most clearly
-    clear: float = 3.5  # standard deviations from the share of labels, at least
     steps: int = 1_500
     batch: int = 256
     step: float = 0.1
-    shrink: float = 3e-5
+    shrink: float = 1e-3
 
 
 @dataclass
@@ -80,9 +78,10 @@ def score(texts: list[str | None], model: Machine) -> np.ndarray:
 
 
 def fit(rows: list[np.ndarray], y: np.ndarray, s: Settings = Settings()) -> Machine:
-    """Fits the weights of the terms in ``rows``, the numbers of each document's clear terms.
+    """Fits weights and factors of all terms in ``rows``, the numbers of each document's terms.
 
-    Adaptive steps over shuffled batches; weights shrink towards zero, so terms without a bearing end there.
+    Adaptive steps over shuffled batches; weights shrink towards zero, so terms without a bearing end there. No term
+    is left out beforehand: one that tells nothing alone may tell much together with another.
     Without labelled rows every score is one half; with labels of one kind the bias alone tells it.
     """
     rng = np.random.default_rng(7)
@@ -91,44 +90,57 @@ def fit(rows: list[np.ndarray], y: np.ndarray, s: Settings = Settings()) -> Mach
         return model
     share = (y.sum() + 0.5) / (len(y) + 1)
     model.bias = float(np.log(share / (1 - share)))
-    seen = np.unique(np.concatenate(rows))
-    model.factors[:, seen] = rng.normal(0, 0.02, (s.factors, len(seen)))
-    gw, gv = np.full(s.buckets, 1e-3), np.full(model.factors.shape, 1e-3)
+    size = np.array([len(r) for r in rows], np.int64)
+    begin = np.cumsum(size) - size
+    flat = np.concatenate(rows).astype(np.int32)
+    seen = np.flatnonzero(np.bincount(flat, minlength=s.buckets))
+    place = np.zeros(s.buckets, np.int32)
+    place[seen] = np.arange(len(seen))
+    flat = place[flat]
+    # One column for each term that occurs: its weight, then its factors.
+    k, m = s.factors, len(seen)
+    weights = np.concatenate([np.zeros((1, m)), rng.normal(0, 0.02, (k, m))])
+    squares = np.full((k + 1, m), 1e-3)
+    speed = np.array([s.step] + [0.3 * s.step] * k)[:, None]
+    there = np.zeros(m, bool)
     gb = 1e-3
     for _ in range(-(-s.steps * s.batch // max(len(rows), s.batch))):
         order = rng.permutation(len(rows))
         for a in range(0, len(order), s.batch):
             part = order[a : a + s.batch]
-            doc = np.repeat(np.arange(len(part)), [len(rows[i]) for i in part])
-            bucket = np.concatenate([rows[i] for i in part])
-            raw, total = _raw(len(part), doc, bucket, model)
-            error = 1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y[part]
-            used, where = np.unique(bucket, return_inverse=True)
-            e = error[doc]
-            g = np.bincount(where, e, len(used)) / len(part)
-            gw[used] += g * g
-            rate = s.step / np.sqrt(gw[used])
-            w = model.linear[used] - rate * g
-            model.linear[used] = np.sign(w) * np.maximum(np.abs(w) - rate * s.shrink, 0)
-            v = model.factors[:, used]
-            for f in range(s.factors):
-                gf = np.bincount(where, e * (total[f][doc] - v[f][where]), len(used)) / len(part)
-                gv[f, used] += gf * gf
-                rate = 0.3 * s.step / np.sqrt(gv[f, used])
-                w = v[f] - rate * gf
-                model.factors[f, used] = np.sign(w) * np.maximum(np.abs(w) - rate * s.shrink, 0)
-            g0 = float(error.mean())
+            n, own = len(part), size[part]
+            doc = np.repeat(np.arange(n), own)
+            term = flat[np.arange(len(doc)) + np.repeat(begin[part] - (np.cumsum(own) - own), own)]
+            there[term] = True
+            used = np.flatnonzero(there)
+            there[used] = False
+            place[used] = np.arange(len(used))
+            term = place[term]
+            w = weights[:, used]
+            held = [c[term] for c in w]
+            total = np.stack([np.bincount(doc, c, n) for c in held])
+            square = np.bincount(doc, sum(c * c for c in held[1:]), n)
+            raw = model.bias + total[0] + 0.5 * ((total[1:] ** 2).sum(axis=0) - square)
+            error = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y[part]) / n
+            total[0] = 1
+            g = np.stack([np.bincount(term, c[doc], len(used)) for c in total * error])
+            g[1:] -= g[0] * w[1:]
+            square = squares[:, used] + g * g
+            squares[:, used] = square
+            rate = speed / np.sqrt(square)
+            w -= rate * g
+            weights[:, used] = np.sign(w) * np.maximum(np.abs(w) - rate * s.shrink, 0)
+            g0 = float(error.sum())
             gb += g0 * g0
             model.bias -= s.step * g0 / gb**0.5
+    model.linear[seen], model.factors[:, seen] = weights[0], weights[1:]
     return model
 
 
 def train(documents: DataFrame, labels: DataFrame, s: Settings = Settings(), folds: int = 5, held: int = 0) -> Machine:
     """Fits the machine on at most SAMPLE_ROWS labelled documents.
 
-    Spark works out their terms and screens them: a term is kept if the share of toxic documents among those
-    that hold it is ``clear`` standard deviations from the share of all. Only kept terms, at most ``kept``, reach the
-    driver.
+    Spark works out their terms; all of them reach the driver, four bytes for each distinct term of a document.
     """
     ship_package(documents.sparkSession)
     buckets = s.buckets
@@ -137,20 +149,12 @@ def train(documents: DataFrame, labels: DataFrame, s: Settings = Settings(), fol
         for batch in batches:
             doc, bucket = terms(batch["text"].tolist(), buckets)
             cuts = np.searchsorted(doc, np.arange(1, len(batch)))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "y": batch["y"], "terms": np.split(bucket.astype(np.int32), cuts)})
+            own = [t.tobytes() for t in np.split(bucket.astype("<i4"), cuts)]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "y": batch["y"], "terms": own})
 
     sample = labelled_sample(documents, labels, "toxic", folds, held, SAMPLE_ROWS)
-    sample = written(sample.mapInPandas(featurize, "doc_id long, y int, terms array<int>"), "toxicity-sample")
-    n, toxic = sample.agg(F.count(F.lit(1)), F.sum("y")).first()
-    share = ((toxic or 0) + 0.5) / (n + 1)
-    held_by = sample.select("y", F.explode("terms").alias("term")).groupBy("term").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("y").alias("toxic"))
-    clear = F.abs(F.col("toxic") - F.col("n") * share) / F.sqrt(F.col("n") * (share * (1 - share)) + 1)
-    best = held_by.filter(clear >= s.clear).orderBy(clear.desc(), "term").limit(s.kept)
-    kept = [r["term"] for r in best.select("term").collect()]
-    own = F.array_intersect("terms", F.array(*[F.lit(t) for t in kept]) if kept else F.array().cast("array<int>"))
-    rows = sample.select("doc_id", "y", own.alias("terms")).toPandas().sort_values("doc_id")
-    return fit([np.asarray(t, np.int64) for t in rows["terms"]], rows["y"].to_numpy(float), s)
+    rows = sample.mapInPandas(featurize, "doc_id long, y int, terms binary").toPandas().sort_values("doc_id")
+    return fit([np.frombuffer(t, "<i4") for t in rows["terms"]], rows["y"].to_numpy(float), s)
 
 
 def score_toxicity(documents: DataFrame, model: Machine) -> DataFrame:

@@ -36,6 +36,32 @@ def test_interaction_that_linear_weights_miss(spark, docs):
     assert len(got) == len(rows) and np.mean([r.predicted == truth[r["row"]["doc_id"]] for r in held]) > 0.9
 
 
+def test_pair_whose_terms_tell_nothing_alone(spark, docs):
+    """A tenth is toxic: slurs are, and an insult to a group is, but insult and group alone go with toxic texts no more than others."""
+    rng = random.Random(5)
+    words = [f"{rng.choice('bdfgklmnprst')}{rng.choice('aeiou')}{rng.choice('bdfgklmnprst')}{i}" for i in range(600)]
+    rows, labels, pair = [], [], set()
+    for i in range(4_000):
+        w = [rng.choice(words) for _ in range(rng.randint(10, 60))]
+        kind = rng.random()
+        both = kind < 0.29 and kind >= 0.09 and rng.random() < 0.1
+        if kind < 0.09:
+            w.append("slur")
+        elif both:
+            w += ["insult", "group"]
+            pair.add(i)
+        elif kind < 0.29:
+            w.append(rng.choice(["insult", "group"]))
+        rng.shuffle(w)
+        rows.append((i, " ".join(w)))
+        labels.append((i, 1, int(kind < 0.09 or both), "x"))
+    toxic = {i for i, _, t, _ in labels if t}
+    assert 0.09 < len(toxic) / len(rows) < 0.13
+    held = [r for r in toxicity.classify(docs(rows), spark.createDataFrame(labels, LABELS)).collect() if r.held_out]
+    assert np.mean([r.predicted for r in held if r["row"]["doc_id"] in pair]) >= 0.8
+    assert np.mean([r.predicted == (r["row"]["doc_id"] in toxic) for r in held]) > 0.97
+
+
 def test_quality_on_held_out_rows(spark, docs):
     rows, labels = corpus()
     got = quality.score_quality(docs(rows), spark.createDataFrame(labels, LABELS)).collect()
