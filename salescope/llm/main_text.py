@@ -42,8 +42,10 @@ NO_TEXT_WORDS = set(
     " subscribe subscription signup login search contentinfo complementary".split()
 )
 
+# As the HTML tokenizer has it, a quote opens a value only right after a "="; elsewhere it is a letter like any other.
+_VALUE = r"=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?=>)|[^\s>\"'][^\s>]*+)"
 _TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*(?:>|\Z)", re.S)
+    rf"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+\s*+(?:{_VALUE})?+)*+)>|<[!?/][^>]*(?:>|\Z)", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _SPACE = re.compile(r"\s+")
 

@@ -41,3 +41,11 @@ def test_repeated_paragraphs_of_articles_stay(spark):
     got = {(r["row"]["page_id"], r.text) for r in M.extract_pages(spark.createDataFrame(rows, DDL)).collect()}
     assert got == {(i, f"same words\npage {i}") for i in range(9)}
     assert M.extract_pages(spark.createDataFrame(rows, DDL).limit(0)).collect() == []
+
+
+def test_quotes_count_only_after_an_equals_sign():
+    stray = "<article><p>one <a title='it's'>two</a> three</p><p>it's four</p><p>five</p></article>"
+    assert M.main_text(stray, set()) == "one two three\nit's four\nfive"
+    assert M.main_text(stray.replace("it's four", "four"), set()) == "one two three\nfour\nfive"
+    assert M.main_text("<article><p title=\"x>y\" z = 'a>b' w=c\"d>one</p><p x=>two</p><p y>three", set()) == "one\ntwo\nthree"
+    assert M.main_text('<article><p>one</p><p title="cut>two</p>', set()) == "one\ntwo"
