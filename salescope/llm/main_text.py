@@ -48,6 +48,12 @@ _TAG = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+\s*+(?:{_VALUE})?+)*+)>|<[!?/][^>]*(?:>|\Z)", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _SPACE = re.compile(r"\s+")
+_PARTS = re.compile(r"[-_]+")
+
+#: A compound name with one of these tells of something else, as in has-sidebar or no-ads.
+ABOUT_OTHERS = set("has with without no not is hide hides show shows".split())
+#: In an article, these are its own text unless they carry a class, id or role: they may recur.
+PLAIN = set("p h1 h2 h3 h4 h5 h6 hgroup ul ol li dl dt dd".split())
 
 
 @dataclass
@@ -57,6 +63,8 @@ class Element:
     start: int
     end: int = -1
     no_text: bool = False
+    by_part: bool = False  # only a part of a compound name says that it holds no text
+    named: bool = False  # has a class, id or role
     in_article: bool = False
     holds_article: bool = False
 
@@ -73,6 +81,12 @@ class Page:
             i = self.elements[i].parent
 
 
+def _tells(name: str) -> bool:
+    """Whether a part of a compound name, as in ad-banner or comment_list, is one of NO_TEXT_WORDS."""
+    parts = _PARTS.split(name)
+    return len(parts) > 1 and not NO_TEXT_WORDS.isdisjoint(parts) and ABOUT_OTHERS.isdisjoint(parts)
+
+
 def parse(source: str | None) -> Page:
     """The elements of a page and its blocks of text; unclosed and misnested tags are put right as browsers do.
 
@@ -152,10 +166,11 @@ def parse(source: str | None) -> Page:
         parent = page.elements[stack[-1]] if stack else None
         words = {w for n in _NAMES.findall(found[3]) for w in n.strip("\"'").lower().split()} if found[3] else set()
         in_article = bool(parent and parent.in_article)
+        named = tag not in ("html", "body", "article", "main")
         page.elements.append(Element(
             tag, stack[-1] if stack else -1, begin, in_article=in_article or tag == "article",
-            no_text=tag in NO_TEXT_TAGS or tag == "header" and not in_article or tag not in ("html", "body", "article", "main")
-            and not words.isdisjoint(NO_TEXT_WORDS),
+            no_text=tag in NO_TEXT_TAGS or tag == "header" and not in_article or named and not words.isdisjoint(NO_TEXT_WORDS),
+            by_part=named and any(_tells(w) for w in words), named=bool(words),
         ))
         stack.append(len(page.elements) - 1)
         if tag == "article":
@@ -167,10 +182,15 @@ def parse(source: str | None) -> Page:
 
 
 def subtrees(page: Page) -> dict[int, int]:
-    """Hash of each element that may be a template: not the article, nothing inside it, nothing around it."""
+    """Hash of each element that may be a template: not the article and nothing around it.
+
+    Inside the article these are block elements, except plain paragraphs, headings and lists, which are its own text.
+    """
     out = {}
     for i, e in enumerate(page.elements):
-        if not (e.in_article or e.holds_article or e.tag in ("html", "body", "head", "main")):
+        if e.holds_article or e.tag in ("html", "body", "head", "main", "article"):
+            continue
+        if not e.in_article or e.tag in BLOCK and (e.named or e.tag not in PLAIN):
             out[i] = xxhash.xxh3_64_intdigest(_SPACE.sub(" ", page.source[e.start : e.end]).strip()) - (1 << 63)
     return out
 
@@ -178,8 +198,10 @@ def subtrees(page: Page) -> dict[int, int]:
 def main_text(source: str | None, templates: set[int]) -> str:
     page = parse(source)
     gone = {i for i, h in subtrees(page).items() if h in templates} if templates else set()
-    gone |= {i for i, e in enumerate(page.elements) if e.no_text}
     landmark = next((t for t in ("article", "main") if any(e.tag == t for e in page.elements)), None)
+    around = {i for k, e in enumerate(page.elements) if e.tag == landmark for i in page.chain(k)}
+    # A compound name around the article is that of a layout, not of what is in it.
+    gone |= {i for i, e in enumerate(page.elements) if e.no_text or e.by_part and i not in around}
     out = []
     for inner, text in page.blocks:
         chain = list(page.chain(inner))
@@ -219,7 +241,7 @@ def host_templates(pages: DataFrame) -> DataFrame:
 def extract_pages(pages: DataFrame) -> DataFrame:
     """(row, text) for every page, ``row`` with all its columns: the main text, its blocks joined by line breaks.
 
-    Subtrees that recur on the host go first, then navigation, forms, adverts and the like by what they are; if the
+    Subtrees that recur on the host go first, in articles all but plain paragraphs, headings and lists, then navigation, forms, adverts and the like by what they are; if the
     page marks an article, or else a main part, the rest outside it goes too. Null html is empty: no text. Pages
     without a readable host are counted together. Repeated pages give equal texts. No pages: no rows.
     """

@@ -49,3 +49,20 @@ def test_quotes_count_only_after_an_equals_sign():
     assert M.main_text(stray.replace("it's four", "four"), set()) == "one two three\nfour\nfive"
     assert M.main_text("<article><p title=\"x>y\" z = 'a>b' w=c\"d>one</p><p x=>two</p><p y>three", set()) == "one\ntwo\nthree"
     assert M.main_text('<article><p>one</p><p title="cut>two</p>', set()) == "one\ntwo"
+
+
+def test_templates_in_articles_go(spark):
+    def page(i):
+        return (f"<div class='page has-sidebar'><article><h2>Report</h2><p>story {i}</p><div class='zz9'><p>join our readers</p></div>"
+                f"<p class='x1'>all times local</p><div><p>more on {i}</p></div><ul><li>as ever</li></ul></article></div>")
+
+    rows = [(i, f"http://h.example/{i}", page(i), "", "") for i in range(9)]
+    got = {(r["row"]["page_id"], r.text) for r in M.extract_pages(spark.createDataFrame(rows, DDL)).collect()}
+    assert got == {(i, f"Report\nstory {i}\nmore on {i}\nas ever") for i in range(9)}
+
+
+def test_parts_of_compound_names():
+    page = "<div id='main-menu-layout'><article><p>text</p>{}<section class='no-ads'><p>more</p></section></article></div>"
+    for name in ("ad-banner", "cookie-notice", "comment_list", "related-posts"):
+        assert M.main_text(page.format(f"<div class='{name}'><p>gone</p></div>"), set()) == "text\nmore"
+    assert M.main_text(page.format("<div class='adverb-list'><p>kept</p></div>"), set()) == "text\nkept\nmore"
