@@ -39,6 +39,17 @@ def test_stages_keep_the_columns(spark, odd):
     assert docs.count() > 0 and "sequence_id" in docs.columns
 
 
+@pytest.mark.parametrize("labels", [[], [(12, 1, 1)]])
+def test_no_labels_to_learn_from_drop_nothing(spark, odd, tmp_path, labels):
+    """12 is in the held-out fold: crc32 of "12" is a multiple of 5."""
+    import zlib
+
+    assert zlib.crc32(b"12") % 5 == 0
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = corpus_pipeline.drop_toxic(spark, odd, str(tmp_path))
+    assert kept.columns == odd.columns and kept.count() == odd.count()
+
+
 def test_pipeline_on_the_smallest_tables(spark):
     assert corpus_pipeline.ORACLE_SQL is None
     out = corpus_pipeline.run(spark, SF).collect()
