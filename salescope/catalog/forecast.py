@@ -70,6 +70,12 @@ select series_id, date, day_of_week, trend_days, {', '.join(f"R4[{f}] as {f}" fo
 from ({_FEATURES}) f where series_id = 'All Products' and day >= 28""")(
     lambda spark, sf: S.training_rows(S.daily_features(_series(spark, sf, products=False))).select(
         "series_id", *_SHOWN, *[r4(f) for f in _ROUNDED]))
+query("date_spine_all", f"select * from ({_SPINE}) s")(_series)
+query("daily_features_all", f"""
+select series_id, date, day_of_week, trend_days, {', '.join(f"R4[{f}] as {f}" for f in _ROUNDED)}
+from ({_FEATURES}) f where day >= 28""")(
+    lambda spark, sf: S.training_rows(S.daily_features(_series(spark, sf))).select(
+        "series_id", *_SHOWN, *[r4(f) for f in _ROUNDED]))
 query("annual_cycle", """
 select order_id, line_id, cast(isodow(date)-1 as int) as day_of_week, R4[sin(2*pi()*(isodow(date)-1)/7e0)] as week_sin,
        R4[cos(2*pi()*(isodow(date)-1)/7e0)] as week_cos, R4[sin(2*pi()*(dayofyear(date)-1)/365.25e0)] as month_sin,
@@ -144,9 +150,9 @@ join ({_next(30)}) n on n.series_id = l.series_id where days >= 70 and l.series_
     lambda spark, sf: fc.demand_30d(_series(spark, sf, overall=False), []))
 
 _SMALL = [fc.forest(trees=8, depth=5), fc.boosting(rounds=6, step=0.2, depth=3)]
-query("forecast")(lambda spark, sf: fc.forecast_daily_demand(_series(spark, sf, products=False), 30, _SMALL)[0])
+query("forecast")(lambda spark, sf: fc.forecast_daily_demand(_series(spark, sf), 30, _SMALL)[0])
 query("recursive_forecast")(
-    lambda spark, sf: fc.forecast_daily_demand(_series(spark, sf, products=False), 30, [fc.forest(trees=8, depth=5)])[1])
+    lambda spark, sf: fc.forecast_daily_demand(_series(spark, sf), 30, [fc.forest(trees=8, depth=5)])[1])
 query("forecast_or_history", f"""
 with f as (select l.series_id as product_id, R2[sum(predicted)] as d from ({_LONG}) l
            join ({_next(30)}) n on n.series_id = l.series_id where days >= 70 group by 1)

@@ -26,3 +26,23 @@ query("describe_numeric", " union all ".join(
     f" R2[quantile_cont(cast({c} as double), 0.5)] as p50, R2[quantile_cont(cast({c} as double), 0.75)] as p75,"
     f" R2[max({c})] as max from sales" for c in _NUMBERS))(
     lambda spark, sf: ops.describe_numeric(view(spark, sf, "sales"), _NUMBERS))
+
+
+_ALL_COLUMNS = [("date", "string"), ("order_id", "string"), ("line_id", "bigint"), ("product_id", "string"),
+                ("product_name", "string"), ("category", "string"), ("quantity", "string"), ("unit_price", "double"),
+                ("discount", "double"), ("cost_per_unit", "double"), ("marketing_spend", "double"), ("returns", "int"),
+                ("customer_id", "string"), ("region", "string"), ("inventory_units", "int")]
+
+query("column_profile_all", " union all ".join(
+    f"select '{c}' as field, '{t}' as type, count({c}) as non_null, count(*) - count({c}) as missing,"
+    f" count(distinct {c}) as distinct_values from raw_sales" for c, t in _ALL_COLUMNS))(
+    lambda spark, sf: ops.column_profile(view(spark, sf, "raw_sales")))
+
+_ALL_NUMBERS = ["line_id", "quantity", "unit_price", "discount", "cost_per_unit", "marketing_spend", "returns",
+                "inventory_units", "discount_rate", "net_price", "revenue", "cost", "gross_profit", "net_revenue", "profit_margin"]
+query("describe_numeric_all", " union all ".join(
+    f"select '{c}' as field, count({c}) as count, R2[XA[{c}]] as mean, R2[stddev_samp({c})] as std,"
+    f" R2[min({c})] as min, R2[quantile_cont(cast({c} as double), 0.25)] as p25,"
+    f" R2[quantile_cont(cast({c} as double), 0.5)] as p50, R2[quantile_cont(cast({c} as double), 0.75)] as p75,"
+    f" R2[max({c})] as max from sales" for c in _ALL_NUMBERS))(
+    lambda spark, sf: ops.describe_numeric(view(spark, sf, "sales"), _ALL_NUMBERS))

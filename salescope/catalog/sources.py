@@ -69,6 +69,8 @@ query("src_parquet", "select l_orderkey, l_partkey, l_quantity from lineitem whe
     lambda spark, sf: readers.read_parquet(spark, f"{sf}/lineitem.parquet")
     .select("l_orderkey", "l_partkey", "l_quantity").where("l_quantity > 25"))
 
+query("src_parquet_all", "select * from lineitem")(lambda spark, sf: readers.read_parquet(spark, f"{sf}/lineitem.parquet"))
+
 query("load_report", """
 select count(*) as rows_loaded, cast(6 as bigint) as columns_loaded, 'Parquet' as file_type,
        'o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority' as column_names,
