@@ -149,10 +149,9 @@ select l.series_id as product_id, R2[sum(predicted)] as demand_30d from ({_LONG}
 join ({_next(30)}) n on n.series_id = l.series_id where days >= 70 and l.series_id <> 'All Products' group by 1""")(
     lambda spark, sf: fc.demand_30d(_series(spark, sf, overall=False), []))
 
-_SMALL = [fc.forest(trees=8, depth=5), fc.boosting(rounds=6, step=0.2, depth=3)]
-query("forecast")(lambda spark, sf: fc.forecast_daily_demand(_series(spark, sf), 30, _SMALL)[0])
+query("forecast")(lambda spark, sf: fc.forecast_daily_demand(_series(spark, sf), 30)[0])
 query("recursive_forecast")(
-    lambda spark, sf: fc.forecast_daily_demand(_series(spark, sf), 30, [fc.forest(trees=8, depth=5)])[1])
+    lambda spark, sf: fc.forecast_daily_demand(_series(spark, sf), 30)[1])
 query("forecast_or_history", f"""
 with f as (select l.series_id as product_id, R2[sum(predicted)] as d from ({_LONG}) l
            join ({_next(30)}) n on n.series_id = l.series_id where days >= 70 group by 1)

@@ -9,8 +9,6 @@ from ..operators.series import forecast_totals
 from ..plans.registry import query
 from ..plans.session import written
 
-SMALL = {"trees": 8, "depth": 5}
-
 
 def _prepared(spark, sf):
     """Train and test rows with a feature vector, and the feature names."""
@@ -30,22 +28,22 @@ def _linear(spark, sf):
 
 def _forest(spark, sf):
     train, _, names, _ = _prepared(spark, sf)
-    return ops.train_forest(train, names, **SMALL).weights
+    return ops.train_forest(train, names).weights
 
 
 def _bagged(spark, sf):
     train, _, names, _ = _prepared(spark, sf)
-    return ops.train_bagged(train, names, **SMALL).weights
+    return ops.train_bagged(train, names).weights
 
 
 def _boosted(spark, sf):
     train, _, names, _ = _prepared(spark, sf)
-    return ops.train_boosted(train, names, rounds=5, step=0.2).weights
+    return ops.train_boosted(train, names).weights
 
 
 def _all(spark, sf):
     train, test, names, _ = _prepared(spark, sf)
-    return ops.predictions(ops.train_all(train, names, trees=5, depth=4, rounds=4), test)
+    return ops.predictions(ops.train_all(train, names), test)
 
 
 def _floored(spark, sf):

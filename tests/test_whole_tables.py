@@ -34,3 +34,26 @@ def test_profiles_take_all_columns(spark):
     assert {r.field for r in entry.queries()["column_profile_all"](spark, SF).collect()} == set(raw.columns)
     numbers = {c for c, t in sales.dtypes if t in ("int", "bigint", "double")}
     assert {r.field for r in entry.queries()["describe_numeric_all"](spark, SF).collect()} == numbers
+
+
+def test_models_are_fitted_at_the_defaults(monkeypatch):
+    from salescope.catalog import forecast, models
+
+    seen = []
+    monkeypatch.setattr(models, "_prepared", lambda spark, sf: ("train", "test", ["a"], None))
+    monkeypatch.setattr(models.ops, "predictions", lambda trained, test: None)
+    monkeypatch.setattr(models.ops, "compare_models", lambda rows: None)
+    monkeypatch.setattr(models.ops, "fit_band", lambda rows: None)
+    monkeypatch.setattr(models.ops, "top_features", lambda weights: None)
+    for name in ("train_forest", "train_bagged", "train_boosted", "train_all"):
+        monkeypatch.setattr(models.ops, name, lambda *args, **more: seen.append((args, more)) or models.ops.Trained(None, {}))
+    for name in ("random_forest", "bagged_trees_alt", "boosted_trees", "train_all", "top_features"):
+        entry.queries()[name](None, SF)
+    assert seen == [(("train", ["a"]), {})] * 5
+    seen.clear()
+    monkeypatch.setattr(forecast, "view", lambda *args: None)
+    monkeypatch.setattr(forecast.S, "daily_series", lambda sales, overall=True, products=True: ("series", overall, products))
+    monkeypatch.setattr(forecast.fc, "forecast_daily_demand", lambda *args: seen.append(args) or ("summary", "days"))
+    for name in ("forecast", "recursive_forecast"):
+        entry.queries()[name](None, SF)
+    assert seen == [(("series", True, True), 30)] * 2
