@@ -9,7 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salescope.llm import main_text, mixing, near_duplicates, neighbours, packing, quality, repeats, sharding, top_k, toxicity
+from salescope.llm import (
+    main_text, mixing, near_duplicates, neighbours, packing, quality, repeats, resampling, sharding, top_k, toxicity,
+)
 from salescope.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +98,13 @@ def pipeline(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op6_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return neighbours.nearest(read_table(spark, sf, "embeddings").select("vec_id", "embedding"))
+
+
+@query
+def op11_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    drawn = resampling.resample(docs, read_table(spark, sf, "benchmark").select("text"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+SQL["op11_resampling"] = resampling.RESAMPLE_SQL
