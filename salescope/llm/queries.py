@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salescope.llm import (
-    main_text, mixing, near_duplicates, neighbours, packing, quality, repeats, resampling, sharding, top_k, toxicity,
+    conversations, main_text, mixing, near_duplicates, neighbours, packing, quality, repeats, resampling, sharding, top_k, toxicity,
 )
 from salescope.llm.common import read_table
 
@@ -108,3 +108,11 @@ def op11_resampling(spark: SparkSession, sf: str) -> DataFrame:
 
 
 SQL["op11_resampling"] = resampling.RESAMPLE_SQL
+
+
+@query
+def op13_conversations(spark: SparkSession, sf: str) -> DataFrame:
+    return conversations.repair(read_table(spark, sf, "conversations"))
+
+
+SQL["op13_conversations"] = conversations.REPAIR_SQL
