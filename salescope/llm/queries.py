@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salescope.llm import (
-    conversations, main_text, mixing, near_duplicates, neighbours, packing, quality, repeats, resampling, sharding, top_k, toxicity,
+    conversations, main_text, mixing, near_duplicates, neighbours, packing, personal_data, quality, repeats, resampling, sharding,
+    top_k, toxicity,
 )
 from salescope.llm.common import read_table
 
@@ -116,3 +117,9 @@ def op13_conversations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 SQL["op13_conversations"] = conversations.REPAIR_SQL
+
+
+@query
+def op12_personal_data(spark: SparkSession, sf: str) -> DataFrame:
+    found = personal_data.detect(read_table(spark, sf, "documents").select("doc_id", "text"))
+    return found.select(F.col("row.doc_id").alias("doc_id"), "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")

@@ -21,7 +21,7 @@ def test_same_rows_as_sql(spark, name):
 
 def test_all_are_registered():
     names = set(entry.queries())
-    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11)) and "pipeline" in names
+    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 14)) and "pipeline" in names
 
 
 def test_stages_keep_the_columns(spark, odd):
