@@ -49,6 +49,10 @@ def _series(spark, sf, overall=True, products=True):
     return S.daily_series(view(spark, sf, "sales"), overall, products)
 
 
+def _numbered(spark, sf, overall=True, latest=None):
+    return S.numbered_days(S.daily_demand(view(spark, sf, "sales"), overall), latest)
+
+
 def r4(c):
     return (F.rint(F.col(c) * 1e4) / 1e4 + 0.0).alias(c)
 
@@ -98,14 +102,15 @@ query("daily_rolling", _per_series(_FEATURES, {
         (F.rint(F.max(f"{s}_{k}") * 100.0) / 100.0 + 0.0).alias(f"{s}_{k}") for s in ("mean", "std") for k in S.ROLLING_DAYS]))
 query("rolling_origin_folds", _FOLDS)(lambda spark, sf: S.rolling_origin_folds(_series(spark, sf)))
 query("seasonal_naive", _next(30))(lambda spark, sf: S.seasonal_naive(_series(spark, sf), 30))
-query("backtest", _NAIVE)(lambda spark, sf: S.naive_backtest(_series(spark, sf)))
+query("backtest", _NAIVE)(lambda spark, sf: S.naive_backtest(_numbered(spark, sf, latest=S.BACKTEST_DAYS)))
 query("wape", f"select series_id, R4[mae] as mae, R4[wape] as wape from ({_SCORE}) s")(
-    lambda spark, sf: S.scores(S.naive_backtest(_series(spark, sf)), "series_id").select("series_id", r4("mae"), r4("wape")))
+    lambda spark, sf: S.scores(S.naive_backtest(_numbered(spark, sf, latest=S.BACKTEST_DAYS)), "series_id").select(
+        "series_id", r4("mae"), r4("wape")))
 
 
 def _rivals(spark, sf):
     """Scores of three methods: the baseline, a constant and a copy of the baseline."""
-    naive = S.naive_backtest(_series(spark, sf))
+    naive = S.naive_backtest(_numbered(spark, sf, latest=S.BACKTEST_DAYS))
     rows = naive.select("*", F.lit(fc.NAIVE).alias("model")).unionByName(
         naive.withColumns({"predicted": F.lit(0.5), "model": F.lit(fc.BOOSTING)})).unionByName(
         naive.withColumns({"predicted": F.lit(0.0), "model": F.lit(fc.FOREST)}))
@@ -149,9 +154,49 @@ select l.series_id as product_id, R2[sum(predicted)] as demand_30d from ({_LONG}
 join ({_next(30)}) n on n.series_id = l.series_id where days >= 70 and l.series_id <> 'All Products' group by 1""")(
     lambda spark, sf: fc.demand_30d(_series(spark, sf, overall=False), []))
 
-query("forecast")(lambda spark, sf: fc.forecast_daily_demand(_series(spark, sf), 30)[0])
-query("recursive_forecast")(
-    lambda spark, sf: fc.forecast_daily_demand(_series(spark, sf), 30)[1])
+query("forecast")(lambda spark, sf: fc.forecast_daily_demand(_numbered(spark, sf), 30)[0])
+query("recursive_forecast")(lambda spark, sf: fc.forecast_daily_demand(_numbered(spark, sf), 30)[1])
+
+
+def _outline(spark, sf):
+    """What is known of the models' forecasts without fitting them: who gets one, for which days, and that it fits together."""
+    summary, days = fc.forecast_daily_demand(_numbered(spark, sf), 30)
+    made = days.groupBy("series_id").agg(
+        F.count(F.lit(1)).alias("steps"), F.min("date").alias("first_day"), F.max("date").alias("last_day"),
+        (F.min("predicted") >= 0).alias("none_negative"), F.sum("predicted").alias("total"))
+    fits = F.abs(F.col("total") - F.col("total_predicted")) <= 0.005 + 1e-9 * F.abs(F.col("total"))
+    return summary.join(made, "series_id", "left").select(
+        "series_id", "status", "error", "periods", "validation_days", "steps", "first_day", "last_day", "none_negative",
+        fits.alias("total_fits"), (F.col("backtest_wape") <= F.col("baseline_wape")).alias("no_worse_than_baseline"),
+        F.col("model_name").isin(*fc.ORDER).alias("known_model"),
+        (F.col("beats_baseline") == (F.col("model_name") != fc.NAIVE)).alias("beats_unless_baseline"))
+
+
+query("forecast_outline", f"""
+select series_id, case when days >= 70 then 'success' else 'error' end as status,
+       case when days < 70 then 'A forecast needs 70 days of history, this series has ' || days || '.' end as error,
+       case when days >= 70 then 30 end as periods, case when days >= 70 then cast({_H} as int) end as validation_days,
+       case when days >= 70 then cast(30 as bigint) end as steps, case when days >= 70 then cast(mx + 1 as date) end as first_day,
+       case when days >= 70 then cast(mx + 30 as date) end as last_day, case when days >= 70 then true end as none_negative,
+       case when days >= 70 then true end as total_fits, case when days >= 70 then true end as no_worse_than_baseline,
+       case when days >= 70 then true end as known_model, case when days >= 70 then true end as beats_unless_baseline
+from (select series_id, count(*) as days, max(date) as mx from ({_SPINE}) s group by 1) l""")(_outline)
+
+
+def _planned(spark, sf):
+    """Pricing scenarios fed by the models' forecasts: which proposals rest on a forecast, which on history."""
+    from ..operators import decisions
+
+    sales = view(spark, sf, "sales")
+    made = fc.demand_30d(S.numbered_days(S.daily_demand(sales, overall=False)))
+    out = decisions.demand_30d(decisions.product_history(sales), made)
+    same = F.abs(F.col("demand") - F.col("demand_30d")) <= 1e-6
+    both = out.join(made, "product_id", "left")
+    return both.select("product_id", "from_forecast", F.when(F.col("from_forecast"), same).alias("demand_is_the_forecast"),
+                       F.when(~F.col("from_forecast"), F.rint(F.col("demand") * 100.0) / 100.0 + 0.0).alias("from_history"))
+
+
+query("demand_30d_models")(_planned)
 query("forecast_or_history", f"""
 with f as (select l.series_id as product_id, R2[sum(predicted)] as d from ({_LONG}) l
            join ({_next(30)}) n on n.series_id = l.series_id where days >= 70 group by 1)

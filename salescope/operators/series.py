@@ -19,6 +19,7 @@ WEEK = 7
 FOLDS = 3
 HORIZON_RANGE = (7, 28)
 HORIZON_PART = 12
+BACKTEST_DAYS = (FOLDS + 1) * HORIZON_RANGE[1]
 YEAR_DAYS = 365.25
 
 OVERALL = "All Products"
@@ -57,20 +58,30 @@ def daily_demand(df: DataFrame, overall: bool = True, products: bool = True) ->
 
 
 def fill_days(observed: DataFrame) -> DataFrame:
-    """Every calendar day from the first to the last of a series, zero where nothing sold.
+    """Every calendar day from the first to the last of a series, zero where nothing sold."""
+    return numbered_days(observed).select("series_id", "date", "quantity")
 
-    Each observed day also emits the empty days up to the next one, so no calendar
-    table is joined, and later windows find the rows already partitioned by series.
-    The number of partitions is set here: few observed rows can become many days, so
-    partitions merged by their size before that would leave cores idle after it.
+
+def numbered_days(observed: DataFrame, latest: int | None = None) -> DataFrame:
+    """Every calendar day of a series with its 0-based number and the length of the series, zero where nothing sold.
+
+    With ``latest`` only that many days at the end of each series are made; their numbers are those in the whole series.
+    Each observed day also emits the empty days up to the next one, and first and last day give numbers and
+    length, so no calendar table is joined and nothing is numbered after it is filled. The number of partitions is set here:
+    few observed rows can become many days, so partitions merged by their size before that would leave cores idle after it.
     """
     parts = int(observed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     observed = observed.repartition(parts, "series_id")
     until = F.coalesce(F.date_sub(F.lead("date").over(_by_day()), 1), F.col("date"))
-    spans = observed.withColumn("until", until)
-    days = spans.select("series_id", "date", "quantity", F.explode(F.sequence("date", "until")).alias("day"))
-    quantity = F.when(F.col("day") == F.col("date"), F.col("quantity")).otherwise(F.lit(0.0))
-    return days.select("series_id", F.col("day").alias("date"), quantity.alias("quantity"))
+    spans = observed.withColumns({
+        "until": until, "first": F.min("date").over(_whole()), "last": F.max("date").over(_whole())})
+    begin = F.col("date") if latest is None else F.greatest("date", F.date_sub("last", latest - 1))
+    spans = spans.where(F.col("until") >= begin)
+    days = spans.select("*", F.explode(F.sequence(begin, F.col("until"))).alias("at"))
+    return days.select(
+        "series_id", F.col("at").alias("date"),
+        F.when(F.col("at") == F.col("date"), F.col("quantity")).otherwise(F.lit(0.0)).alias("quantity"),
+        F.datediff("at", "first").alias("day"), (F.datediff("last", "first") + 1).alias("days"))
 
 
 def daily_series(df: DataFrame, overall: bool = True, products: bool = True) -> DataFrame:
@@ -88,7 +99,9 @@ def cycle(d: Column) -> dict[str, Column]:
 
 
 def positions(series: DataFrame) -> DataFrame:
-    """Adds the 0-based day number and the length of the series."""
+    """Adds the 0-based day number and the length of the series, where they aren't there yet."""
+    if {"day", "days"} <= set(series.columns):
+        return series
     return series.withColumns({
         "day": F.row_number().over(_by_day()) - 1, "days": F.count(F.lit(1)).over(_whole()).cast("int"),
     })
@@ -148,10 +161,12 @@ def naive_backtest(series: DataFrame) -> DataFrame:
     """(series_id, fold, date, actual, predicted) of the weekly baseline.
 
     A day of a fold repeats the last week before the fold, so it looks a whole number
-    of weeks back: one, two, three or four.
+    of weeks back: one, two, three or four. Earlier days than that are left out before any window.
     """
+    numbered = positions(series)
+    near = numbered.where(F.col("day") >= F.col("days") - BACKTEST_DAYS)
     back = {f"__w{k}": F.lag("quantity", WEEK * k).over(_by_day()) for k in range(1, HORIZON_RANGE[1] // WEEK + 1)}
-    days = in_folds(positions(series).withColumns(back))
+    days = in_folds(near.withColumns(back))
     weeks = F.floor((F.col("day") - F.col("origin")) / WEEK) + 1
     value = F.lit(None).cast("double")
     for k in range(1, len(back) + 1):

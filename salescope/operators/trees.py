@@ -1,9 +1,8 @@
-"""Fitted MLlib tree ensembles as arrays, for predictions inside a task.
+"""Regression trees over binned inputs, fitted on one bag of rows inside a task.
 
-A recursive forecast needs each prediction before it can form the next input, which
-a plain ``transform`` would answer with one job per day. The nodes of a fitted model
-are few (their number follows from trees and depth, not from the data), so they are
-read once and sent to the tasks.
+A panel of many series is dealt into bags by Spark; a bag has a bounded number of rows, so its trees are fitted
+in one task with array passes, and bags of all folds side by side. The nodes of a fitted tree are few (they follow from depth or
+leaves, not from the data), so they are gathered and sent to the tasks that predict.
 """
 
 from __future__ import annotations
@@ -11,59 +10,205 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import SparkSession
 
-from ..plans.session import scratch
+#: Bins of one input at most.
+BINS = 64
+
+#: Elements that one array pass of a prediction holds at most.
+PASS = 2_000_000
 
 
 @dataclass
+class Tree:
+    """Nodes in arrays: at a leaf the threshold is infinite and both children are the leaf itself."""
+
+    feature: list[int]
+    threshold: list[float]
+    left: list[int]
+    right: list[int]
+    value: list[float]
+
+    @staticmethod
+    def root(value: float) -> Tree:
+        tree = Tree([], [], [], [], [])
+        tree.leaf(value)
+        return tree
+
+    def leaf(self, value: float) -> int:
+        n = len(self.value)
+        self.feature.append(0)
+        self.threshold.append(float("inf"))
+        self.left.append(n)
+        self.right.append(n)
+        self.value.append(float(value))
+        return n
+
+    def split(self, node: int, feature: int, threshold: float, below: float, above: float) -> tuple[int, int]:
+        self.feature[node], self.threshold[node] = int(feature), float(threshold)
+        self.left[node], self.right[node] = self.leaf(below), self.leaf(above)
+        return self.left[node], self.right[node]
+
+
 class Ensemble:
-    """Per tree: split feature (-1 at a leaf), threshold, children and leaf value."""
+    """The sum of ``weight`` times each tree, and ``base``."""
 
-    feature: np.ndarray
-    threshold: np.ndarray
-    left: np.ndarray
-    right: np.ndarray
-    value: np.ndarray
-    weight: np.ndarray
+    def __init__(self, trees: list[Tree], weight: float, base: float = 0.0) -> None:
+        size = max(len(t.value) for t in trees)
+        self.shape, self.weight, self.base = (len(trees), size), weight, base
+
+        def stacked(name: str, kind: type) -> np.ndarray:
+            out = np.zeros(self.shape, kind)
+            for row, t in zip(out, trees):
+                held = getattr(t, name)
+                row[: len(held)] = held
+            return out
+
+        self.feature, self.threshold = stacked("feature", np.int32), stacked("threshold", float)
+        self.left, self.right, self.value = stacked("left", np.int32), stacked("right", np.int32), stacked("value", float)
+        offset = (np.arange(len(trees)) * size)[:, None]
+        self.left, self.right, self.offset = self.left + offset, self.right + offset, offset
 
     def predict(self, x: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(x))
-        rows = np.arange(len(x))
-        for t in range(len(self.weight)):
-            node = np.zeros(len(x), dtype=np.int64)
-            feature = self.feature[t]
+        out = np.empty(len(x))
+        step = max(1, PASS // self.shape[0])
+        feature, threshold = self.feature.ravel(), self.threshold.ravel()
+        left, right, value = self.left.ravel(), self.right.ravel(), self.value.ravel()
+        for a in range(0, len(x), step):
+            part = x[a : a + step]
+            rows = np.arange(len(part))[None, :]
+            node = np.broadcast_to(self.offset, (self.shape[0], len(part)))
             while True:
-                split = feature[node]
-                inner = split >= 0
-                if not inner.any():
+                new = np.where(part[rows, feature[node]] <= threshold[node], left[node], right[node])
+                if (new == node).all():
                     break
-                below = x[rows, np.maximum(split, 0)] <= self.threshold[t][node]
-                step = np.where(below, self.left[t][node], self.right[t][node])
-                node = np.where(inner, step, node)
-            total += self.weight[t] * self.value[t][node]
-        return total
-
-
-def read_ensemble(spark: SparkSession, model, average: bool) -> Ensemble:
-    """The nodes of a fitted forest (``average``) or boosted model (weighted sum)."""
-    path = scratch(spark, "trees")
-    model.write().overwrite().save(path)
-    nodes = spark.read.parquet(f"{path}/data").select(
-        "treeID", "nodeData.id", "nodeData.prediction", "nodeData.leftChild", "nodeData.rightChild",
-        "nodeData.split.featureIndex", "nodeData.split.leftCategoriesOrThreshold",
-    ).toPandas()
-    weights = np.asarray(model.treeWeights, dtype=float)
-    trees, size = len(weights), int(nodes["id"].max()) + 1
-    feature = np.full((trees, size), -1, dtype=np.int64)
-    threshold, value = np.zeros((trees, size)), np.zeros((trees, size))
-    left, right = np.zeros((trees, size), dtype=np.int64), np.zeros((trees, size), dtype=np.int64)
-    t, i = nodes["treeID"].to_numpy(), nodes["id"].to_numpy()
-    value[t, i] = nodes["prediction"]
-    inner = (nodes["leftChild"] >= 0).to_numpy()
-    ti, ii = t[inner], i[inner]
-    feature[ti, ii] = nodes["featureIndex"].to_numpy()[inner]
-    left[ti, ii] = nodes["leftChild"].to_numpy()[inner]
-    right[ti, ii] = nodes["rightChild"].to_numpy()[inner]
-    threshold[ti, ii] = [v[0] for v in nodes["leftCategoriesOrThreshold"][inner]]
-    return Ensemble(feature, threshold, left, right, value, weights / weights.sum() if average else weights)
+                node = new
+            out[a : a + step] = self.base + self.weight * value[node].sum(axis=0)
+        return out
+
+
+def edges_of(x: np.ndarray, bins: int = BINS) -> list[np.ndarray]:
+    """Per input the thresholds between its bins: halfway between neighbouring values where they are few, else quantiles."""
+    out = []
+    for column in x.T:
+        values = np.unique(column)
+        if len(values) > bins:
+            values = np.unique(np.quantile(column, np.linspace(0, 1, bins + 1)[1:-1]))
+            out.append(values)
+        else:
+            out.append((values[1:] + values[:-1]) / 2)
+    return out
+
+
+def binned(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
+    """Bin numbers: a value lies in bin b where it is above edge b - 1 and not above edge b."""
+    return np.column_stack([np.searchsorted(e, c, "left") for c, e in zip(x.T, edges)]).astype(np.int64)
+
+
+def histograms(bins: np.ndarray, node: np.ndarray, nodes: int, width: int, *weights: np.ndarray) -> list[np.ndarray]:
+    """Sums of each weight by (node, input, bin)."""
+    inputs = bins.shape[1]
+    key = ((node[:, None] * inputs + np.arange(inputs)) * width + bins).ravel()
+    shape = (nodes, inputs, width)
+    return [np.bincount(key, np.repeat(w, inputs), nodes * inputs * width).reshape(shape) for w in weights]
+
+
+def best_cuts(
+    count: np.ndarray, total: np.ndarray, least: float, l2: float, allowed: np.ndarray | None = None,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(gain, input, bin) of the best cut per node; rows up to the bin go left. Gain is minus infinity without a cut."""
+    n, s = count.cumsum(axis=2), total.cumsum(axis=2)
+    n_all, s_all = n[:, :, -1:], s[:, :, -1:]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = s**2 / (n + l2) + (s_all - s) ** 2 / (n_all - n + l2) - s_all**2 / (n_all + l2)
+    good = (n >= least) & (n_all - n >= least)
+    if allowed is not None:
+        good &= allowed[:, :, None]
+    gain = np.where(good, gain, -np.inf)
+    flat = gain.reshape(len(gain), -1)
+    at = flat.argmax(axis=1)
+    return flat[np.arange(len(flat)), at], at // gain.shape[2], at % gain.shape[2]
+
+
+def fit_tree(
+    bins: np.ndarray, edges: list[np.ndarray], y: np.ndarray, weight: np.ndarray, depth: int, least: int, inputs: int,
+    rng: np.random.Generator,
+) -> Tree:
+    """One tree, level by level; each node looks at ``inputs`` inputs drawn anew and leaves at least ``least`` weight on a side."""
+    rows = np.flatnonzero(weight)
+    bins, y, weight = bins[rows], y[rows], weight[rows].astype(float)
+    tree = Tree.root(float((weight * y).sum() / weight.sum()))
+    node, names, width = np.zeros(len(rows), np.int64), [0], max(len(e) for e in edges) + 1
+    for _ in range(depth):
+        count, total = histograms(bins, node, len(names), width, weight, weight * y)
+        draw = rng.random((len(names), bins.shape[1])).argsort(axis=1).argsort(axis=1) < inputs
+        gain, feature, cut = best_cuts(count, total, least, 0.0, draw)
+        place, new = np.full((len(names), 2), -1), []
+        for k in np.flatnonzero(gain > 1e-12):
+            f, b = feature[k], cut[k]
+            n, s = count[k, f].cumsum(), total[k, f].cumsum()
+            children = tree.split(names[k], f, edges[f][b], s[b] / n[b], (s[-1] - s[b]) / (n[-1] - n[b]))
+            place[k] = len(new), len(new) + 1
+            new += children
+        if not new:
+            break
+        above = bins[np.arange(len(node)), feature[node]] > cut[node]
+        node = place[node, above.astype(int)]
+        live = node >= 0
+        bins, y, weight, node, names = bins[live], y[live], weight[live], node[live], new
+    return tree
+
+
+def fit_forest(
+    x: np.ndarray, y: np.ndarray, trees: int, depth: int, least: int = 3, share: float = 0.9, seed: int = 42,
+) -> list[Tree]:
+    """Trees on draws of the rows with replacement."""
+    edges = edges_of(x)
+    bins, inputs = binned(x, edges), max(1, int(share * x.shape[1]))
+    out = []
+    for t in range(trees):
+        rng = np.random.default_rng([seed, t])
+        weight = np.bincount(rng.integers(0, len(x), len(x)), minlength=len(x))
+        out.append(fit_tree(bins, edges, y, weight, depth, least, inputs, rng))
+    return out
+
+
+def fit_boosting(
+    x: np.ndarray, y: np.ndarray, rounds: int, step: float, leaves: int, l2: float, least: int = 20,
+) -> tuple[list[Tree], float]:
+    """(trees, base): each tree grows its best leaf first, to ``leaves`` leaves, on what the trees before leave of squared loss.
+
+    ``l2`` adds to the weight of every leaf. The histogram of the larger of two children is what the smaller one leaves.
+    """
+    edges = edges_of(x)
+    bins, width = binned(x, edges), max(len(e) for e in edges) + 1
+    base, out = float(y.mean()), []
+    left_over = y - base
+
+    def measured(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(histograms(bins[rows], np.zeros(len(rows), np.int64), 1, width, np.ones(len(rows)), left_over[rows]))
+
+    for _ in range(rounds):
+        tree, every = Tree.root(0.0), np.arange(len(y))
+        open_ = {0: (every, *measured(every))}
+        cuts = {0: best_cuts(*open_[0][1:], least, l2)}
+        while len(open_) < leaves:
+            node = max(cuts, key=lambda k: (cuts[k][0][0], -k))
+            gain, feature, cut = (v[0] for v in cuts.pop(node))
+            if gain <= 1e-12:
+                break
+            rows, count, total = open_.pop(node)
+            above = bins[rows, feature] > cut
+            parts = rows[~above], rows[above]
+            small = int(len(parts[1]) < len(parts[0]))
+            one = measured(parts[small])
+            other = count - one[0], total - one[1]
+            sides = (one, other) if small == 0 else (other, one)
+            names = tree.split(node, feature, edges[feature][cut], 0.0, 0.0)
+            for name, part, held in zip(names, parts, sides):
+                open_[name] = (part, *held)
+                cuts[name] = best_cuts(*held, least, l2)
+        for name, (rows, *_) in open_.items():
+            tree.value[name] = step * float(left_over[rows].sum()) / (len(rows) + l2)
+            left_over[rows] -= tree.value[name]
+        out.append(tree)
+    return out, base

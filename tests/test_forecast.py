@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from salescope.operators import features, forecast, models, series
+from salescope.operators import features, forecast, models, series, trees
 
 DAY = dt.date(2024, 1, 1)
 
@@ -74,32 +74,119 @@ def test_features_equal_numpy(spark):
             assert rows[i][f"lag_{k}"] == (values[i - k] if i >= k else 0.0)
 
 
-def test_ensembles_equal_transform(spark):
-    rows = series.training_rows(series.daily_features(table(spark, wave(150))))
-    train = forecast._assembled(rows).persist()
-    x = np.array([r["features"].toArray() for r in train.collect()])
-    for c in (forecast.forest(trees=5, depth=4), forecast.boosting(rounds=4, step=0.3)):
-        model = c.build().fit(train)
-        want = [r["prediction"] for r in model.transform(train).collect()]
-        got = forecast.read_ensemble(spark, model, c.average).predict(x)
-        assert got == pytest.approx(want, rel=1e-9)
+def inputs(spark, values):
+    rows = series.training_rows(series.daily_features(table(spark, values))).orderBy("date").collect()
+    return np.array([[float(r[f]) for f in series.FEATURES] for r in rows]), np.array([r["quantity"] for r in rows])
+
+
+def walked(tree, row):
+    node = 0
+    while tree.left[node] != node:
+        node = tree.left[node] if row[tree.feature[node]] <= tree.threshold[node] else tree.right[node]
+    return tree.value[node]
+
+
+def test_ensembles_equal_a_walk_from_the_root():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 4))
+    y = 3 * x[:, 0] + (x[:, 1] > 0) + rng.normal(size=300) * 0.1
+    forest = trees.fit_forest(x, y, 7, 6)
+    boosted, base = trees.fit_boosting(x, y, 20, 0.2, 6, 2.0)
+    want = np.array([np.mean([walked(t, row) for t in forest]) for row in x])
+    assert trees.Ensemble(forest, 1 / 7).predict(x) == pytest.approx(want)
+    want = np.array([base + sum(walked(t, row) for t in boosted) for row in x])
+    assert trees.Ensemble(boosted, 1.0, base).predict(x) == pytest.approx(want)
+    assert max(sum(a == i for i, a in enumerate(t.left)) for t in boosted) <= 6
+
+
+@pytest.mark.parametrize("l2", [0.0, 2.0])
+def test_best_cut_by_trying_all(l2):
+    rng = np.random.default_rng(int(l2))
+    x, y = rng.integers(0, 9, (60, 3)).astype(float), rng.normal(size=60)
+    edges = trees.edges_of(x)
+    bins = trees.binned(x, edges)
+    count, total = trees.histograms(bins, np.zeros(60, int), 1, 9, np.ones(60), y)
+    gain, f, b = (v[0] for v in trees.best_cuts(count, total, 5, l2))
+
+    def worth(part):
+        return part.sum() ** 2 / (len(part) + l2)
+
+    every = {}
+    for k in range(3):
+        for cut in edges[k]:
+            below = x[:, k] <= cut
+            if min(below.sum(), (~below).sum()) >= 5:
+                every[k, cut] = worth(y[below]) + worth(y[~below]) - worth(y)
+    assert gain == pytest.approx(max(every.values())) and every[f, edges[f][b]] == pytest.approx(gain)
+
+
+def test_boosting_grows_the_best_leaf_first_with_l2():
+    """One round with three leaves against all pairs of cuts, made one after the other."""
+    rng = np.random.default_rng(2)
+    x, y = rng.integers(0, 6, (80, 2)).astype(float), rng.normal(size=80) * 10
+    (tree,), base = trees.fit_boosting(x, y, 1, 1.0, 3, 2.0, least=4)
+    rest = y - y.mean()
+
+    def cuts(rows):
+        out = []
+        for k in range(2):
+            for cut in (0.5, 1.5, 2.5, 3.5, 4.5):
+                low = rows & (x[:, k] <= cut)
+                high = rows & ~low
+                if min(low.sum(), high.sum()) >= 4:
+                    def worth(part):
+                        return rest[part].sum() ** 2 / (part.sum() + 2.0)
+                    out.append((worth(low) + worth(high) - worth(rows), low, high))
+        return max(out, key=lambda c: c[0])
+
+    _, low, high = cuts(np.ones(80, bool))
+    parts = [low, high]
+    at = max((0, 1), key=lambda i: cuts(parts[i])[0])
+    parts[at : at + 1] = cuts(parts[at])[1:]
+    want = np.zeros(80)
+    for part in parts:
+        want[part] = rest[part].sum() / (part.sum() + 2.0)
+    assert trees.Ensemble([tree], 1.0, base).predict(x) == pytest.approx(want + y.mean())
 
 
 def test_recursion_equals_one_day_at_a_time(spark):
     values = wave(150)
-    s = table(spark, values)
-    train = forecast._assembled(series.training_rows(series.daily_features(s)))
-    c = forecast.forest(trees=4, depth=4)
-    model = c.build().fit(train)
+    x, y = inputs(spark, values)
+    model = trees.Ensemble(trees.fit_forest(x, y, 4, 4), 1 / 4)
     starts = spark.createDataFrame(
-        [("A", values[-28:], (DAY - dt.date(1970, 1, 1)).days + 150, 150, 5)],
-        "series_id string, memory array<double>, start bigint, day bigint, steps int")
-    got = [r["predicted"] for r in forecast.recursive_forecast(starts, model, True).orderBy("step").collect()]
+        [("A", 3, values[-28:], 1.0, (DAY - dt.date(1970, 1, 1)).days + 150, 150, 5)],
+        "series_id string, fit int, memory array<double>, scale double, start bigint, day bigint, steps int")
+    made = forecast.recursive_forecast(starts, {(3, forecast.FOREST): model}).orderBy("step").collect()
     grown = list(values)
     for _ in range(5):
-        row = series.daily_features(table(spark, [*grown, 0.0])).orderBy(F.desc("date")).limit(1)
-        grown.append(max(0.0, model.transform(forecast._assembled(row)).first()["prediction"]))
-    assert got == pytest.approx(grown[-5:], rel=1e-9)
+        grown.append(max(0.0, float(model.predict(inputs(spark, [*grown, 0.0])[0][-1:])[0])))
+    assert [r["predicted"] for r in made] == pytest.approx(grown[-5:], rel=1e-9)
+
+
+def test_series_of_any_size_teach_the_same_model(spark):
+    """A series a thousand times as large gets forecasts a thousand times as large, and its rows are scaled by past days alone."""
+    s = table(spark, wave(140)).unionByName(table(spark, [1000 * v for v in wave(140)], "B"))
+    _, days = forecast.forecast_daily_demand(s, 7, [forecast.boosting(rounds=20)])
+    made = {(r["series_id"], r["step"]): r["predicted"] for r in days.collect()}
+    assert all(made["B", k] == pytest.approx(1000 * made["A", k], rel=1e-6) for k in range(1, 8))
+    panel = series.positions(s)
+    scale = {(r["series_id"], r["fit"]): r for r in forecast.scales(panel).collect()}
+    assert [scale["A", f]["origin"] for f in range(4)] == [140 - 33, 140 - 22, 140 - 11, 140]
+    assert all(scale["A", f]["scale"] == pytest.approx(np.mean(wave(140)[: 140 - (3 - f) * 11])) for f in range(4))
+
+
+def test_large_panels_are_dealt_into_bags(spark, monkeypatch):
+    monkeypatch.setattr(forecast, "BAG_ROWS", 30)
+    monkeypatch.setattr(forecast, "BAGS", 3)
+    s = table(spark, wave(140)).unionByName(table(spark, wave(120), "B"))
+    panel = series.positions(s)
+    scale = forecast.scales(panel)
+    rows = {r.fit: r.n for r in scale.groupBy("fit").agg(F.sum("rows").alias("n")).collect()}
+    dealt = forecast.training_bags(panel, scale, dict.fromkeys(rows, 3), rows).groupBy("fit", "bag").count().collect()
+    assert {(r.fit, r.bag) for r in dealt} == {(f, b) for f in range(4) for b in range(3)}
+    assert all(10 <= r["count"] <= 60 for r in dealt)
+    made = forecast.fit_panel(panel, scale, [forecast.forest(trees=7, depth=3), forecast.boosting(rounds=3)])
+    assert {k: e.shape[0] for k, e in made.items()} == {(f, m): n for f in range(4) for m, n in ((forecast.FOREST, 7), (forecast.BOOSTING, 3))}
 
 
 def test_forecast_selects_and_reports(spark):

@@ -52,8 +52,9 @@ def test_models_are_fitted_at_the_defaults(monkeypatch):
     assert seen == [(("train", ["a"]), {})] * 5
     seen.clear()
     monkeypatch.setattr(forecast, "view", lambda *args: None)
-    monkeypatch.setattr(forecast.S, "daily_series", lambda sales, overall=True, products=True: ("series", overall, products))
+    monkeypatch.setattr(forecast.S, "daily_demand", lambda sales, overall=True, products=True: ("series", overall, products))
+    monkeypatch.setattr(forecast.S, "numbered_days", lambda observed, latest=None: (*observed, latest))
     monkeypatch.setattr(forecast.fc, "forecast_daily_demand", lambda *args: seen.append(args) or ("summary", "days"))
     for name in ("forecast", "recursive_forecast"):
         entry.queries()[name](None, SF)
-    assert seen == [(("series", True, True), 30)] * 2
+    assert seen == [(("series", True, True, None), 30)] * 2
