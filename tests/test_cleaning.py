@@ -132,7 +132,7 @@ def test_return_guards(frame):
     back = frame("order_id string, quantity int, revenue double", [("A", 1, 4.0)])
     assert "already" in returns.return_summary(sold, back).first()["match_note"]
     assert returns.attach_returns(sold, back).columns == sold.columns
-    assert "Order IDs" in returns.blocked_because(sold.drop("order_id"), back)
+    assert "order ids" in returns.blocked_because(sold.drop("order_id"), back)
     assert "quantities" in returns.blocked_because(sold.drop("returns"), back.drop("quantity"))
 
 

@@ -114,7 +114,7 @@ def test_sales_and_returns_together(spark, tmp_path):
 
 def test_export_guards(spark, tmp_path):
     back = write(tmp_path, "refunds.csv", "order_id,quantity,revenue\nA,1,25\n")
-    with pytest.raises(ValueError, match="sales report"):
+    with pytest.raises(ValueError, match="a sales file is needed"):
         exports.load_exports(spark, [back])
     one = write(tmp_path, "one.csv", "date,quantity,revenue\n2024-01-01,1,2\n")
     two = write(tmp_path, "two.csv", "date,quantity,unit_price\n2024-01-01,1,2\n")
