@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -17,6 +17,9 @@ from salescope.plans.session import ship_package
 #: Labelled documents the model is fitted on at most.
 SAMPLE_ROWS = 20_000
 
+#: One sampled row in so many is kept from the fit, to calibrate its scores.
+CALIBRATION = 5
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -35,46 +38,45 @@ class Machine:
     bias: float
     linear: np.ndarray
     factors: np.ndarray
+    slope: float = 1.0
+    shift: float = 0.0
 
 
-def terms(texts: list[str | None], buckets: int, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(document number, bucket) of each distinct term: words of letters and digits, lower-cased, and their beginnings.
-
-    ``keep`` tells the buckets of interest; others are left out.
+def pass_terms(held: list[bytes], buckets: int, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(document number, bucket) of each distinct term of one pass of texts: words of letters and digits, lower-cased, and
+    their beginnings. ``keep`` tells the buckets of interest; others are left out.
     """
-    docs, found = [], []
+    data, starts = joined(held)
+    h, at, end = word_hashes(data, LETTERS)
+    doc = (np.searchsorted(starts, at, "right") - 1).astype(np.int32)
+    heads = word_heads(data, at, end, 5)
+    bucket = np.concatenate([h % np.uint64(buckets), heads % np.uint64(buckets)]).astype(np.int32)
+    doc = np.concatenate([doc, doc])
+    if keep is not None:
+        good = keep[bucket]
+        doc, bucket = doc[good], bucket[good]
+    pair = np.unique(doc.astype(np.int64) * buckets + bucket)
+    return (pair // buckets).astype(np.int32), (pair % buckets).astype(np.int32)
+
+
+def kept_terms(model: Machine) -> np.ndarray:
+    """The buckets whose weight or factors are not all zero."""
+    return (model.linear != 0) | (model.factors != 0).any(axis=0)
+
+
+def score(texts: list[str | None], model: Machine, keep: np.ndarray | None = None) -> np.ndarray:
+    """Scores of whole texts, one bounded pass after the other; ``keep`` is :func:`kept_terms`, worked out once for many calls."""
+    keep = kept_terms(model) if keep is None else keep
+    raw = np.full(len(texts), model.bias)
     for first, held in passes(texts):
-        data, starts = joined(held)
-        h, at, end = word_hashes(data, LETTERS)
-        doc = np.searchsorted(starts, at, "right") - 1
-        begun = word_heads(data, at, end, 5)
-        doc = np.concatenate([doc, doc])
-        bucket = np.concatenate([h, begun]) % np.uint64(buckets)
-        bucket = bucket.astype(np.int64)
-        if keep is not None:
-            good = keep[bucket]
-            doc, bucket = doc[good], bucket[good]
-        pair = np.unique(doc * buckets + bucket)
-        docs.append(pair // buckets + first)
-        found.append(pair % buckets)
-    if not docs:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(docs), np.concatenate(found)
-
-
-def _raw(n: int, doc: np.ndarray, bucket: np.ndarray, model: Machine) -> tuple[np.ndarray, np.ndarray]:
-    """(score before the logistic, sum of factors) of ``n`` documents."""
-    linear = np.bincount(doc, model.linear[bucket], n)
-    v = model.factors[:, bucket]
-    total = np.stack([np.bincount(doc, row, n) for row in v])
-    square = np.bincount(doc, (v * v).sum(axis=0), n)
-    return model.bias + linear + 0.5 * ((total * total).sum(axis=0) - square), total
-
-
-def score(texts: list[str | None], model: Machine) -> np.ndarray:
-    doc, bucket = terms(texts, len(model.linear), (model.linear != 0) | (model.factors != 0).any(axis=0))
-    raw, _ = _raw(len(texts), doc, bucket, model)
-    return 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
+        doc, bucket = pass_terms(held, len(model.linear), keep)
+        n = len(held)
+        own = np.bincount(doc, model.linear[bucket], n)
+        for row in model.factors:
+            v = row[bucket]
+            own += 0.5 * (np.bincount(doc, v, n) ** 2 - np.bincount(doc, v * v, n))
+        raw[first : first + n] += own
+    return 1 / (1 + np.exp(-np.clip(model.slope * raw + model.shift, -30, 30)))
 
 
 def fit(rows: list[np.ndarray], y: np.ndarray, s: Settings = Settings()) -> Machine:
@@ -137,6 +139,34 @@ def fit(rows: list[np.ndarray], y: np.ndarray, s: Settings = Settings()) -> Mach
     return model
 
 
+def raw_scores(rows: list[np.ndarray], model: Machine) -> np.ndarray:
+    """Scores before calibration and the logistic function, of documents given by their terms."""
+    out = []
+    for r in rows:
+        v = model.factors[:, r]
+        out.append(model.bias + model.linear[r].sum() + 0.5 * (v.sum(axis=1) ** 2 - (v * v).sum(axis=1)).sum())
+    return np.array(out)
+
+
+def calibrated(model: Machine, raw: np.ndarray, y: np.ndarray) -> Machine:
+    """The slope and shift under which raw scores of rows the model has not seen tell their labels' odds best.
+
+    Shrinkage holds raw scores near the base rate; a logistic curve through the unseen rows undoes it. Newton steps on the penalized
+    likelihood, the penalty that of one row of each label. With labels of one kind nothing changes.
+    """
+    if len(set(y.tolist())) < 2:
+        return model
+    x = np.stack([raw, np.ones(len(raw))], axis=1)
+    x = np.concatenate([x, [[raw[y == 1].mean(), 1], [raw[y == 0].mean(), 1]]])
+    goal = np.concatenate([y, [0.5, 0.5]])
+    w = np.array([1.0, 0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2), x.T @ (goal - p) - 1e-6 * w)
+        w = w + step * min(1.0, 5.0 / max(np.abs(step).max(), 1e-12))
+    return replace(model, slope=max(float(w[0]), 0.0), shift=float(w[1]))
+
+
 def train(documents: DataFrame, labels: DataFrame, s: Settings = Settings(), folds: int = 5, held: int = 0) -> Machine:
     """Fits the machine on at most SAMPLE_ROWS labelled documents.
 
@@ -147,26 +177,34 @@ def train(documents: DataFrame, labels: DataFrame, s: Settings = Settings(), fol
 
     def featurize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            doc, bucket = terms(batch["text"].tolist(), buckets)
-            cuts = np.searchsorted(doc, np.arange(1, len(batch)))
-            own = [t.tobytes() for t in np.split(bucket.astype("<i4"), cuts)]
+            own = []
+            for _, held in passes(batch["text"].tolist()):
+                doc, bucket = pass_terms(held, buckets)
+                cuts = np.searchsorted(doc, np.arange(1, len(held)))
+                own += [t.tobytes() for t in np.split(bucket.astype("<i4"), cuts)]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "y": batch["y"], "terms": own})
 
     sample = labelled_sample(documents, labels, "toxic", folds, held, SAMPLE_ROWS)
-    rows = sample.mapInPandas(featurize, "doc_id long, y int, terms binary").toPandas().sort_values("doc_id")
-    return fit([np.frombuffer(t, "<i4") for t in rows["terms"]], rows["y"].to_numpy(float), s)
+    made = sample.mapInPandas(featurize, "doc_id long, y int, terms binary").toPandas().sort_values("doc_id")
+    rows, y = [np.frombuffer(t, "<i4") for t in made["terms"]], made["y"].to_numpy(float)
+    apart = np.arange(len(rows)) % CALIBRATION == 0
+    model = fit([r for r, a in zip(rows, apart) if not a], y[~apart], s)
+    return calibrated(model, raw_scores([r for r, a in zip(rows, apart) if a], model), y[apart])
 
 
 def score_toxicity(documents: DataFrame, model: Machine) -> DataFrame:
     """(row, score) for every document, ``row`` with all its columns; null and empty texts get the score of no terms."""
     spark = documents.sparkSession
     ship_package(spark)
-    shared = spark.sparkContext.broadcast(model)
+    small = replace(model, linear=model.linear.astype(np.float32), factors=model.factors.astype(np.float32))
+    shared = spark.sparkContext.broadcast(small)
 
     @F.pandas_udf("double")
     def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        keep = None
         for part in texts:
-            yield pd.Series(score(part.tolist(), shared.value))
+            keep = kept_terms(shared.value) if keep is None else keep
+            yield pd.Series(score(part.tolist(), shared.value, keep))
 
     docs = packed(documents)
     return docs.select("row", scored(F.col("row.text")).alias("score"))
