@@ -71,7 +71,8 @@ def score(texts: list[str | None], model: Machine, keep: np.ndarray | None = Non
     for first, held in passes(texts):
         doc, bucket = pass_terms(held, len(model.linear), keep)
         n = len(held)
-        own = np.bincount(doc, model.linear[bucket], n)
+        own = np.zeros(n)
+        own += np.bincount(doc, model.linear[bucket], n)
         for row in model.factors:
             v = row[bucket]
             own += 0.5 * (np.bincount(doc, v, n) ** 2 - np.bincount(doc, v * v, n))
