@@ -38,6 +38,19 @@ def _file(spark, sf, kind, writer, **options):
 
 
 query("src_csv", _READ)(lambda spark, sf: _file(spark, sf, "csv", "csv", header=True))
+
+
+def _two_orders(spark, sf):
+    """Half of the lines with their columns in one order, half in the other, in one folder."""
+    path = f"{scratch(spark, 'orders')}.csv"
+    raw = view(spark, sf, "raw_sales")
+    half = F.pmod(F.xxhash64("order_id", "line_id"), F.lit(2))
+    raw.where(half == 0).write.option("header", True).mode("append").csv(path)
+    raw.where(half == 1).select(*reversed(raw.columns)).write.option("header", True).mode("append").csv(path)
+    return readers.read_business_table(spark, path).df
+
+
+query("src_csv_headers", _READ)(_two_orders)
 query("src_tsv", _READ)(lambda spark, sf: _file(spark, sf, "tsv", "csv", header=True, sep="\t"))
 query("src_jsonl", _JSON)(lambda spark, sf: _file(spark, sf, "jsonl", "json"))
 

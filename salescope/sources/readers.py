@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +12,11 @@ from pyspark.sql import functions as F
 
 from ..functions.parsing import blank_to_null, number_text, parse_date
 from ..schema import NUMERIC_COLUMNS, TEXT_COLUMNS
+from .files import read_groups, union_by_name
 from .headers import map_columns, normalize_headers
 
 # Readable formats and the name shown for each.
+SEPARATORS = {"csv": ",", "tsv": "\t"}
 FORMATS = {"csv": "CSV", "tsv": "TSV", "json": "JSON", "jsonl": "JSON", "ndjson": "JSON", "parquet": "Parquet"}
 
 
@@ -27,18 +30,24 @@ class Loaded:
     uncertain: list[dict] = field(default_factory=list)
 
 
-def _delimited(spark: SparkSession, path, sep: str) -> DataFrame:
-    """All columns as text, so no second pass is spent on guessing types."""
-    df = spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"').csv(path)
-    return df.select(*[blank_to_null(F.col(f"`{c}`")).alias(c) for c in df.columns])
+def _delimited(spark: SparkSession, path, sep: str) -> list[DataFrame]:
+    """A table for each header that the files have, all columns as text, so no second pass is spent on guessing types."""
+
+    def read(files: list[str], base: str | None) -> DataFrame:
+        reader = spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"')
+        df = (reader.option("basePath", base) if base else reader).csv(files)
+        return df.select(*[blank_to_null(F.col(f"`{c}`").cast("string")).alias(c) for c in df.columns])
+
+    return read_groups(spark, path, read)
 
 
 def read_csv(spark: SparkSession, path) -> DataFrame:
-    return _delimited(spark, path, ",")
+    """Files may have their columns in any order; columns of one name are one column."""
+    return union_by_name(_delimited(spark, path, ","))
 
 
 def read_tsv(spark: SparkSession, path) -> DataFrame:
-    return _delimited(spark, path, "\t")
+    return union_by_name(_delimited(spark, path, "\t"))
 
 
 def read_json(spark: SparkSession, path) -> DataFrame:
@@ -84,21 +93,24 @@ def type_columns(df: DataFrame, probe: bool = True) -> DataFrame:
     return df.withColumns(changes) if changes else df
 
 
-def read_business_table(spark: SparkSession, path, file_type: str = "auto", probe: bool = True) -> Loaded:
+def read_business_table(
+    spark: SparkSession, path, file_type: str = "auto", probe: bool = True, columns: Sequence[str] = (),
+) -> Loaded:
     """Read one format, map the headers, type the columns.
 
-    ``path`` is a path, a glob, a folder or a list of paths of one format.
+    ``path`` is a path, a glob, a folder or a list of paths of one format. Delimited files are read by their own headers.
+    Headers of ``columns`` that no file has become columns of nulls.
     """
     kind = suffix_of(path) if file_type == "auto" else file_type.lower()
-    readers = {
-        "csv": read_csv, "tsv": read_tsv, "json": read_json, "jsonl": read_jsonl, "ndjson": read_jsonl,
-        "parquet": read_parquet,
-    }
-    if kind not in readers:
+    readers = {"json": read_json, "jsonl": read_jsonl, "ndjson": read_jsonl, "parquet": read_parquet}
+    if kind not in FORMATS:
         raise ValueError(f"Unsupported file type. Choose one of: {', '.join('.' + k for k in FORMATS)}.")
     try:
-        raw = readers[kind](spark, path)
-        named, mappings, uncertain = map_columns(normalize_headers(raw))
+        raw = _delimited(spark, path, SEPARATORS[kind]) if kind in SEPARATORS else [readers[kind](spark, path)]
+        there = {c.strip().lower() for t in raw for c in t.columns}
+        absent = [c for c in columns if c.strip().lower() not in there]
+        raw[0] = raw[0].withColumns({c: F.lit(None).cast("string") for c in absent}) if absent else raw[0]
+        named, mappings, uncertain = map_tables(raw)
     except ValueError:
         raise
     except Exception as e:
@@ -106,6 +118,19 @@ def read_business_table(spark: SparkSession, path, file_type: str = "auto", prob
     return Loaded(type_columns(named, probe), FORMATS[kind], mappings, uncertain)
 
 
+def map_tables(tables: list[DataFrame]) -> tuple[DataFrame, list[dict], list[dict]]:
+    """Headers are mapped in each table by itself, then rows of all are put together by the names that came out."""
+    mapped = [map_columns(normalize_headers(t)) for t in tables]
+
+    def once(found: list[dict]) -> list[dict]:
+        return [m for i, m in enumerate(found) if m not in found[:i]]
+
+    return (
+        union_by_name([df for df, _, _ in mapped]),
+        once([m for _, found, _ in mapped for m in found]), once([u for _, _, found in mapped for u in found]),
+    )
+
+
 def is_return_export(name: str, columns: list[str]) -> bool:
     """A return report by its cancel date column or by its file name."""
     return "cancel_return_date" in columns or re.search("return|refund", os.path.basename(name), re.I) is not None

@@ -139,3 +139,33 @@ def test_model_store(spark, tmp_path):
     assert loaded["metadata"] == {"rows": 10}
     assert loaded["model"].coefficients[0] == pytest.approx(2.0)
     assert model_store.list_models(spark, folder) == ["linear"]
+
+
+def test_files_of_any_header_order_are_read_by_name(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "in").mkdir()
+    write(tmp_path / "in", "a.csv", "Order Date,Order No,Qty\n2024-01-01,A1,2\n")
+    write(tmp_path / "in", "b.csv", "Qty,Order Date,Order No\n7,2024-01-02,B1\n")
+    write(tmp_path / "in", "c.csv", "﻿Quantity,Note,Order No\n9,\"x, y\",C1\n")
+    write(tmp_path / "in", "empty.csv", "")
+    write(tmp_path / "in", "_hidden.csv", "zzz\n1\n")
+    (tmp_path / "in" / "d.csv.gz").write_bytes(gzip.compress(b"Order No,Qty,Order Date\nD1,4,2024-01-04\n"))
+    loaded = readers.read_business_table(spark, str(tmp_path / "in"), "csv")
+    rows = {r["order_id"]: r for r in loaded.df.collect()}
+    assert {k: r["quantity"] for k, r in rows.items()} == {"A1": 2, "B1": 7, "C1": 9, "D1": 4}
+    assert rows["B1"]["date"] == dt.date(2024, 1, 2) and rows["C1"]["date"] is None
+    assert {m["source"] for m in loaded.mappings} == {"order date", "order no", "qty"}
+    with pytest.raises(ValueError, match="no file"):
+        readers.read_business_table(spark, str(tmp_path / "none*.csv"))
+    with pytest.raises(ValueError, match="empty"):
+        readers.read_business_table(spark, str(tmp_path / "in" / "empty.csv"))
+
+
+def test_folders_of_partitions_keep_their_columns(spark, tmp_path):
+    for region, head in (("North", "date,quantity"), ("South", "quantity,date")):
+        folder = tmp_path / "s.csv" / f"region={region}"
+        folder.mkdir(parents=True)
+        write(folder, "part.csv", head + "\n" + ("2024-01-01,3" if region == "North" else "4,2024-01-02") + "\n")
+    got = readers.read_business_table(spark, str(tmp_path / "s.csv")).df.collect()
+    assert {(r["region"], r["quantity"], r["date"].day) for r in got} == {("North", 3, 1), ("South", 4, 2)}

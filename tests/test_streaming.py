@@ -75,3 +75,34 @@ def test_late_days_are_closed(spark, tmp_path):
     q.stop()
     rows = spark.table("closed").where(F.col("day") == dt.date(2024, 1, 1)).collect()
     assert [r["total"] for r in rows] == [1.0]
+
+
+def test_stream_reads_by_header_and_loads_a_row_once(spark, tmp_path):
+    """The same rows, spread over files and batches in two ways, with columns in two orders."""
+    rows = [(f"2024-01-{d:02d}", f"A{d}", 2, d + 0.5) for d in range(1, 13)]
+
+    def lines(part, swapped):
+        head = "Selling Price,Qty,Order No,Order Date\n" if swapped else HEAD
+        return head + "".join((f"{p},{q},{o},{d}\n" if swapped else f"{d},{o},{q},{p}\n") for d, o, q, p in part)
+
+    def arrive(base, batches):
+        (base / "in").mkdir(parents=True)
+        for n, files in enumerate(batches):
+            for k, (part, swapped) in enumerate(files):
+                (base / "in" / f"f{n}-{k}.csv").write_text(lines(part, swapped))
+            load(spark, base)
+        return sorted(map(repr, spark.read.parquet(f"{base}/clean").select("date", "order_id", "quantity", "unit_price").collect()))
+
+    one = arrive(tmp_path / "one", [[(rows, False), (rows[:4], True)]])
+    many = arrive(tmp_path / "many", [[(rows[:7], True)], [(rows[5:], False)], [(rows[3:9], True)]])
+    assert one == many and len(one) == 12
+
+
+def test_a_batch_that_runs_twice_counts_once(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1), ("b", 2)], "order_id string, quantity int")
+    seen = f"{tmp_path}/seen"
+    assert exports.unseen(df, seen, 0).count() == 2
+    exports.remember(df, seen, 0)
+    assert exports.unseen(df, seen, 0).count() == 2 and exports.unseen(df, seen, 1).count() == 0
+    exports.remember(df.limit(1), seen, 0)
+    assert [r["order_id"] for r in exports.unseen(df.withColumn("note", F.lit(None).cast("string")), seen, 1).collect()] == ["b"]
