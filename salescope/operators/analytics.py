@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import exact_avg, exact_sum, mean, round_even, total
+from ..plans.quantiles import exact_medians
 from ..schema import PRODUCT_KEYS, has, nothing
 
 # How far from the median a product counts as fast or slow moving.
@@ -143,8 +144,7 @@ def stock_cover() -> Column:
 def inventory_analysis(df: DataFrame) -> DataFrame:
     """Stock, speed of sale, days of cover and capital per product, most sold first.
 
-    The median speed is taken over means rounded to cents, so the exact median has
-    few distinct values to hold whatever the number of products.
+    The median speed is worked out by counts of buckets, without holding all products in one place.
     """
     if not has(df, *PRODUCT_KEYS, "inventory_units", "quantity"):
         return nothing(df, "product_id string, product_name string, category string, stock_cover_days double")
@@ -158,7 +158,7 @@ def inventory_analysis(df: DataFrame) -> DataFrame:
         ("cost_per_unit", "avg_cost", mean("cost_per_unit")),
     ])
     out = _known(df, *PRODUCT_KEYS).groupBy(*PRODUCT_KEYS).agg(*metrics)
-    median = out.agg(F.median("avg_daily_sales")).scalar()
+    median = exact_medians(out, ["avg_daily_sales"]).scalar()
     added = {"stock_cover_days": stock_cover()}
     if has(df, "cost_per_unit"):
         added["inventory_capital"] = round_even(F.col("avg_inventory") * F.col("avg_cost"), 2)
@@ -169,7 +169,7 @@ def inventory_analysis(df: DataFrame) -> DataFrame:
 def faster_than_median(df: DataFrame) -> DataFrame:
     """Products that sell faster than the median product."""
     products = inventory_analysis(df)
-    return products.where(F.col("avg_daily_sales") > products.agg(F.median("avg_daily_sales")).scalar())
+    return products.where(F.col("avg_daily_sales") > exact_medians(products, ["avg_daily_sales"]).scalar())
 
 
 def velocity_counts(df: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import exact_sum, round_even, total
 from ..functions.text import RUPEE, fixed, grouped
-from ..plans.quantiles import beside
+from ..plans.quantiles import beside, exact_medians
 from ..plans.session import written
 from ..schema import PRODUCT_KEYS, has, nothing
 from .analytics import (
@@ -151,7 +151,7 @@ def roas_signal(df: DataFrame) -> DataFrame:
 
 
 def _roas(rows: DataFrame) -> DataFrame:
-    hit = beside(rows, rows.agg(F.median("roas").alias("median_roas"))).where(
+    hit = beside(rows, exact_medians(rows, ["roas"])).where(
         F.col("roas") < F.col("median_roas") * LOW_ROAS)
     return _shape(
         hit, "marketing", F.col("category"), "info", F.col("roas"), F.col("median_roas"), None,

@@ -1,9 +1,10 @@
 """Exact quantiles of large columns without gathering their values.
 
-Values are first counted by bucket of a fixed, order-keeping scale. The running
-counts tell which bucket holds each wanted rank; only the values of those buckets
-are then counted one by one. Both counts combine on the map side and spread over
-all tasks, no sketch has to be merged in one place, and equal values cost nothing.
+Values are first counted by bucket of a fixed, order-keeping scale, coarse enough that the counts combine on the map side.
+The running counts tell which bucket holds each wanted rank. That bucket is cut evenly between its smallest and largest
+value, counted again, and the part with the rank cut once more; only what is left is counted value by value. So values that lie
+close together, such as cents around a large amount, spread over tasks as well as others, no sketch has to be merged
+in one place, and equal values cost nothing.
 """
 
 from __future__ import annotations
@@ -13,8 +14,10 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Buckets per doubling of 1 + |value|: about a hundred-thousandth of a value wide.
-FINENESS = 65_536
+# Buckets per doubling of 1 + |value|, and how often and in how many parts a marked bucket is cut evenly.
+FINENESS = 256
+LEVELS = 2
+PARTS = 2_048
 
 
 def beside(df: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -30,28 +33,48 @@ def bucket(v: Column, fineness: int = FINENESS) -> Column:
     return F.floor(F.signum(v) * F.log2(F.abs(v) + 1.0) * F.lit(float(fineness)))
 
 
+def _part(v: Column, lo: Column, hi: Column) -> Column:
+    """The number of the even part of [lo, hi] that a value lies in; halves keep the differences finite."""
+    share = (v / 2.0 - lo / 2.0) / (hi / 2.0 - lo / 2.0)
+    return F.when(hi > lo, F.least(F.floor(share * PARTS), F.lit(PARTS - 1))).otherwise(F.lit(0)).cast("long")
+
+
+def _wanted(counts: DataFrame, ranks: Callable[[Column], list[Column]]) -> DataFrame:
+    """(name, lo, hi, before, n) of the buckets that hold a wanted rank: at most one per column and rank."""
+    hit = F.lit(False)
+    for r in ranks(F.col("n")):
+        hit = hit | ((r >= F.col("before")) & (r < F.col("before") + F.col("k")))
+    return counts.where(hit).select("name", "lo", "hi", "before", "n")
+
+
+def _inside(long: DataFrame, marks: DataFrame) -> DataFrame:
+    return long.join(F.broadcast(marks), (F.col("name") == F.col("in")) & (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
+
+
 def _counts_around(
     df: DataFrame, columns: Sequence[str], ranks: Callable[[Column], list[Column]], fineness: int
 ) -> DataFrame:
-    """(name, v, upto, n): values of the buckets holding a wanted rank, with the number
+    """(name, v, upto, n): values of the last buckets holding a wanted rank, with the number
     of rows up to and including each value."""
     pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in columns])
     long = df.select(F.explode(pairs).alias("x")).select("x.*").where(F.col("v").isNotNull() & ~F.isnan("v"))
-    placed = long.withColumn("b", bucket(F.col("v"), fineness))
+    sizes = F.count(F.lit(1)).alias("k"), F.min("v").alias("lo"), F.max("v").alias("hi")
 
     whole = Window.partitionBy("name")
-    coarse = placed.groupBy("name", "b").agg(F.count(F.lit(1)).alias("k")).select(
-        "name", "b", "k", F.sum("k").over(whole.orderBy("b")).alias("upto"), F.sum("k").over(whole).alias("n"))
-    before = F.col("upto") - F.col("k")
-    wanted = F.lit(False)
-    for r in ranks(F.col("n")):
-        wanted = wanted | ((r >= before) & (r < F.col("upto")))
-    # At most one bucket per column and rank.
-    marks = coarse.where(wanted).select("name", "b", before.alias("before"), "n")
-
-    fine = placed.join(F.broadcast(marks), ["name", "b"]).groupBy("name", "b", "v", "before", "n").agg(
-        F.count(F.lit(1)).alias("k"))
-    running = F.sum("k").over(Window.partitionBy("name", "b").orderBy("v"))
+    running = whole.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    coarse = long.groupBy("name", bucket(F.col("v"), fineness).alias("b")).agg(*sizes)
+    counts = coarse.withColumns({
+        "before": F.coalesce(F.sum("k").over(running), F.lit(0)), "n": F.sum("k").over(whole)})
+    for _ in range(LEVELS):
+        marks = _wanted(counts, ranks).withColumnRenamed("name", "in")
+        parts = _inside(long, marks).groupBy(
+            "name", F.col("lo").alias("from"), "before", "n", _part(F.col("v"), F.col("lo"), F.col("hi")).alias("b")).agg(*sizes)
+        running = Window.partitionBy("name", "from").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+        counts = parts.withColumn("before", F.col("before") + F.coalesce(F.sum("k").over(running), F.lit(0)))
+
+    marks = _wanted(counts, ranks).withColumnRenamed("name", "in")
+    fine = _inside(long, marks).groupBy("name", "lo", "before", "n", "v").agg(F.count(F.lit(1)).alias("k"))
+    running = F.sum("k").over(Window.partitionBy("name", "lo").orderBy("v"))
     return fine.select("name", "v", (F.col("before") + running).alias("upto"), "n")
 
 

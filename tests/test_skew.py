@@ -87,6 +87,23 @@ def test_quantiles_are_exact_for_any_buckets(spark, shape, fineness):
     assert r["n"] == 20000
 
 
+@pytest.mark.parametrize("shape", ["cents", "two_heaps", "negative", "huge", "infinite"])
+def test_close_values_spread_over_parts(spark, shape):
+    """Values that share one bucket of the fixed scale: the last count holds a small share of them, and the quantiles are exact."""
+    rnd = np.random.default_rng(4)
+    values = {
+        "cents": 1e9 + rnd.integers(0, 100_000, 20_000) / 100, "two_heaps": np.where(rnd.random(20_000) < 0.6, 1e9, 1e9 + 1) + rnd.random(20_000) * 1e-4,
+        "negative": -1e9 - rnd.random(20_000), "huge": rnd.normal(size=20_000) * 1e307,
+        "infinite": np.concatenate([rnd.random(19_000), [np.inf] * 600, [-np.inf] * 400]),
+    }[shape]
+    df = spark.createDataFrame([(float(v),) for v in values], "v double").repartition(5)
+    r = quantiles.exact_quantiles(df, ["v"], [0.25, 0.5, 0.9]).first()
+    for i, p in enumerate((25, 50, 90)):
+        assert r[f"q{i}"] == pytest.approx(np.percentile(values, p), rel=1e-15)
+    last = quantiles._counts_around(df, ["v"], lambda n: [F.floor(n / 2)], quantiles.FINENESS).count()
+    assert last <= 40
+
+
 def test_value_at_rank(spark):
     df = spark.range(5000).select(((F.col("id") * 7) % 5000).alias("k")).repartition(5)
     for fineness in (1, 65536):
