@@ -38,6 +38,29 @@ _raw("distinct_rows", lambda df: ops.dedupe_rows(df.select("product_id", "catego
      "select distinct product_id, category, region from raw_sales")
 _raw("parse_dates", lambda df: df.select(*KEYS, F.col("date").alias("text"), parse_date(df, "date").alias("date")),
      "select order_id, line_id, date as text, try_cast(date as date) as date from raw_sales")
+_SLASHED = """select k, case when k % 9 = 0 then concat(cast({a} as STR), '/', cast({b} as STR), '/', cast(y as STR), ' 7:05')
+when k % 11 = 0 then concat('13/13/', cast(y as STR)) when k % 13 = 0 then cast(day as STR)
+else concat(cast({a} as STR), '/', cast({b} as STR), '/', cast(y as STR)) end as text
+from (select o_orderkey as k, cast(o_orderdate as date) as day, day(o_orderdate) as d, month(o_orderdate) as m, year(o_orderdate) as y
+from orders) o"""
+
+
+def _slashed(a, b):
+    """Order days written with slashes, part of them with times, as ISO days or not days at all; and what they mean."""
+    def build(spark, sf):
+        spark.read.parquet(f"{sf}/orders.parquet").createOrReplaceTempView("slashed_orders")
+        df = spark.sql(_SLASHED.format(a=a, b=b).replace("STR", "string").replace("from orders)", "from slashed_orders)"))
+        return df.select("k", "text", parse_date(df, "text").alias("date"))
+
+    sql = f"""select k, text, case when k % 9 = 0 or k % 11 <> 0 then day end as date
+from ({_SLASHED.format(a=a, b=b).replace('STR', 'varchar')}) s join (
+  select o_orderkey as kk, cast(o_orderdate as date) as day from orders) o on kk = k"""
+    return sql, build
+
+
+for _name, _order in (("parse_dates_day_first", ("d", "m")), ("parse_dates_month_first", ("m", "d"))):
+    _sql, _build = _slashed(*_order)
+    query(_name, _sql)(_build)
 _raw("drop_bad_dates", lambda df: ops.drop_bad_dates(df).select("date", *KEYS),
      "select try_cast(date as date) as date, order_id, line_id from raw_sales where try_cast(date as date) is not null")
 _raw("coerce_numeric", lambda df: ops.coerce_numeric(df).select(*KEYS, "quantity", "unit_price", "returns"), """

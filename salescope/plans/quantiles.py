@@ -4,7 +4,7 @@ Values are first counted by bucket of a fixed, order-keeping scale, coarse enoug
 The running counts tell which bucket holds each wanted rank. That bucket is cut evenly between its smallest and largest
 value, counted again, and the part with the rank cut once more; only what is left is counted value by value. So values that lie
 close together, such as cents around a large amount, spread over tasks as well as others, no sketch has to be merged
-in one place, and equal values cost nothing.
+in one place, and equal values cost nothing. The columns asked for are written once before, as every count reads them.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .session import written
+
 # Buckets per doubling of 1 + |value|, and how often and in how many parts a marked bucket is cut evenly.
 FINENESS = 256
 LEVELS = 2
@@ -56,8 +58,9 @@ def _counts_around(
 ) -> DataFrame:
     """(name, v, upto, n): values of the last buckets holding a wanted rank, with the number
     of rows up to and including each value."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in columns])
-    long = df.select(F.explode(pairs).alias("x")).select("x.*").where(F.col("v").isNotNull() & ~F.isnan("v"))
+    held = written(df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)]), "values")
+    pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"c{i}").alias("v")) for i, c in enumerate(columns)])
+    long = held.select(F.explode(pairs).alias("x")).select("x.*").where(F.col("v").isNotNull() & ~F.isnan("v"))
     sizes = F.count(F.lit(1)).alias("k"), F.min("v").alias("lo"), F.max("v").alias("hi")
 
     whole = Window.partitionBy("name")

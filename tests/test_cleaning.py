@@ -133,7 +133,7 @@ def test_return_guards(frame):
     assert "already" in returns.return_summary(sold, back).first()["match_note"]
     assert returns.attach_returns(sold, back).columns == sold.columns
     assert "order ids" in returns.blocked_because(sold.drop("order_id"), back)
-    assert "quantities" in returns.blocked_because(sold.drop("returns"), back.drop("quantity"))
+    assert "returned units" in returns.blocked_because(sold.drop("returns"), back.drop("quantity"))
 
 
 def test_kpis(frame):
@@ -162,3 +162,20 @@ def test_monthly_net_revenue(frame):
                [(dt.date(2024, 1, 1), 100.0, 75.0), (dt.date(2024, 1, 2), 50.0, 50.0)])
     r = analytics.monthly_revenue(df).first()
     assert (r["year_month"], r["total_revenue"], r["total_net_revenue"]) == ("2024-01", 150.0, 125.0)
+
+
+@pytest.mark.parametrize("texts,want", [
+    (["03/02/2024", "13/02/2024", "2024-05-06"], ["2024-02-03", "2024-02-13", "2024-05-06"]),
+    (["03/02/2024", "02/13/2024", "13/02/2024", "02/14/2024"], ["2024-03-02", "2024-02-13", None, "2024-02-14"]),
+    (["03/02/2024", "4/5/2024 7:30"], ["2024-03-02", "2024-04-05"]),
+    (["20240131", "31.1.2024", "31-1-2024", "2024/1/31", "5 Jan 2024", "5-Jan-2024", "Jan 5, 2024"],
+     ["2024-01-31"] * 4 + ["2024-01-05"] * 3),
+    (["2024-01-31T10:00:00", "2024-01-31 23:59", "2024", "12:30", "", None, "31/31/2024"],
+     ["2024-01-31", "2024-01-31", "2024-01-01", None, None, None, None]),
+])
+def test_one_order_of_day_and_month_in_a_column(spark, texts, want):
+    from salescope.functions.parsing import parse_date
+
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = df.select("i", parse_date(df, "t").cast("string").alias("d")).orderBy("i").collect()
+    assert [r["d"] for r in got] == want
