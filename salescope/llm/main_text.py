@@ -39,14 +39,20 @@ NO_TEXT_WORDS = set(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent"
     " notice notices alert popup modal overlay menu nav navbar navigation breadcrumb breadcrumbs pagination sidebar side"
     " footer masthead toolbar comment comments reply replies disqus share sharing social related recommended newsletter"
-    " subscribe subscription signup login search contentinfo complementary".split()
+    " subscribe subscription signup login search contentinfo complementary widget widgets".split()
 )
 
+#: Ids of these are anchors that text is linked by; only class and role tell what they are.
+ANCHORED = set("p h1 h2 h3 h4 h5 h6 hgroup section article blockquote figure pre table ul ol li dl dt dd".split())
+
+#: A recurring subtree in an article is a template only if it holds less than this share of the article's text.
+MOST_OF_ARTICLE = 0.5
+
 # As the HTML tokenizer has it, a quote opens a value only right after a "="; elsewhere it is a letter like any other.
 _VALUE = r"=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?=>)|[^\s>\"'][^\s>]*+)"
 _TAG = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+\s*+(?:{_VALUE})?+)*+)>|<[!?/][^>]*(?:>|\Z)", re.S)
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+_NAMES = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _SPACE = re.compile(r"\s+")
 _PARTS = re.compile(r"[-_]+")
 
@@ -67,6 +73,7 @@ class Element:
     named: bool = False  # has a class, id or role
     in_article: bool = False
     holds_article: bool = False
+    article: int = -1  # the innermost article around it
 
 
 @dataclass
@@ -96,7 +103,7 @@ def parse(source: str | None) -> Page:
     page = Page(source)
     stack: list[int] = []
     held: list[str] = []
-    at = 0
+    at, articles = 0, 0
 
     def flush() -> None:
         text = _SPACE.sub(" ", entities.unescape("".join(held))).strip()
@@ -164,60 +171,100 @@ def parse(source: str | None) -> Page:
         if tag in VOID:
             continue
         parent = page.elements[stack[-1]] if stack else None
-        words = {w for n in _NAMES.findall(found[3]) for w in n.strip("\"'").lower().split()} if found[3] else set()
+        names = _NAMES.findall(found[3]) if found[3] else ()
+        told = {a.lower(): n.strip("\"'").lower().split() for a, n in names}
+        words = {w for a, n in told.items() if a != "id" or tag not in ANCHORED for w in n}
         in_article = bool(parent and parent.in_article)
-        named = tag not in ("html", "body", "article", "main")
+        named = tag not in ("html", "body", "main") and (tag != "article" or in_article or articles > 0)
+        here = len(page.elements)
         page.elements.append(Element(
             tag, stack[-1] if stack else -1, begin, in_article=in_article or tag == "article",
             no_text=tag in NO_TEXT_TAGS or tag == "header" and not in_article or named and not words.isdisjoint(NO_TEXT_WORDS),
-            by_part=named and any(_tells(w) for w in words), named=bool(words),
+            by_part=named and any(_tells(w) for w in words), named=bool(told),
+            article=here if tag == "article" else parent.article if parent else -1,
         ))
-        stack.append(len(page.elements) - 1)
+        stack.append(here)
         if tag == "article":
-            for i in stack[:-1]:
+            articles += 1
+            for i in reversed(stack[:-1]):
+                if page.elements[i].holds_article:
+                    break
                 page.elements[i].holds_article = True
     flush()
     close(0, len(source))
     return page
 
 
-def subtrees(page: Page) -> dict[int, int]:
-    """Hash of each element that may be a template: not the article and nothing around it.
+def hashes(page: Page) -> list[int]:
+    """A hash of each element's source, white space aside: of its own pieces of it and the hashes of its children."""
+    parts: list[list[bytes]] = [[] for _ in page.elements]
+    reached = [e.start for e in page.elements]
+    order: list[list[int]] = [[] for _ in page.elements]
+    for i, e in enumerate(page.elements):
+        if e.parent >= 0:
+            order[e.parent].append(i)
+    out = [0] * len(page.elements)
+    for i in range(len(page.elements) - 1, -1, -1):
+        e = page.elements[i]
+        for c in order[i]:
+            parts[i] += [_SPACE.sub(" ", page.source[reached[i] : page.elements[c].start]).encode("utf-8", "replace"), out[c].to_bytes(8, "little")]
+            reached[i] = max(reached[i], page.elements[c].end)
+        parts[i].append(_SPACE.sub(" ", page.source[reached[i] : e.end]).strip().encode("utf-8", "replace"))
+        out[i] = xxhash.xxh3_64_intdigest(b"\0".join(parts[i]))
+        parts[i] = []
+    return out
+
+
+def subtrees(page: Page) -> dict[int, tuple[int, int]]:
+    """(hash, hash of the article around it, or 0) of each element that may be a template: not the article and nothing around it.
 
     Inside the article these are block elements, except plain paragraphs, headings and lists, which are its own text.
     """
-    out = {}
+    out, every = {}, hashes(page)
     for i, e in enumerate(page.elements):
         if e.holds_article or e.tag in ("html", "body", "head", "main", "article"):
             continue
         if not e.in_article or e.tag in BLOCK and (e.named or e.tag not in PLAIN):
-            out[i] = xxhash.xxh3_64_intdigest(_SPACE.sub(" ", page.source[e.start : e.end]).strip()) - (1 << 63)
+            out[i] = every[i] - (1 << 63), every[e.article] - (1 << 63) if e.in_article else 0
     return out
 
 
 def main_text(source: str | None, templates: set[int]) -> str:
+    """The blocks of a page's main text. ``templates`` are hashes of subtrees that recur on its host."""
     page = parse(source)
-    gone = {i for i, h in subtrees(page).items() if h in templates} if templates else set()
+    found = {i for i, (h, _) in subtrees(page).items() if h in templates} if templates else set()
+    size = [0] * len(page.elements)
+    if found:
+        for inner, text in page.blocks:
+            if inner >= 0:
+                size[inner] += len(text)
+        for i in range(len(size) - 1, -1, -1):
+            if page.elements[i].parent >= 0:
+                size[page.elements[i].parent] += size[i]
     landmark = next((t for t in ("article", "main") if any(e.tag == t for e in page.elements)), None)
-    around = {i for k, e in enumerate(page.elements) if e.tag == landmark for i in page.chain(k)}
-    # A compound name around the article is that of a layout, not of what is in it.
-    gone |= {i for i, e in enumerate(page.elements) if e.no_text or e.by_part and i not in around}
-    out = []
-    for inner, text in page.blocks:
-        chain = list(page.chain(inner))
-        if not gone.isdisjoint(chain):
-            continue
-        if landmark and not any(page.elements[i].tag == landmark for i in chain):
-            continue
-        out.append(text)
-    return "\n".join(out)
+    around = [False] * len(page.elements)
+    for i in range(len(page.elements) - 1, -1, -1):
+        e = page.elements[i]
+        around[i] = around[i] or e.tag == landmark
+        if around[i] and e.parent >= 0:
+            around[e.parent] = True
+    gone, inside = [False] * len(page.elements), [False] * len(page.elements)
+    for i, e in enumerate(page.elements):
+        template = i in found and (not e.in_article or size[i] < MOST_OF_ARTICLE * size[e.article])
+        # A compound name around the article is that of a layout, not of what is in it.
+        own = template or e.no_text or e.by_part and not around[i]
+        gone[i] = own or e.parent >= 0 and gone[e.parent]
+        inside[i] = e.tag == landmark or e.parent >= 0 and inside[e.parent]
+    kept = [text for inner, text in page.blocks if inner < 0 and not landmark or inner >= 0 and not gone[inner] and (inside[inner] or not landmark)]
+    return "\n".join(kept)
 
 
 def host_templates(pages: DataFrame) -> DataFrame:
     """(host, templates): the hashes of subtrees that recur across pages of the host.
 
-    Pages with the same source count once, so copies of a page make no template of its text. Counts add up on the
-    map side; a large host is no hot key, as the counting key is host and subtree.
+    Pages with the same source count once, so copies of a page make no template of its text; so do pages with the same article
+    for what is in it, so a story that many pages bring stays. Counts add up on the map side; a large host is no hot
+    key, as the counting key is host and subtree.
     """
     ship_package(pages.sparkSession)
 
@@ -225,8 +272,8 @@ def host_templates(pages: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for host, source in zip(batch["host"], batch["html"]):
-                rows += [(host, xxhash.xxh3_64_intdigest(source) - (1 << 63), h)
-                         for h in set(subtrees(parse(source)).values())]
+                whole = xxhash.xxh3_64_intdigest(source) - (1 << 63)
+                rows += [(host, article or whole, h) for h, article in set(subtrees(parse(source)).values())]
             if rows:
                 yield pd.DataFrame(rows, columns=["host", "page", "subtree"])
 

@@ -66,3 +66,38 @@ def test_parts_of_compound_names():
     for name in ("ad-banner", "cookie-notice", "comment_list", "related-posts"):
         assert M.main_text(page.format(f"<div class='{name}'><p>gone</p></div>"), set()) == "text\nmore"
     assert M.main_text(page.format("<div class='adverb-list'><p>kept</p></div>"), set()) == "text\nkept\nmore"
+
+
+def test_a_story_that_many_pages_bring_stays(spark):
+    """Same story, other surroundings; and other headings, but most of the text the same."""
+    same = "<p>ad {i}</p><article><h1>T</h1><div class='content'><p>The story text.</p></div></article>"
+    most = "<article><h1>T {i}</h1><div class='content'><p>The long text of a story.</p></div></article>"
+    rows = [(i, "http://a.example/", same.format(i=i), "", "") for i in range(6)] + [(10 + i, "http://b.example/", most.format(i=i), "", "") for i in range(6)]
+    got = {(r["row"]["page_id"], r.text) for r in M.extract_pages(spark.createDataFrame(rows, DDL)).collect()}
+    assert got == {(i, "T\nThe story text.") for i in range(6)} | {(10 + i, f"T {i}\nThe long text of a story.") for i in range(6)}
+
+
+def test_anchors_and_nested_articles():
+    page = ("<article><h2 id='comments'>On comments</h2><p id='notice'>a</p><section id='search'><p>b</p></section>"
+            "<article class='comment'><p>reader</p></article><div id='comments'><p>c</p></div></article>"
+            "<article class='related'><p>teaser</p></article><article class='second'><p>d</p></article>")
+    assert M.main_text(page, set()) == "On comments\na\nb\nd"
+    assert M.main_text("<div class='widget'>w</div><div><p>text</p></div>", set()) == "text"
+    assert M.main_text("<article class='related story'><p>only one</p></article>", set()) == "only one"
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    begun = time.perf_counter()
+    deep = "<article>" + "<div>word" * 20_000
+    page = M.parse(deep)
+    assert len(set(M.hashes(page))) == 20_001
+    assert M.main_text(deep, {1}).count("word") == 20_000
+    assert time.perf_counter() - begun < 20
+
+
+def test_equal_subtrees_have_equal_hashes():
+    page = M.parse("<div><p>one  <b>x</b>\n two</p></div><div><p>one <b>x</b> two</p></div><div><p>one <b>y</b> two</p></div>")
+    a, b, c = (h for h, e in zip(M.hashes(page), page.elements) if e.tag == "div")
+    assert a == b != c
