@@ -9,7 +9,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -23,8 +22,8 @@ END = 2
 #: Pieces that one task packs together, on average; a group loses a part of one sequence at most.
 GROUP_PIECES = 20_000
 
-#: How byte-level BPE vocabularies of this kind divide a text before merging (fixed value, the public pattern).
-DIVIDE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Characters of text that one encoding pass takes together; a longer text is a pass of its own.
+PASS_CHARS = 1 << 20
 
 
 #: White space but spaces and line breaks, which are looked for without a pattern.
@@ -39,26 +38,31 @@ def _near_space(text: str) -> bool:
 class Encoder:
     """Token ids of texts, as bytes of little-endian 32-bit numbers.
 
-    Merges never cross the parts a text is divided into, so each part is encoded once and remembered. A single space
-    between other characters always begins a part: texts are first split there, and whole words looked up, sign and all;
-    only words not seen before are divided into parts. Memories are emptied when they are full.
+    Merges never cross the parts a text is divided into, and a single space between other characters always begins a part:
+    texts are split there, and each word, sign and all, is encoded once and remembered. Strings of added tokens get their
+    own ids; where one holds white space or takes that beside it, texts with it are encoded whole. The memory is emptied
+    when it is full.
     """
 
-    ROOM = 1_000_000
+    ROOM = 1_500_000
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.wide = [t.content for t in added if t.lstrip or t.rstrip or re.search(r"\s", t.content)]
         self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+
+    def _whole(self, text: str) -> bool:
+        return _near_space(text) or any(w in text for w in self.wide)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [[t] if _near_space(t) else t.split(" ") for t in (t or "" for t in texts)]
+        split = [[t] if self._whole(t) else t.split(" ") for t in (t or "" for t in texts)]
         first = self._encode([s.pop(0) for s in split])
-        new = list(set().union(*split).difference(self.words))
+        seen = set().union(*split)
+        new = list(seen.difference(self.words))
         if len(self.words) + len(new) > self.ROOM:
             self.words.clear()
-            new = list(set().union(*split))
+            new = list(seen)
         self.words.update(zip(new, self._encode([" " + w for w in new])))
         get = self.words.__getitem__
         out = [f + b"".join(map(get, s)) for f, s in zip(first, split)]
@@ -68,15 +72,19 @@ class Encoder:
         return out
 
     def _encode(self, words: list[str]) -> list[bytes]:
-        divided = [DIVIDE.findall(w) for w in words]
-        new = list(set().union(*divided).difference(self.parts))
-        if len(self.parts) + len(new) > self.ROOM:
-            self.parts.clear()
-            new = list(set().union(*divided))
-        got = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        self.parts.update(zip(new, [array("I", g.ids).tobytes() for g in got]))
-        get = self.parts.__getitem__
-        return [b"".join(map(get, d)) for d in divided]
+        return [array("I", g.ids).tobytes() for g in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+
+def by_size(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]:
+    """(number of the first text, texts) of runs of about PASS_CHARS characters."""
+    first, size = 0, 0
+    for i, text in enumerate(texts):
+        if i > first and size + len(text or "") > PASS_CHARS:
+            yield first, texts[first:i]
+            first, size = i, 0
+        size += len(text or "")
+    if texts:
+        yield first, texts[first:]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -156,8 +164,8 @@ def tokenize(documents: DataFrame, tokenizer: str, length: int = LENGTH) -> Data
         own = encoder(tokenizer)
         for batch in batches:
             rows, texts = [], batch["text"].tolist()
-            for a in range(0, len(texts), 64):
-                for k, ids in enumerate(own.encode(texts[a : a + 64]), a):
+            for a, part in by_size(texts):
+                for k, ids in enumerate(own.encode(part), a):
                     rows += [(k, p, *c) for p, c in enumerate(cut(ids + end, length))]
             at = [r[0] for r in rows]
             table = np.array(rows, np.int64).reshape(len(rows), 5)
@@ -176,7 +184,7 @@ def tokenize(documents: DataFrame, tokenizer: str, length: int = LENGTH) -> Data
 def pack(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
     """Adds (sequence_id, offset) to pieces with a ``length`` column: as few sequences of ``length`` as it can.
 
-    Pieces are dealt by a digest of all their columns into groups of about GROUP_PIECES; each is packed by
+    Pieces are dealt by a digest of their columns and place into groups of about GROUP_PIECES; each is packed by
     best-two-fit in one task. No pieces: no rows.
     """
     ship_package(pieces.sparkSession)
@@ -197,7 +205,8 @@ def pack(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
 
     kind = dict(table.dtypes)["doc_id"]
     sent = table.withColumn("doc_id", F.col("doc_id").cast("string"))
-    sent = sent.withColumn("group", F.pmod(F.xxhash64(*names), F.lit(groups)))
+    # Equal pieces are spread, too: where a row lies in the written table tells them apart.
+    sent = sent.withColumn("group", F.pmod(F.xxhash64(*names, F.monotonically_increasing_id()), F.lit(groups)))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sent.drop("group").schema.fields)
     done = sent.groupBy("group").applyInPandas(place, f"{schema}, sequence_id long, offset long")
     return done.withColumn("doc_id", F.col("doc_id").cast(kind))

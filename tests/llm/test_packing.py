@@ -13,7 +13,6 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 def plain():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return t
 
 
@@ -75,3 +74,24 @@ def test_every_piece_has_its_place(docs, odd):
 
 def test_no_rows(docs):
     assert packing.pack_documents(docs([(1, "x")]).limit(0), PATH).collect() == []
+
+
+def test_strings_of_added_tokens_get_their_ids():
+    own = packing.Encoder(PATH)
+    assert np.frombuffer(own.encode(["one<|endoftext|>two"])[0], "<u4").tolist() == [505, 50256, 11545]
+    texts = ["a <|endoftext|> b <|endoftext|>", "<|endoftext|>", "x  <|endoftext|>\n y", "<|endoftext", "no mark"]
+    want = [e.ids for e in plain().encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(b, "<u4").tolist() for b in own.encode(texts)] == want
+
+
+def test_passes_hold_all_texts():
+    texts = ["x" * n for n in (5, packing.PASS_CHARS, 3, 0, packing.PASS_CHARS * 2, 1)] + [None]
+    made = list(packing.by_size(texts))
+    assert [t for _, part in made for t in part] == texts and [a for a, _ in made] == [0, 1, 2, 4, 5]
+
+
+def test_equal_pieces_are_spread_over_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_PIECES", 50)
+    pieces = spark.createDataFrame([(7, 0, 0, 10, 5)] * 400, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    rows = packing.pack(pieces).collect()
+    assert len({r.sequence_id >> 32 for r in rows}) == 8 and len({(r.sequence_id, r.offset) for r in rows}) == 400
