@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from salescope.llm.common import PASS_BYTES, byte_codes, mix64
-from salescope.plans.session import ship_package
+from salescope.plans.session import ship_package, written
 
 THRESHOLD = 50
 FIRST = 24
@@ -316,15 +316,29 @@ def compressed(text: Column) -> Column:
     return squeeze(text)
 
 
+def once_each(documents: DataFrame) -> DataFrame:
+    """Rows (doc_id, text) without repeats of both.
+
+    Only rows whose id stands on several rows are compared by text; which ids these are is read from the ids alone.
+    """
+    again = documents.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
+    again = written(again, "repeated-ids")
+    if again.isEmpty():
+        return documents
+    several = documents.join(again, "doc_id", "left_semi").withColumn("whole", F.xxhash64(F.coalesce("text", F.lit(""))))
+    several = several.groupBy("doc_id", "whole").agg(F.first("text").alias("text")).drop("whole")
+    return documents.join(again, "doc_id", "left_anti").unionByName(several)
+
+
 def repeated_stretches(documents: DataFrame) -> DataFrame:
     """(doc_id, text_hash, start, length): stretches of bytes whose strings also start in a document with a smaller id."""
     ship_package(documents.sparkSession)
-    text = F.coalesce("text", F.lit(""))
-    sent = documents.filter(F.col("doc_id").isNotNull())
+    sent = documents.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sent = once_each(sent)
     total = sent.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks, buckets = 1 + total // BLOCK_BYTES, 1 + total // BUCKET_BYTES
     sent = sent.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.hash(text).alias("text_hash"), compressed(F.col("text")).alias("z"))
+        "doc_id", F.hash(F.coalesce("text", F.lit(""))).alias("text_hash"), compressed(F.col("text")).alias("z"))
     dealt = sent.withColumn("block", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(blocks))).repartition("block")
     by_block = dealt.groupBy("block")
     anchors = by_block.applyInPandas(_block_anchors(buckets), "bucket long, block long, one binary, more binary")

@@ -92,3 +92,15 @@ def test_odd_rows(odd):
 
 def test_no_rows(docs):
     assert repeats.deduplicate(docs([(1, "x")]).limit(0)).collect() == []
+
+
+def test_many_equal_rows_with_one_id(spark, docs):
+    """Equal rows are looked at once, and each of them gets the same result; another text under the id has its own."""
+    words = " ".join(f"word{i * 7919 % 997}" for i in range(120))
+    rows = [(1, "start " + words)] + [(2, words + " end")] * 400 + [(2, "other " + words)] * 3 + [(3, "short")]
+    got = repeats.deduplicate(docs(rows)).select("row.doc_id", "n_bytes", "n_removed", "n_spans").collect()
+    assert len(got) == len(rows)
+    assert {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in got} == {
+        (1, len(rows[0][1]), 0, 0), (2, len(words) + 4, len(words), 1), (2, len(words) + 6, len(words) + 1, 1), (3, 5, 0, 0)}
+    sent = docs(rows).select("doc_id", "text")
+    assert repeats.once_each(sent).count() == 4
