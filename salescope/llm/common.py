@@ -22,6 +22,18 @@ def packed(df: DataFrame, name: str = "row") -> DataFrame:
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name))
 
 
+#: Bytes of rows that Spark hands to a Python worker at a time, so that long texts do not pile up on both sides.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of a session by bytes, unless it bounds them closer itself."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name)
+    if not now.rstrip("b").isdigit() or not 0 < int(now.rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def order_hash(key: Column) -> Column:
     """A whole number below 2**52 from the digest of a key, the same in every SQL engine; null keys give one value."""
     digest = F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary"))

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salescope.llm.common import LETTERS, joined, packed, passes, word_hashes, word_heads
+from salescope.llm.common import LETTERS, joined, packed, passes, small_batches, word_hashes, word_heads
 from salescope.llm.labelled import labelled_sample, remainder
 from salescope.plans.session import ship_package
 
@@ -174,6 +174,7 @@ def train(documents: DataFrame, labels: DataFrame, s: Settings = Settings(), fol
     Spark works out their terms; all of them reach the driver, four bytes for each distinct term of a document.
     """
     ship_package(documents.sparkSession)
+    small_batches(documents.sparkSession)
     buckets = s.buckets
 
     def featurize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
