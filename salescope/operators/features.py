@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import ratio, round_even
+from ..plans.numbering import numbered
 from ..plans.quantiles import beside, value_at
-from ..plans.skew import HOT_FLOOR, HOT_SHARE, lookback, lookup_join
+from ..plans.session import written
+from ..plans.skew import HOT_FLOOR, HOT_SHARE, lookback
 from ..schema import has, numeric_columns, require
 
 # Default look-backs in rows, and the columns no model may see because
@@ -24,7 +26,6 @@ NOT_FEATURES = (
 ENCODED = ("category", "region")
 TEST_SHARE = 0.2
 LEAST_ROWS = 50
-MOST_LABELS = 10_000
 TIE_BREAKERS = ("date", "order_id", "line_id", "quantity")
 
 
@@ -122,36 +123,36 @@ def ml_features(df: DataFrame) -> DataFrame:
     return out.dropna(subset=[c for c in out.columns if "lag_" in c or "rolling_" in c])
 
 
-def encode_categories(df: DataFrame, columns=ENCODED, most: int = MOST_LABELS) -> DataFrame:
-    """Codes by sorted value.
+def label_codes(df: DataFrame, columns) -> DataFrame:
+    """(field, value, code): the distinct values of text columns numbered from 0 in their order, per column.
 
-    The distinct values are read first, never more than ``most`` of them. A complete
-    list is small enough to broadcast; a longer one stays a table and is joined with
-    the hot values spread.
+    Values are numbered over ranges, however many there are; nulls count as the text nan.
+    """
+    pairs = F.array(*[F.struct(F.lit(c).alias("field"), _label(c).alias("value")) for c in columns])
+    labels = df.select(F.explode(pairs).alias("x")).select("x.*").distinct()
+    placed = numbered(labels, [F.col("field"), F.col("value")], "place", "labels")
+    first = placed.groupBy("field").agg(F.min("place").alias("first"))
+    return placed.join(first, "field").select("field", "value", (F.col("place") - F.col("first")).cast("int").alias("code"))
+
+
+def _label(c: str) -> Column:
+    return F.coalesce(F.col(c).cast("string"), F.lit("nan"))
+
+
+def encode_categories(df: DataFrame, columns=ENCODED) -> DataFrame:
+    """Codes by sorted value, one plan for lists of any length.
+
+    The codes are read from a written table, so the planner knows their size: it copies short lists to all tasks and splits the
+    rows of a hot value when it joins long ones.
     """
     names = [c for c in columns if has(df, c)]
     if not names:
         return df
-
-    def value(c: str) -> Column:
-        return F.coalesce(F.col(c).cast("string"), F.lit("nan"))
-
-    pairs = F.array(*[F.struct(F.lit(c).alias("field"), value(c).alias("value")) for c in names])
-    labels = df.select(F.explode(pairs).alias("x")).select("x.*").distinct()
-    listed = labels.limit(most + 1).collect()
+    codes = written(label_codes(df, names), "label-codes")
     out = df
     for c in names:
-        keyed = out.withColumn("__value", value(c))
-        if len(listed) <= most:
-            found = sorted((r["value"] for r in listed if r["field"] == c), key=lambda v: v.encode())
-            codes = df.sparkSession.createDataFrame(
-                [(v, i) for i, v in enumerate(found)], f"__value string, {c}_encoded int")
-            out = keyed.join(F.broadcast(codes), "__value", "left").drop("__value")
-        else:
-            codes = labels.where(F.col("field") == c).select(
-                F.col("value").alias("__value"),
-                (F.row_number().over(Window.orderBy("value")) - 1).alias(f"{c}_encoded"))
-            out = lookup_join(keyed, codes, "__value").drop("__value")
+        own = codes.where(F.col("field") == c).select(F.col("value").alias("__value"), F.col("code").alias(f"{c}_encoded"))
+        out = out.withColumn("__value", _label(c)).join(own, "__value", "left").drop("__value")
     return out
 
 

@@ -258,8 +258,13 @@ def test_too_few_rows(lines):
         features.select_features(lines.drop("quantity"))
 
 
-def test_long_label_lists_stay_tables(spark):
-    df = spark.createDataFrame([(f"c{i % 30:02d}", i) for i in range(90)], "category string, quantity int")
-    short, long = features.encode_categories(df), features.encode_categories(df, most=5)
-    assert short.exceptAll(long.select(*short.columns)).count() == 0
-    assert short.where("category = 'c07'").first()["category_encoded"] == 7
+def test_labels_of_any_number_are_coded_in_order(spark):
+    rows = [(f"c{i * 7919 % 5000:04d}" if i % 3 else None, "ab"[i % 2], i) for i in range(9000)]
+    df = spark.createDataFrame(rows, "category string, region string, quantity int")
+    made = features.encode_categories(df)
+    assert made.columns == ["category", "region", "quantity", "category_encoded", "region_encoded"] and made.count() == 9000
+    values = sorted({r[0] or "nan" for r in rows})
+    assert all(values[r["category_encoded"]] == (r["category"] or "nan") for r in made.collect())
+    assert {(r["region"], r["region_encoded"]) for r in made.collect()} == {("a", 0), ("b", 1)}
+    assert features.encode_categories(df.drop("category", "region")).columns == ["quantity"]
+    assert features.encode_categories(df.limit(0)).collect() == []
