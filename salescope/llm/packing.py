@@ -22,6 +22,9 @@ END = 2
 #: Pieces that one task packs together, on average; a group loses a part of one sequence at most.
 GROUP_PIECES = 20_000
 
+#: Signs that end words.
+SIGNS = ".,;:!?"
+
 #: Characters of text that one encoding pass takes together; a longer text is a pass of its own.
 PASS_CHARS = 1 << 20
 
@@ -51,6 +54,7 @@ class Encoder:
         added = self.tokenizer.get_added_tokens_decoder().values()
         self.wide = [t.content for t in added if t.lstrip or t.rstrip or re.search(r"\s", t.content)]
         self.words: dict[str, bytes] = {}
+        self.signs = dict(zip(SIGNS, self._encode(list(SIGNS))))
 
     def _whole(self, text: str) -> bool:
         return _near_space(text) or any(w in text for w in self.wide)
@@ -59,18 +63,26 @@ class Encoder:
         split = [[t] if self._whole(t) else t.split(" ") for t in (t or "" for t in texts)]
         first = self._encode([s.pop(0) for s in split])
         seen = set().union(*split)
-        new = list(seen.difference(self.words))
+        new = seen.difference(self.words)
         if len(self.words) + len(new) > self.ROOM:
             self.words.clear()
-            new = list(seen)
-        self.words.update(zip(new, self._encode([" " + w for w in new])))
+            new = seen
+        self._learn(new)
         get = self.words.__getitem__
         out = [f + b"".join(map(get, s)) for f, s in zip(first, split)]
         for word in new:
             if len(word) > 64:
-                del self.words[word]
+                self.words.pop(word, None)
+                self.words.pop(word[:-1], None)
         return out
 
+    def _learn(self, new: set[str]) -> None:
+        """Remembers new words. A sign that ends a word behind a letter is a part of its own: the word before it is encoded once."""
+        ended = [w for w in new if w[-1:] in self.signs and w[-2:-1].isalpha()]
+        others = list(new.difference(ended).union(w[:-1] for w in ended).difference(self.words))
+        self.words.update(zip(others, self._encode([" " + w for w in others])))
+        self.words.update((w, self.words[w[:-1]] + self.signs[w[-1]]) for w in ended)
+
     def _encode(self, words: list[str]) -> list[bytes]:
         return [array("I", g.ids).tobytes() for g in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 

@@ -19,6 +19,7 @@ def plain():
 TEXTS = [
     None, "", " ", "a", " a", "a ", "a  b", "\n a\n\n b", "x y  z ", "I'm we'll 12 3a", "日本 語 é́ \U0001f600", "a b  c",
     "<|endoftext|> as text", "\ta\t b", "end of line \nnext", "word " * 50, "x" * 300, "a" * 100 + " " + "b" * 100,
+    "it's. so, .a a. é, 9. x.. \"q.\" 日本. a!? don't! s'.", "y " + "z" * 80 + ". " + "z" * 80, "k k. k, k k.",
 ]
 
 
