@@ -169,6 +169,32 @@ query("run_decisions")(lambda spark, sf: _all_contracts(spark, sf).select(
     "decision_id", "decision_type", contracts.decision_label().alias("label"), "recommendation.recommendation", "status"))
 
 
+def _results(spark, sf):
+    """Every proposal of the three types with its status, and the expected profit that its contract holds."""
+    sales = view(spark, sf, "sales")
+    made = contracts.run_results(sales, {
+        contracts.PRICING: view(spark, sf, "price_proposals"), contracts.INVENTORY: view(spark, sf, "stock_proposals"),
+        contracts.MARKETING: view(spark, sf, "spend_proposals"),
+    }, forecast_fixture(sales))
+    profit = F.coalesce(*[F.try_element_at("contract.expected_outcome", F.lit(m)) for m in (
+        "projected_profit", "potential_profit", "expected_profit_change")])
+    key = F.coalesce(*[F.get_json_object("simulation_details", f"$.{c}") for c in ("product_id", "category")])
+    return made.select(
+        "decision_type", key.alias("subject"), "status", "error", profit.alias("expected_profit"),
+        F.col("contract.status").alias("contract_status"), F.col("contract.recommendation.recommendation").isNotNull().alias("recommended"))
+
+
+query("decision_results", f"""
+select 'Pricing' as decision_type, s.product_id as subject, case when error is null then 'success' else 'error' end as status, error,
+       projected_profit as expected_profit, case when error is null then 'Simulated' end as contract_status, error is null as recommended
+from ({_PRICE_SUMMARY}) s left join ({_PRICE_ROWS}) r on s.product_id = r.product_id and scenario = 'Expected'
+union all
+select 'Inventory', product_id, 'success', null, potential_profit, 'Simulated', true from ({_STOCK_ROWS}) r where scenario = 'Expected'
+union all
+select 'Marketing', category, 'success', null, expected_profit_change, 'Simulated', true
+from ({_SPEND_ROWS}) r where scenario = 'Expected'""")(_results)
+
+
 def _outcomes(spark, sf):
     """Pricing decisions, nine in ten of which reached 90 % of the expected profit."""
     priced = _pricing(spark, sf).where("error is null")

@@ -68,42 +68,66 @@ def scenario_results(decisions: DataFrame) -> Column:
     return F.flatten(F.transform("scenarios", rows))
 
 
-def decision_contracts(decisions: DataFrame, kind: str, notes: str = "", run: str | None = None) -> DataFrame:
-    """Contracts for the proposals that could be simulated.
+#: Equal proposals are dealt over so many groups before they are numbered.
+SALTS = 1_024
+
 
-    The id is a digest of the run and the proposal rather than a random number, so a
-    task that runs again after losing an executor writes the same id. It has 128
-    bits: eight hex digits would repeat within some ten thousand decisions.
+def _with_id(decisions: DataFrame, kind: str, run: str) -> DataFrame:
+    """Adds ``_id``: a digest of the run, the proposal and its number among equal ones.
+
+    It is no random number, so a task that runs again after losing an executor writes the same ids. It has 128 bits:
+    eight hex digits would repeat within some ten thousand decisions. Equal proposals are decisions of their own;
+    they are numbered by digest and salt, so many of them are no single task.
     """
-    run = run or uuid.uuid4().hex
-    ok = decisions.where(F.col("error").isNull())
-    content = F.to_json(F.struct(*[c for c in ok.columns if c not in ("scenarios", "assumptions", "risks", "monitoring")]))
-    # Equal proposals are decisions of their own: they are numbered before the id is made.
-    ok = ok.withColumn("_content", content)
-    ok = ok.withColumn("_nth", F.row_number().over(Window.partitionBy("_content").orderBy("_content")))
-    digest = F.sha2(F.concat_ws("|", F.lit(run), F.lit(kind), "_content", F.col("_nth").cast("string")), 256)
-    return ok.select(
-        F.upper(F.substring(digest, 1, 32)).alias("decision_id"),
+    content = F.to_json(F.struct(*[c for c in decisions.columns if c not in ("scenarios", "assumptions", "risks", "monitoring")]))
+    dealt = decisions.withColumns({
+        "_content": F.sha2(content, 256), "_salt": F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))})
+    place = F.row_number().over(Window.partitionBy("_content", "_salt").orderBy("_salt"))
+    digest = F.sha2(F.concat_ws("|", F.lit(run), F.lit(kind), "_content", F.col("_salt").cast("string"), place.cast("string")), 256)
+    return dealt.withColumn("_id", F.upper(F.substring(digest, 1, 32))).drop("_content", "_salt")
+
+
+def _contract(decisions: DataFrame, kind: str, notes: str) -> list[Column]:
+    return [
+        F.col("_id").alias("decision_id"),
         F.current_timestamp().alias("date"),
         F.lit(kind).alias("decision_type"),
         _input(kind).alias("input"),
-        expected_outcome(ok).alias("expected_outcome"),
-        evidence(ok).alias("historical_evidence"),
-        scenario_results(ok).alias("scenario_results"),
+        expected_outcome(decisions).alias("expected_outcome"),
+        evidence(decisions).alias("historical_evidence"),
+        scenario_results(decisions).alias("scenario_results"),
         F.col("assumptions").alias("key_assumptions"),
         F.col("risks").alias("risk_indicators"),
         F.col("monitoring").alias("monitoring_triggers"),
-        recommendation(ok).alias("recommendation"),
+        recommendation(decisions).alias("recommendation"),
         F.lit(notes).alias("user_notes"),
         F.lit(None).cast("struct<description:string,metric:string,value:double>").alias("actual_outcome"),
         F.lit(SIMULATED).alias("status"),
+    ]
+
+
+def decision_contracts(decisions: DataFrame, kind: str, notes: str = "", run: str | None = None) -> DataFrame:
+    """Contracts for the proposals that could be simulated; :func:`decision_results` tells of the others, too."""
+    ok = _with_id(decisions.where(F.col("error").isNull()), kind, run or uuid.uuid4().hex)
+    return ok.select(*_contract(ok, kind, notes))
+
+
+def decision_results(decisions: DataFrame, kind: str, notes: str = "", run: str | None = None) -> DataFrame:
+    """(decision_type, status, error, contract, simulation_details): one row per proposal, those that failed included.
+
+    ``status`` is success or error. A failed proposal has its error and no contract. ``simulation_details`` is all that
+    the simulation gave, as JSON text, so results of all types go into one table.
+    """
+    every = _with_id(decisions, kind, run or uuid.uuid4().hex)
+    ok = F.col("error").isNull()
+    details = F.to_json(F.struct(*[F.col(f"`{c}`") for c in decisions.columns if c != "error"]))
+    return every.select(
+        F.lit(kind).alias("decision_type"), F.when(ok, "success").otherwise("error").alias("status"), "error",
+        F.when(ok, F.struct(*_contract(every, kind, notes))).alias("contract"), details.alias("simulation_details"),
     )
 
 
-def run_decisions(
-    sales: DataFrame, proposals: dict[str, DataFrame], forecast: DataFrame | None = None, notes: str = ""
-) -> DataFrame:
-    """Contracts for proposals of several types; an unknown type fails."""
+def _simulated(sales: DataFrame, proposals: dict[str, DataFrame], forecast: DataFrame | None, make) -> DataFrame:
     unknown = sorted(set(proposals) - set(INPUTS))
     if unknown:
         raise ValueError(f"Unknown decision type: {', '.join(unknown)}")
@@ -116,13 +140,27 @@ def run_decisions(
             simulated = simulate_inventory(sales, rows, forecast)
         else:
             simulated = simulate_marketing(sales, rows)
-        contracts = decision_contracts(simulated, kind, notes, run)
-        out = contracts if out is None else out.unionByName(contracts)
+        made = make(simulated, kind, run)
+        out = made if out is None else out.unionByName(made)
     if out is None:
         raise ValueError("No proposals were given.")
     return out
 
 
+def run_decisions(
+    sales: DataFrame, proposals: dict[str, DataFrame], forecast: DataFrame | None = None, notes: str = ""
+) -> DataFrame:
+    """Contracts for proposals of several types; an unknown type fails."""
+    return _simulated(sales, proposals, forecast, lambda df, kind, run: decision_contracts(df, kind, notes, run))
+
+
+def run_results(
+    sales: DataFrame, proposals: dict[str, DataFrame], forecast: DataFrame | None = None, notes: str = ""
+) -> DataFrame:
+    """As :func:`run_decisions`, with a row and the details of the simulation for every proposal, failed ones included."""
+    return _simulated(sales, proposals, forecast, lambda df, kind, run: decision_results(df, kind, notes, run))
+
+
 def decision_label() -> Column:
     """A short text per decision from its type and inputs."""
     got = lambda key, other: F.coalesce(F.col("input")[key], F.lit(other))

@@ -173,3 +173,22 @@ def test_margin_and_revenue_signals(frame):
     got = {r["type"]: r for r in signals(frame("date date, revenue double, profit_margin double", rows)).collect()}
     assert got["margin"]["change_pct"] == 50.0 and got["revenue"]["change_pct"] == 100.0
     assert got["revenue"]["severity"] == "info" and "50.0%" in got["margin"]["what"]
+
+
+def test_failed_proposals_are_told_of(sales):
+    from salescope.operators import contracts
+
+    spark = sales.sparkSession
+    rows = [("P001", 100.0, 110.0)] * 3 + [("NONE", 100.0, 90.0)]
+    offers = spark.createDataFrame(rows, "product_id string, current_price double, proposed_price double")
+    got = contracts.run_results(sales, {contracts.PRICING: offers}).collect()
+    assert sorted(r["status"] for r in got) == ["error"] + ["success"] * 3
+    failed = next(r for r in got if r["status"] == "error")
+    assert failed["contract"] is None and failed["error"] == "No data found for product NONE"
+    assert '"product_id":"NONE"' in failed["simulation_details"]
+    made = [r for r in got if r["status"] == "success"]
+    assert len({r["contract"]["decision_id"] for r in made}) == 3
+    assert all(r["contract"]["decision_type"] == "Pricing" and "scenarios" in r["simulation_details"] for r in made)
+    assert contracts.run_decisions(sales, {contracts.PRICING: offers}).count() == 3
+    with pytest.raises(ValueError, match="Unknown"):
+        contracts.run_results(sales, {"Other": offers})
