@@ -176,9 +176,9 @@ def test_margin_and_revenue_signals(frame):
 
 
 def test_failed_proposals_are_told_of(sales):
-    from salescope.operators import contracts
+    from salescope.operators import cleaning, contracts
 
-    spark = sales.sparkSession
+    spark, sales = sales.sparkSession, cleaning.derive(sales)
     rows = [("P001", 100.0, 110.0)] * 3 + [("NONE", 100.0, 90.0)]
     offers = spark.createDataFrame(rows, "product_id string, current_price double, proposed_price double")
     got = contracts.run_results(sales, {contracts.PRICING: offers}).collect()
