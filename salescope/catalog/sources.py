@@ -136,12 +136,20 @@ _headers("header_key", lambda h: h.withColumn("header_key", headers.header_key("
 _headers("map_alias", headers.map_known, f"""
 select export_id, header, header_key, field, match
 from (select *, {_KEY} as header_key from export_headers) h left join {_NAMES} on h.header_key = n.k""")
+# What the similarity of names gives for the unknown headers of the fixture, worked out by hand.
+_SIMILAR = """(values ('quanity', 'quantity'), ('prodct name', 'product_name'), ('sale ammount', 'revenue'),
+('stock quantitty', 'inventory_units')) v(k, field)"""
 _headers("header_collisions", lambda h: headers.header_collisions(h, "export_id"), f"""
 select export_id, field, count(*) as headers
-from (select *, {_KEY} as header_key from export_headers) h join {_NAMES} on h.header_key = n.k
+from (select *, {_KEY} as header_key from export_headers) h
+join (select k, field from {_NAMES} union all select k, field from {_SIMILAR}) n on h.header_key = n.k
 group by 1, 2 having count(*) > 1""")
-_headers("map_fuzzy", lambda h: headers.map_similar(h).where("field is not null").drop("candidates"))
+_headers("map_fuzzy", lambda h: headers.map_similar(h).where("field is not null").drop("candidates"), f"""
+select k as header_key, count(*) as occurrences, field, 'similar name' as match
+from (select {_KEY} as header_key from export_headers) h join {_SIMILAR} on h.header_key = k group by k, field""")
 _headers("uncertain_headers", lambda h: headers.map_similar(h).where("field is null and size(candidates) > 0")
-         .select("header_key", "occurrences", "candidates"))
+         .select("header_key", "occurrences", F.array_join("candidates", ", ").alias("candidates")), f"""
+select {_KEY} as header_key, count(*) as occurrences, 'product_id, cost_per_unit' as candidates
+from export_headers where {_KEY} = 'product cose' group by 1""")
 query("src_json", """
 select date, order_id, line_id, product_id, cast(quantity as bigint) as quantity, unit_price from sales""")(_json_arrays)

@@ -186,8 +186,21 @@ def map_similar(headers: DataFrame, header: str = "header") -> DataFrame:
     return keys.withColumn("j", _judge_keys("header_key")).select("header_key", "occurrences", "j.*")
 
 
+def map_catalog(headers: DataFrame, header: str = "header") -> DataFrame:
+    """All headers with ``header_key``, ``field`` and ``match``, by known names first and by similar ones for the rest.
+
+    Every distinct unknown key is scored once; the scores are joined back by key.
+    """
+    known = map_known(headers, header)
+    similar = map_similar(headers, header).where(F.col("field").isNotNull()).select(
+        "header_key", F.col("field").alias("__field"), F.col("match").alias("__match"))
+    both = known.join(similar, "header_key", "left")
+    return both.withColumns({
+        "match": F.coalesce("match", "__match"), "field": F.coalesce("field", "__field")}).drop("__field", "__match")
+
+
 def header_collisions(headers: DataFrame, export: str, header: str = "header") -> DataFrame:
-    """Exports with more than one known header for the same field."""
-    known = map_known(headers, header).where(F.col("field").isNotNull())
-    counts = known.groupBy(export, "field").agg(F.count(F.lit(1)).alias("headers"))
+    """Exports with more than one header for the same field, by known or similar names."""
+    mapped = map_catalog(headers, header).where(F.col("field").isNotNull())
+    counts = mapped.groupBy(export, "field").agg(F.count(F.lit(1)).alias("headers"))
     return counts.where(F.col("headers") > 1)

@@ -169,3 +169,11 @@ def test_folders_of_partitions_keep_their_columns(spark, tmp_path):
         write(folder, "part.csv", head + "\n" + ("2024-01-01,3" if region == "North" else "4,2024-01-02") + "\n")
     got = readers.read_business_table(spark, str(tmp_path / "s.csv")).df.collect()
     assert {(r["region"], r["quantity"], r["date"].day) for r in got} == {("North", 3, 1), ("South", 4, 2)}
+
+
+def test_collisions_of_similar_names(spark):
+    rows = [(1, "Quantity"), (1, "quanity"), (2, "quanity"), (2, "prodct name"), (3, "Qty"), (3, "note")]
+    df = spark.createDataFrame(rows, "export_id int, header string")
+    assert [tuple(r) for r in headers.header_collisions(df, "export_id").collect()] == [(1, "quantity", 2)]
+    assert {(r["header"], r["field"], r["match"]) for r in headers.map_catalog(df).where("export_id < 3").collect()} == {
+        ("Quantity", "quantity", headers.CANONICAL), ("quanity", "quantity", headers.CLOSE), ("prodct name", "product_name", headers.CLOSE)}
