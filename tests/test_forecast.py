@@ -268,3 +268,72 @@ def test_labels_of_any_number_are_coded_in_order(spark):
     assert {(r["region"], r["region_encoded"]) for r in made.collect()} == {("a", 0), ("b", 1)}
     assert features.encode_categories(df.drop("category", "region")).columns == ["quantity"]
     assert features.encode_categories(df.limit(0)).collect() == []
+
+
+def days_apart(spark, ends, gaps):
+    """Series with some days observed, the last of them ``ends`` days after the first."""
+    rnd = np.random.default_rng(7)
+    rows = [(name, DAY + dt.timedelta(days=int(i)), float(rnd.integers(1, 9)) / 3)
+            for name, gap in gaps.items() for i in sorted({0, ends, *rnd.integers(0, ends, ends // gap)})]
+    return spark.createDataFrame(rows, "series_id string, date date, quantity double").repartition(3)
+
+
+def test_runs_of_days_give_the_features_of_every_day(spark):
+    """The pass over runs equals windows over every day, also when a series spans many batches."""
+    from pyspark.sql import Window
+
+    observed = days_apart(spark, 400, {"A": 2, "B": 50, "C": 400})
+    whole = series.numbered_days(observed)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        made = series.daily_features(series.daily_runs(observed)).orderBy("series_id", "date").collect()
+        plain = series.daily_features(whole.repartition(5, "date")).orderBy("series_id", "date").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    w = Window.partitionBy("series_id").orderBy("date")
+    want = whole.select(
+        "series_id", "date", "quantity", "day", "days",
+        *[F.coalesce(F.lag("quantity", k).over(w), F.lit(0.0)).alias(f"lag_{k}") for k in series.LAG_DAYS],
+        *[F.coalesce(f("quantity").over(w.rowsBetween(-k, -1)), F.lit(0.0)).alias(f"{s}_{k}")
+          for k in series.ROLLING_DAYS for s, f in (("mean", F.avg), ("std", F.stddev_pop))],
+    ).orderBy("series_id", "date")
+    names = want.columns
+    assert [tuple(r[c] for c in names) for r in made] == [tuple(r) for r in want.collect()]
+    assert [tuple(r[c] for c in names) for r in plain] == [tuple(r[c] for c in names) for r in made]
+
+
+def test_only_observed_days_are_sorted(spark):
+    """No window, sort or exchange stands above the days that are filled in."""
+    observed = days_apart(spark, 400, {"A": 20, "B": 50})
+    for made in (series.daily_features(series.daily_runs(observed)), series.history_tail(series.numbered_days(observed)),
+                 series.last_days(series.numbered_days(observed), 7)):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        above = plan.split("MapInArrow")[0] if "MapInArrow" in plan else plan.split("Generate explode")[0]
+        assert len(above) < len(plan) and not any(x in above for x in ("Window", "Sort", "Repartition"))
+
+
+def test_runs_out_of_order_are_refused(spark):
+    runs = series.daily_runs(days_apart(spark, 200, {"A": 10, "B": 10}))
+    with pytest.raises(Exception, match="in order"):
+        series.daily_features(runs.repartition(2, "date")).collect()
+
+
+def test_look_backs_leave_gaps_out(spark):
+    rows = [("A", DAY + dt.timedelta(days=i), None if i in (3, 9) else float(i * i % 11)) for i in range(40)]
+    made = series.daily_features(spark.createDataFrame(rows, "series_id string, date date, quantity double")).orderBy("date").collect()
+    for i in (0, 1, 4, 10, 39):
+        for k in series.ROLLING_DAYS:
+            past = [v for _, _, v in rows[max(0, i - k):i] if v is not None]
+            assert made[i][f"mean_{k}"] == pytest.approx(np.mean(past) if past else 0.0)
+            assert made[i][f"std_{k}"] == pytest.approx(np.std(past) if past else 0.0)
+        for k in series.LAG_DAYS:
+            assert made[i][f"lag_{k}"] == ((rows[i - k][2] or 0.0) if i >= k else 0.0)
+
+
+def test_tails_of_short_and_long_series(spark):
+    s = table(spark, [float(i) for i in range(5)]).unionByName(table(spark, [float(i) for i in range(100)], "B"))
+    tails = series.history_tail(s, 90).groupBy("series_id").agg(F.count("*").alias("n"), F.min("quantity").alias("q")).collect()
+    assert {(r.series_id, r.n, r.q) for r in tails} == {("A", 5, 0.0), ("B", 90, 10.0)}
+    ends = {r.series_id: r for r in series.last_days(s, 7).collect()}
+    assert ends["A"].recent == [0.0, 1.0, 2.0, 3.0, 4.0] and ends["A"].days == 5 and ends["A"].mean_quantity == 2.0
+    assert ends["B"].recent == [float(i) for i in range(93, 100)] and ends["B"].days == 100
