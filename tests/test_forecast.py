@@ -337,3 +337,25 @@ def test_tails_of_short_and_long_series(spark):
     ends = {r.series_id: r for r in series.last_days(s, 7).collect()}
     assert ends["A"].recent == [0.0, 1.0, 2.0, 3.0, 4.0] and ends["A"].days == 5 and ends["A"].mean_quantity == 2.0
     assert ends["B"].recent == [float(i) for i in range(93, 100)] and ends["B"].days == 100
+
+
+def test_days_without_sales_are_not_written(spark, monkeypatch):
+    """What the forecast writes grows with the days that sold something, not with the calendar."""
+    s = table(spark, ([4.0] + [0.0] * 9) * 40).unionByName(table(spark, [1.0] * 30, "B"))
+    kept, plain = {}, forecast.written
+    monkeypatch.setattr(forecast, "written", lambda df, name: kept.setdefault(name, plain(df, name)))
+    summary, days = forecast.forecast_daily_demand(s, 10, [])
+    rows = {r.series_id: r for r in summary.collect()}
+    assert kept["daily-panel"].where("series_id = 'A'").count() == 41
+    assert rows["A"].total_predicted == pytest.approx(sum(plain_naive(([4.0] + [0.0] * 9) * 40, 10)))
+    assert rows["A"].validation_days == 28 and rows["B"].status == "error" and "30" in rows["B"].error
+    assert days.count() == 10
+
+
+def test_rows_without_a_value_go_right_and_stay_on_leaves():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 2))
+    forest = trees.fit_forest(x, x[:, 0], 3, 5)
+    odd = np.array([[np.nan, 0.0], [np.inf, np.nan], [-np.inf, 1.0]])
+    want = [np.mean([walked(t, row) for t in forest]) for row in odd]
+    assert trees.Ensemble(forest, 1 / 3).predict(odd) == pytest.approx(want)
