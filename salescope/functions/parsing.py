@@ -62,7 +62,8 @@ def day_comes_first(df: DataFrame, column: str) -> Column:
     One aggregate over the column, used as a value of the whole table.
     """
     text = F.trim(F.col(f"`{column}`").cast("string"))
-    first, second = (F.regexp_extract(text, r"^(\d{1,2})/(\d{1,2})/\d{4}", k).try_cast("int") for k in (1, 2))
+    slashed = F.when(text.contains("/"), text)  # others have no vote: nothing is looked for in them
+    first, second = (F.regexp_extract(slashed, r"^(\d{1,2})/(\d{1,2})/\d{4}", k).try_cast("int") for k in (1, 2))
     days = F.count_if((first > 12) & (first <= 31) & (second <= 12))
     months = F.count_if((second > 12) & (second <= 31) & (first <= 12))
     return df.agg((days > months).alias("day_first")).scalar()

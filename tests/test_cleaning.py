@@ -179,3 +179,14 @@ def test_one_order_of_day_and_month_in_a_column(spark, texts, want):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     got = df.select("i", parse_date(df, "t").cast("string").alias("d")).orderBy("i").collect()
     assert [r["d"] for r in got] == want
+
+
+def test_only_texts_with_slashes_are_searched_for_votes(spark):
+    from salescope.functions.parsing import parse_date
+
+    df = spark.createDataFrame([("25/2/2024",), ("3/2/2024",), ("2024-02-03",), ("no date",), (None,)], "date string")
+    made = df.select(parse_date(df, "date").alias("day"))
+    assert [str(r.day) for r in made.collect()] == ["2024-02-25", "2024-02-03", "2024-02-03", "None", "None"]
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    searched = plan[plan.index("regexp_extract("):].split(",")[0]
+    assert "CASE WHEN Contains(" in searched
