@@ -56,23 +56,28 @@ def parse_date_text(c: Column, formats=DATE_FORMATS, day_first: Column | None =
     return F.coalesce(*tries)
 
 
-def day_comes_first(df: DataFrame, column: str) -> Column:
+def day_comes_first(df: DataFrame, column: str, copies: str | None = None) -> Column:
     """Whether days come before months in a text column: more of its rows can only be read so than the other way.
 
-    One aggregate over the column, used as a value of the whole table.
+    One aggregate over the column, used as a value of the whole table. A row stands for as many as the column ``copies`` says.
     """
     text = F.trim(F.col(f"`{column}`").cast("string"))
     slashed = F.when(text.contains("/"), text)  # others have no vote: nothing is looked for in them
     first, second = (F.regexp_extract(slashed, r"^(\d{1,2})/(\d{1,2})/\d{4}", k).try_cast("int") for k in (1, 2))
-    days = F.count_if((first > 12) & (first <= 31) & (second <= 12))
-    months = F.count_if((second > 12) & (second <= 31) & (first <= 12))
+
+    def votes(way: Column) -> Column:
+        return F.coalesce(F.sum(F.when(way, F.col(copies))), F.lit(0)) if copies else F.count_if(way)
+
+    days = votes((first > 12) & (first <= 31) & (second <= 12))
+    months = votes((second > 12) & (second <= 31) & (first <= 12))
     return df.agg((days > months).alias("day_first")).scalar()
 
 
-def parse_date(df: DataFrame, column: str, votes_from: DataFrame | None = None) -> Column:
+def parse_date(df: DataFrame, column: str, votes_from: DataFrame | None = None, copies: str | None = None) -> Column:
     """A calendar day from a date, timestamp or text column.
 
-    All rows of a text column are read by one order of day and month; the rows of ``votes_from``, or else of ``df``, tell which.
+    All rows of a text column are read by one order of day and month; the rows of ``votes_from``, or else of ``df``, tell
+    which, each as often as its column ``copies`` says.
     """
     kind = df.schema[column].dataType
     if isinstance(kind, T.DateType):
@@ -80,7 +85,7 @@ def parse_date(df: DataFrame, column: str, votes_from: DataFrame | None = None)
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         return F.to_date(F.col(column))
     voters = df if votes_from is None else votes_from
-    return parse_date_text(F.col(column).cast("string"), day_first=day_comes_first(voters, column))
+    return parse_date_text(F.col(column).cast("string"), day_first=day_comes_first(voters, column, copies))
 
 
 def number_text(c: Column) -> Column:
