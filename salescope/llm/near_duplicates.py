@@ -30,6 +30,8 @@ SKETCH, LEAST_ESTIMATE = 32, 0.35
 PARITIES = 1024
 #: Members of a list that one task compares; longer lists are cut into blocks.
 BLOCK = 4_096
+#: Rounds in which every member of a list that is still apart is compared with one other of it, drawn anew.
+HUB_ROUNDS = 2
 
 
 def shingles(held: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -170,24 +172,45 @@ def _alike(own: set, other: set, percent: int = PERCENT) -> bool:
     return common > 0 and 100 * common >= percent * (len(own) + len(other) - common)
 
 
+def within_parity(n: np.ndarray, m: np.ndarray, one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether sets of ``n`` and ``m`` shingles may be alike: each shingle that one of them lacks turns one parity at most."""
+    turned = np.bitwise_count(one ^ other).sum(axis=1, dtype=np.int64)
+    return (100 + PERCENT) * turned <= (100 - PERCENT) * (n + m)
+
+
+def _bits(parities: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(parities), "<u8").reshape(len(parities), -1)
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose full shingle sets are alike; ``texts`` (doc_id, text) has those of the documents.
 
-    Pairs whose sketches tell them apart clearly are dropped first; the rest are compared on their texts.
+    Pairs whose parities or sketches tell them apart clearly are dropped first; the rest are compared on their texts.
     """
-    sketch = nodes.select("node", "sketch")
+    side = ("n", "sketch", "parity")
 
-    @F.pandas_udf("double")
-    def estimated(one: pd.Series, other: pd.Series) -> pd.Series:
-        return pd.Series(estimate(one.tolist(), other.tolist()))
+    @F.pandas_udf("boolean")
+    def near_by(
+        n: pd.Series, one: pd.Series, bits: pd.Series, m: pd.Series, other: pd.Series, turned: pd.Series,
+    ) -> pd.Series:
+        fit = within_parity(n.to_numpy(), m.to_numpy(), _bits(bits), _bits(turned))
+        at = np.flatnonzero(fit)
+        fit[at] = estimate(one.iloc[at].tolist(), other.iloc[at].tolist()) >= LEAST_ESTIMATE
+        return pd.Series(fit)
 
-    near = pairs.join(sketch.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a")
-    near = near.join(sketch.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
-    near = written(near.filter(estimated("sa", "sb") >= LEAST_ESTIMATE).select("a", "b"), "near-pairs")
+    @F.pandas_udf("boolean")
+    def same_set(texts: pd.Series, nodes: pd.Series) -> pd.Series:
+        return pd.Series(_set_hash(texts.tolist())[0] == nodes.to_numpy())
+
+    near = pairs.join(nodes.select(F.col("node").alias("a"), *[F.col(c).alias(f"{c}_a") for c in side]), "a")
+    near = near.join(nodes.select(F.col("node").alias("b"), *[F.col(c).alias(f"{c}_b") for c in side]), "b")
+    near = near.filter(near_by(*[f"{c}_a" for c in side], *[f"{c}_b" for c in side]))
+    near = written(near.select("a", "b"), "near-pairs")
     own = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
-    own = nodes.select("node", F.col("least_id").alias("doc_id")).join(own, "node")
+    # Written, the ids have a known size: if they are few, Spark sends them to the texts instead of shuffling those.
+    own = written(nodes.select("node", F.col("least_id").alias("doc_id")).join(own, "node"), "near-ids")
     # An id may stand on rows of other texts, too: only the text with the node's set counts.
-    own = texts.join(own, "doc_id").filter(set_of(F.col("text"))["node"] == F.col("node"))
+    own = texts.join(own, "doc_id").filter(same_set("text", "node"))
     own = written(own.groupBy("node").agg(F.min("text").alias("text")), "near-texts")
 
     @F.pandas_udf("boolean")
@@ -217,7 +240,7 @@ def _cross_pairs(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
     value, pb, own = batch["value"].to_numpy(), batch["pb"].to_numpy(), batch["own"].to_numpy()
     node, comp, n = batch["node"].to_numpy(), batch["component"].to_numpy(), batch["n"].to_numpy()
     s, at = batch["blocks"].to_numpy(), batch["at"].to_numpy()
-    parity = np.frombuffer(b"".join(batch["parity"]), "<u8").reshape(len(batch), -1)
+    parity = _bits(batch["parity"])
     step, live = 1, np.arange(len(value))
     while True:
         live = live[live + step < len(value)]
@@ -232,19 +255,31 @@ def _cross_pairs(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
         lo, hi = np.minimum(own[live], own[other]), np.maximum(own[live], own[other])
         fit &= lo * s[live] + hi == pb[live]
         fit = np.flatnonzero(fit)
-        turned = np.bitwise_count(parity[live[fit]] ^ parity[other[fit]]).sum(axis=1, dtype=np.int64)
-        fit = fit[(100 + PERCENT) * turned <= most[fit]]
+        one, two = live[fit], other[fit]
+        fit = fit[within_parity(n[one], n[two], parity[one], parity[two])]
         if len(fit):
             yield pd.DataFrame({"a": np.minimum(node[live], node[other])[fit], "b": np.maximum(node[live], node[other])[fit]})
         step += 1
 
 
+def _hub_pairs(members: DataFrame, step: int) -> DataFrame:
+    """Pairs of each member with the one its list, or block of a list, draws in this round, if they may be alike."""
+    drawn = F.xxhash64("node", "value", F.lit(step))
+    hubs = members.groupBy("value", "own").agg(*[F.min_by(c, drawn).alias(f"hub_{c}") for c in ("node", "component", "n", "at")])
+    met = members.join(hubs, ["value", "own"]).filter("component <> hub_component")
+    differ = F.greatest(F.col("at") + F.col("hub_at"), F.abs(F.col("n") - F.col("hub_n")))
+    met = met.filter((100 + PERCENT) * differ <= (100 - PERCENT) * (F.col("n") + F.col("hub_n")))
+    return met.select(F.least("node", "hub_node").alias("a"), F.greatest("node", "hub_node").alias("b")).distinct()
+
+
 def document_sets(documents: DataFrame) -> DataFrame:
     """(node, component, component_id): the component of each shingle set that a document with an id has.
 
     Documents of equal sets are one node. In each inverted list the members are compared with its first one; what
-    these links join is contracted, and then all pairs of a list that are still apart are compared, long lists in
-    blocks. Every pair of similarity 0.75 shares a list, so components are those of all links.
+    these links join is contracted. In lists that are still apart, they are then compared with a member that each list
+    draws for itself: in a large group of near copies, whose members share many lists, each one meets as many others as
+    it has lists, not all of them. All pairs that are apart after HUB_ROUNDS of that are compared, long lists in blocks.
+    Every pair of similarity 0.75 shares a list, so components are those of all links.
     """
     spark = documents.sparkSession
     ship_package(spark)
@@ -275,21 +310,29 @@ def document_sets(documents: DataFrame) -> DataFrame:
     first = heads.groupBy("value").agg(F.min("hub").alias("a"))
     stars = stars.union(heads.join(first, "value").filter("a < hub").select("a", F.col("hub").alias("b"))).distinct()
     links = written(verified(stars, nodes, sent), "near-links")
-    found = connected_components(links)
+    open_lists = lists.drop("hub")
+    for step in range(HUB_ROUNDS + 1):
+        members = open_lists.join(connected_components(links), "node", "left")
+        members = written(members.withColumn("component", F.coalesce("component", "node")), "near-members")
+        apart = members.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+        apart = members.join(apart.filter("lo < hi").select("value"), "value")
+        open_lists = apart.drop("component")
+        if step == HUB_ROUNDS:
+            break
+        more = written(verified(_hub_pairs(apart, step), nodes, sent), "near-links")
+        if more.isEmpty():
+            break
+        links = links.union(more)
 
-    members = lists.drop("hub").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    members = written(members, "near-members")
-    apart = members.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
     other = F.sequence(F.lit(0), F.col("blocks") - 1)
     pair_block = F.transform(other, lambda o: F.least("own", o) * F.col("blocks") + F.greatest("own", o))
-    open_lists = members.join(apart.select("value"), "value").join(nodes.select("node", "parity"), "node")
-    open_lists = open_lists.withColumn("pb", F.explode(pair_block))
+    apart = apart.join(nodes.select("node", "parity"), "node").withColumn("pb", F.explode(pair_block))
 
     def cross(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if whole := list(batches):
             yield from _cross_pairs(pd.concat(whole, ignore_index=True))
 
-    pairs = open_lists.repartition("value", "pb").mapInPandas(cross, "a long, b long").distinct()
+    pairs = apart.repartition("value", "pb").mapInPandas(cross, "a long, b long").distinct()
     component = connected_components(links.union(verified(pairs, nodes, sent)))
     own = nodes.select("node", "least_id").join(component, "node", "left").withColumn(
         "component", F.coalesce("component", "node"))

@@ -106,3 +106,25 @@ def test_odd_rows(odd):
 
 def test_no_rows(docs):
     assert near.link_documents(docs([(1, "x")]).limit(0)).collect() == []
+
+
+def test_large_group_of_near_copies_is_not_compared_pair_by_pair(docs, monkeypatch):
+    """Near copies of one text, about half of whose pairs are links: few of all pairs are left when all pairs are compared."""
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for i in range(160):
+        w, n = list(base), rng.randint(4, 8)
+        at = rng.randrange(150 - n)
+        w[at : at + n] = [f"x{i}-{k}" for k in range(n)]
+        rows.append((i, " ".join(w)))
+    made, verified = [], near.verified
+
+    def counted(pairs, nodes, texts):
+        made.append(pairs.count())
+        return verified(pairs, nodes, texts)
+
+    monkeypatch.setattr(near, "verified", counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near.link_documents(docs(rows)).collect()}
+    assert got == brute(rows)
+    assert made[-1] <= len(rows), made
