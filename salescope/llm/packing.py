@@ -22,6 +22,9 @@ END = 2
 #: Pieces that one task packs together, on average; a group loses a part of one sequence at most.
 GROUP_PIECES = 20_000
 
+#: The sign by which a byte-level vocabulary writes a space.
+SPACE = "\u0120"
+
 #: Signs that end words.
 SIGNS = ".,;:!?"
 
@@ -43,16 +46,22 @@ class Encoder:
 
     Merges never cross the parts a text is divided into, and a single space between other characters always begins a part:
     texts are split there, and each word, sign and all, is encoded once and remembered. Strings of added tokens get their
-    own ids; where one holds white space or takes that beside it, texts with it are encoded whole. The memory is emptied
-    when it is full.
+    own ids; where one holds white space or takes that beside it, texts with it are encoded whole. New words are encoded in
+    runs, as one text with single spaces: the tokens that hold these tell where words begin. The memory is emptied when it
+    is full.
     """
 
     ROOM = 1_500_000
+    #: Words of a run.
+    RUN = 20_000
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         added = self.tokenizer.get_added_tokens_decoder().values()
         self.wide = [t.content for t in added if t.lstrip or t.rstrip or re.search(r"\s", t.content)]
+        vocabulary = self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.begins[[i for token, i in vocabulary.items() if token.startswith(SPACE)]] = True
         self.words: dict[str, bytes] = {}
         self.signs = dict(zip(SIGNS, self._encode(list(SIGNS))))
 
@@ -80,9 +89,29 @@ class Encoder:
         """Remembers new words. A sign that ends a word behind a letter is a part of its own: the word before it is encoded once."""
         ended = [w for w in new if w[-1:] in self.signs and w[-2:-1].isalpha()]
         others = list(new.difference(ended).union(w[:-1] for w in ended).difference(self.words))
-        self.words.update(zip(others, self._encode([" " + w for w in others])))
+        self.words.update(self._spaced(others))
         self.words.update((w, self.words[w[:-1]] + self.signs[w[-1]]) for w in ended)
 
+    def _spaced(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """(word, ids) of words, each encoded behind a space.
+
+        Words that a run does not keep apart are encoded one by one: empty ones, those that end in white space, and all of
+        a run that happens to spell a wide token or has not one beginning for each word.
+        """
+        alone = [w for w in words if not w or w[-1].isspace()]
+        inside = [w for w in words if w and not w[-1].isspace()] if alone else words
+        for a in range(0, len(inside), self.RUN):
+            run = inside[a : a + self.RUN]
+            text = " " + " ".join(run)
+            if not any(w in text for w in self.wide):
+                ids = self._encode([text])[0]
+                starts = (4 * np.flatnonzero(self.begins[np.frombuffer(ids, np.uint32)])).tolist()
+                if len(starts) == len(run) and not starts[0]:
+                    yield from zip(run, map(ids.__getitem__, map(slice, starts, [*starts[1:], len(ids)])))
+                    continue
+            alone += run
+        yield from zip(alone, self._encode([" " + w for w in alone]))
+
     def _encode(self, words: list[str]) -> list[bytes]:
         return [array("I", g.ids).tobytes() for g in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 

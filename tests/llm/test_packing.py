@@ -32,6 +32,32 @@ def test_encoder_agrees_with_the_tokenizer(monkeypatch):
     assert [full.encode([t])[0] for t in TEXTS] == want
 
 
+def test_new_words_are_encoded_in_runs(monkeypatch):
+    rng = random.Random(1)
+    signs = "aèñ日'x9-.,!?\n"
+    words = ["".join(rng.choice(signs) for _ in range(rng.randint(1, 12))).strip() or "a" for _ in range(5_000)]
+    texts = [" ".join(words[a : a + 100]) for a in range(0, 5_000, 100)] + ["b end\n", "c ", "d <|endoftext|> e<|endoftext|>f g"]
+    want = [np.array(e.ids, "<u4").tobytes() for e in plain().encode_batch(texts, add_special_tokens=False)]
+    for run in (7, 20_000):
+        monkeypatch.setattr(packing.Encoder, "RUN", run)
+        own = packing.Encoder(PATH)
+        given, encode = [], own._encode
+        monkeypatch.setattr(own, "_encode", lambda one: given.extend(one) or encode(one))
+        assert own.encode(texts) == want
+    # The first word of each text, one run, and what ends in white space or is empty: not one call for each word.
+    assert len(given) <= len(texts) + 3
+
+
+def test_a_token_that_two_words_spell_only_together_is_not_read_into_a_run(tmp_path):
+    wide = plain()
+    wide.add_tokens(["lo wor"])
+    wide.save(str(tmp_path / "wide.json"))
+    own = packing.Encoder(str(tmp_path / "wide.json"))
+    words = ["lo", "wor", "worn", "hallo"]
+    kept = dict(own._spaced(words))
+    assert kept == {w: np.array(plain().encode(" " + w, add_special_tokens=False).ids, "<u4").tobytes() for w in words}
+
+
 def test_only_the_first_piece_is_shorter():
     for n in (1, 2, 1023, 1024, 1025, 2048, 5000):
         ids = np.arange(n, dtype="<u4").tobytes()
