@@ -1,4 +1,5 @@
 import datetime as dt
+import threading
 
 import numpy as np
 import pytest
@@ -251,6 +252,24 @@ def test_models_beat_the_mean(lines):
     assert models.predict_nonneg(trained[models.LINEAR].model, test).where("prediction < 0").count() == 0
 
 
+def test_candidates_are_fitted_side_by_side(lines, monkeypatch):
+    train = models.assemble(lines, ["unit_price", "discount"])
+    met, given = threading.Barrier(4, timeout=30), {}
+    for name in ("train_linear", "train_forest", "train_bagged", "train_boosted"):
+        def fit(rows, features, *args, name=name):
+            met.wait()  # broken unless all four are at work at a time
+            given[name] = (*args, rows.count())
+            return models.Trained(name, {})
+
+        monkeypatch.setattr(models, name, fit)
+    trained = models.train_all(train, ["unit_price", "discount"], trees=6, depth=5, rounds=12)
+    assert {k: t.model for k, t in trained.items()} == {
+        models.LINEAR: "train_linear", models.FOREST: "train_forest", models.BAGGED: "train_bagged",
+        models.BOOSTED: "train_boosted"}
+    assert given == {
+        "train_linear": (600,), "train_forest": (6, 5, 600), "train_bagged": (6, 5, 600), "train_boosted": (12, 600)}
+
+
 def test_too_few_rows(lines):
     with pytest.raises(ValueError, match="Insufficient"):
         features.select_features(lines.limit(49))
