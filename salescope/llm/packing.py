@@ -6,6 +6,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -47,11 +48,12 @@ class Encoder:
     Merges never cross the parts a text is divided into, and a single space between other characters always begins a part:
     texts are split there, and each word, sign and all, is encoded once and remembered. Strings of added tokens get their
     own ids; where one holds white space or takes that beside it, texts with it are encoded whole. New words are encoded in
-    runs, as one text with single spaces: the tokens that hold these tell where words begin. The memory is emptied when it
-    is full.
+    runs, as one text with single spaces: the tokens that hold these tell where words begin. When the memory is full,
+    words that were not used since it was full before are forgotten.
     """
 
-    ROOM = 1_500_000
+    #: Words that are remembered at a time; as many of those before are held.
+    ROOM = 250_000
     #: Words of a run.
     RUN = 20_000
 
@@ -63,8 +65,12 @@ class Encoder:
         self.begins = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.begins[[i for token, i in vocabulary.items() if token.startswith(SPACE)]] = True
         self.words: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.signs = dict(zip(SIGNS, self._encode(list(SIGNS))))
 
+    def forget(self) -> None:
+        self.words, self.before = {}, {}
+
     def _whole(self, text: str) -> bool:
         return _near_space(text) or any(w in text for w in self.wide)
 
@@ -74,9 +80,11 @@ class Encoder:
         seen = set().union(*split)
         new = seen.difference(self.words)
         if len(self.words) + len(new) > self.ROOM:
-            self.words.clear()
+            self.before, self.words = self.words, {}
             new = seen
-        self._learn(new)
+        again = new.intersection(self.before)
+        self.words.update((w, self.before[w]) for w in again)
+        self._learn(new.difference(again))
         get = self.words.__getitem__
         out = [f + b"".join(map(get, s)) for f, s in zip(first, split)]
         for word in new:
@@ -131,11 +139,15 @@ def by_size(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]:
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One for each Python worker: it lives as long as the worker does."""
+@contextmanager
+def encoder(path: str) -> Iterator[Encoder]:
+    """One for each Python worker. It outlives the task in idle workers, too, so its words do not."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
-    return _encoders[path]
+    try:
+        yield _encoders[path]
+    finally:
+        _encoders[path].forget()
 
 
 def cut(ids: bytes, length: int = LENGTH) -> list[tuple[int, int, int]]:
@@ -202,18 +214,18 @@ def tokenize(documents: DataFrame, tokenizer: str, length: int = LENGTH) -> Data
     kind = dict(documents.select("doc_id").dtypes)["doc_id"]
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = encoder(tokenizer)
-        for batch in batches:
-            rows, texts = [], batch["text"].tolist()
-            for a, part in by_size(texts):
-                for k, ids in enumerate(own.encode(part), a):
-                    rows += [(k, p, *c) for p, c in enumerate(cut(ids + end, length))]
-            at = [r[0] for r in rows]
-            table = np.array(rows, np.int64).reshape(len(rows), 5)
-            yield pd.DataFrame({
-                "doc_id": batch["doc_id"].iloc[at].array, "piece": table[:, 1].astype(np.int32), "start": table[:, 2],
-                "length": table[:, 3], "ids_crc32": table[:, 4],
-            })
+        with encoder(tokenizer) as own:
+            for batch in batches:
+                rows, texts = [], batch["text"].tolist()
+                for a, part in by_size(texts):
+                    for k, ids in enumerate(own.encode(part), a):
+                        rows += [(k, p, *c) for p, c in enumerate(cut(ids + end, length))]
+                at = [r[0] for r in rows]
+                table = np.array(rows, np.int64).reshape(len(rows), 5)
+                yield pd.DataFrame({
+                    "doc_id": batch["doc_id"].iloc[at].array, "piece": table[:, 1].astype(np.int32), "start": table[:, 2],
+                    "length": table[:, 3], "ids_crc32": table[:, 4],
+                })
 
     docs = packed(documents).select("row.doc_id", "row.text")
     # Nullable ids would turn into floating point on the way through pandas: they travel as text.

@@ -48,6 +48,19 @@ def test_new_words_are_encoded_in_runs(monkeypatch):
     assert len(given) <= len(texts) + 3
 
 
+def test_memory_of_words_is_bounded_and_ends_with_the_task(monkeypatch):
+    monkeypatch.setattr(packing.Encoder, "ROOM", 200)
+    texts = [" ".join(f"w{i} often" for i in range(a, a + 50)) for a in range(0, 2_000, 50)]
+    want = [np.array(e.ids, "<u4").tobytes() for e in plain().encode_batch(texts, add_special_tokens=False)]
+    with packing.encoder(PATH) as own:
+        given, run = [], own._spaced
+        monkeypatch.setattr(own, "_spaced", lambda words: given.extend(words) or run(words))
+        assert [own.encode([t])[0] for t in texts] == want
+        # What is used again and again is not forgotten when the memory is full.
+        assert given.count("often") == 1 and 0 < len(own.words) + len(own.before) <= 400
+    assert not own.words and not own.before
+
+
 def test_a_token_that_two_words_spell_only_together_is_not_read_into_a_run(tmp_path):
     wide = plain()
     wide.add_tokens(["lo wor"])
