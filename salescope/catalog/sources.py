@@ -27,6 +27,9 @@ _JSON = (
     .replace("cast(quantity as double)", "quantity")
 )
 
+#: Lines of one packed file.
+LINES = 500_000
+
 
 def _file(spark, sf, kind, writer, **options):
     path = f"{scratch(spark, kind)}.{kind}"
@@ -52,7 +55,8 @@ def _two_orders(spark, sf):
 
 query("src_csv_headers", _READ)(_two_orders)
 query("src_tsv", _READ)(lambda spark, sf: _file(spark, sf, "tsv", "csv", header=True, sep="\t"))
-query("src_jsonl", _JSON)(lambda spark, sf: _file(spark, sf, "jsonl", "json"))
+# Lines repeat the names of all columns: packed they take little disk. A packed file is read by one task, so files are kept short.
+query("src_jsonl", _JSON)(lambda spark, sf: _file(spark, sf, "jsonl", "json", compression="lz4", maxRecordsPerFile=LINES))
 
 
 def _array_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

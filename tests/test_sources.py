@@ -177,3 +177,20 @@ def test_collisions_of_similar_names(spark):
     assert [tuple(r) for r in headers.header_collisions(df, "export_id").collect()] == [(1, "quantity", 2)]
     assert {(r["header"], r["field"], r["match"]) for r in headers.map_catalog(df).where("export_id < 3").collect()} == {
         ("Quantity", "quantity", headers.CANONICAL), ("quanity", "quantity", headers.CLOSE), ("prodct name", "product_name", headers.CLOSE)}
+
+
+def test_json_lines_are_packed_in_short_files(spark, monkeypatch):
+    from salescope.catalog import sources
+    from salescope.fixtures import view
+    from salescope.plans.registry import QUERIES
+
+    seen, read = [], sources.readers.read_business_table
+    monkeypatch.setattr(sources.readers, "read_business_table", lambda spark, path: seen.append(path) or read(spark, path))
+    monkeypatch.setattr(sources, "LINES", 1_000)
+    sf = "/root/testdata/sf0.001"
+    raw = view(spark, sf, "raw_sales")
+    out = QUERIES["src_jsonl"](spark, sf)
+    files = spark.read.json(seen[0]).inputFiles()
+    assert len(files) > raw.count() // 1_000 and all(".json." in f for f in files)
+    columns = ["order_id", "line_id", "product_name", "unit_price", "returns"]
+    assert sorted(map(repr, out.select(columns).collect())) == sorted(map(repr, raw.select(columns).collect()))
