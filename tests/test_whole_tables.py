@@ -29,6 +29,13 @@ def test_same_rows(spark, duck, name):
     assert sorted(repr(tuple(r)) for r in df.select(*columns).collect()) == want
 
 
+def test_rolling_tells_every_day_of_all_series(spark, duck):
+    test_same_rows(spark, duck, "daily_rolling")
+    rolled, days = entry.queries()["daily_rolling"](spark, SF), entry.queries()["date_spine_all"](spark, SF)
+    assert set(rolled.columns) == {"series_id", "date", "mean_7", "std_7", "mean_14", "std_14", "mean_28", "std_28"}
+    assert rolled.select("series_id", "date").exceptAll(days.select("series_id", "date")).isEmpty() and rolled.count() == days.count()
+
+
 def test_profiles_take_all_columns(spark):
     raw, sales = view(spark, SF, "raw_sales"), view(spark, SF, "sales")
     assert {r.field for r in entry.queries()["column_profile_all"](spark, SF).collect()} == set(raw.columns)
