@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from salescope.operators import features, forecast, models, series, trees
+from salescope.operators import features, forecast, models, past_days, series, trees
 
 DAY = dt.date(2024, 1, 1)
 
@@ -378,3 +378,19 @@ def test_rows_without_a_value_go_right_and_stay_on_leaves():
     odd = np.array([[np.nan, 0.0], [np.inf, np.nan], [-np.inf, 1.0]])
     want = [np.mean([walked(t, row) for t in forest]) for row in odd]
     assert trees.Ensemble(forest, 1 / 3).predict(odd) == pytest.approx(want)
+
+
+@pytest.mark.parametrize("share", [0.02, 0.9])
+def test_windows_without_sales_are_not_worked_out(monkeypatch, share):
+    rng, n, memory = np.random.default_rng(5), 3_000, 28
+    values = np.where(rng.random(n + memory) < share, rng.integers(1, 50, n + memory) / 8, 0.0)
+    seen, plain = [], past_days.moments
+    monkeypatch.setattr(past_days, "moments", lambda past, known, k: seen.append((k, len(past(1)))) or plain(past, known, k))
+    before, there = np.arange(memory, n + memory), np.ones(n + memory, bool)
+    made = past_days.looked_back(values, there, before, memory, series.LAG_DAYS, series.ROLLING_DAYS)
+    windows = {k: np.array([values[memory + i - k : memory + i] for i in range(n)]) for k in series.ROLLING_DAYS}
+    assert dict(seen) == {k: (w.any(axis=1).sum() if share < 0.1 else n) for k, w in windows.items()}
+    want = [values[memory - k : memory - k + n] for k in series.LAG_DAYS]
+    want += [x for w in windows.values() for x in (w.mean(axis=1), w.std(axis=1))]
+    for a, b in zip(made, want, strict=True):
+        np.testing.assert_allclose(a, b, rtol=1e-12, atol=1e-12)
