@@ -394,3 +394,45 @@ def test_windows_without_sales_are_not_worked_out(monkeypatch, share):
     want += [x for w in windows.values() for x in (w.mean(axis=1), w.std(axis=1))]
     for a, b in zip(made, want, strict=True):
         np.testing.assert_allclose(a, b, rtol=1e-12, atol=1e-12)
+
+
+def test_trees_of_any_shape_give_what_a_walk_gives():
+    rng = np.random.default_rng(8)
+    x = np.where(rng.random((3_000, 5)) < 0.4, 0.0, rng.normal(size=(3_000, 5)))
+    y = x[:, 0] * x[:, 1] + np.exp(2 * x[:, 2])
+    odd = np.vstack([x[:40], rng.normal(size=(40, 5)), np.full((1, 5), np.nan), np.full((1, 5), -np.inf)])
+    leaf = [trees.Tree.root(0.5)]
+    for made, base in (trees.fit_boosting(x, y, 12, 0.3, 10, 1.0), trees.fit_boosting(x, y, 4, 0.3, 40, 1.0, least=1),
+                       (trees.fit_forest(x, y, 4, 9) + leaf, 0.0), (leaf, 2.0)):
+        got = trees.Ensemble(made, 0.25, base).predict(odd)
+        assert got == pytest.approx([base + 0.25 * sum(walked(t, row) for t in made) for row in odd], rel=1e-12)
+
+
+def test_thresholds_themselves_go_left():
+    tree = trees.Tree.root(0.0)
+    tree.split(0, 3, 1.5, -1.0, 1.0)
+    values = np.array([[9, 9, 9, 1.5], [9, 9, 9, np.nextafter(1.5, 2)], [9, 9, 9, -9], [9, 9, 9, np.inf]])
+    assert trees.Ensemble([tree] * 3, 1.0).predict(values).tolist() == [-3.0, 3.0, -3.0, 3.0]
+
+
+def test_features_of_wanted_days_only(spark):
+    observed = days_apart(spark, 400, {"A": 20, "B": 50, "C": 1})
+    runs = series.daily_runs(observed)
+    some = series.daily_features(series.only_days(runs, lambda date: F.dayofmonth(date) % 7 == 3))
+    want = series.daily_features(runs).where(F.dayofmonth("date") % 7 == 3)
+    assert some.columns == want.columns
+    assert sorted(map(repr, some.collect())) == sorted(map(repr, want.collect())) and some.count() > 50
+
+
+def test_a_sampled_panel_works_out_the_days_it_takes(spark, monkeypatch):
+    panel = series.daily_runs(days_apart(spark, 400, {"A": 20, "B": 50}))
+    scale, seen, plain = forecast.scales(panel), [], series.daily_features
+    monkeypatch.setattr(series, "daily_features", lambda p: seen.append(plain(p).count()) or plain(p))
+    sizes = {f: 1 for f in range(4)}, {r.fit: r.n for r in scale.groupBy("fit").agg(F.sum("rows").alias("n")).collect()}
+    whole = forecast.training_bags(panel, scale, *sizes)
+    monkeypatch.setattr(forecast, "BAG_ROWS", 100)
+    taken = forecast.training_bags(panel, scale, *sizes)
+    assert seen[0] > 700 and taken.where("fit = 3").count() <= seen[1] < 200
+    key = ["fit", *series.FEATURES, "target"]
+    assert taken.select(key).exceptAll(whole.select(key)).isEmpty()
+    assert 50 < taken.where("fit = 3").count() < 160
