@@ -436,3 +436,14 @@ def test_a_sampled_panel_works_out_the_days_it_takes(spark, monkeypatch):
     key = ["fit", *series.FEATURES, "target"]
     assert taken.select(key).exceptAll(whole.select(key)).isEmpty()
     assert 50 < taken.where("fit = 3").count() < 160
+
+
+def test_trees_are_fitted_on_no_more_partitions_than_cores(spark, monkeypatch):
+    seen, rows = [], spark.createDataFrame([(float(i % 7), float(i)) for i in range(80)], "a double, quantity double")
+    monkeypatch.setattr(models, "_fit", lambda name, kind, estimator, train, features: seen.append(
+        (train.rdd.getNumPartitions(), train.count())) or models.Trained(None, {}))
+    monkeypatch.setattr(models, "_with_importance", lambda out, train, features: out)
+    train = models.assemble(rows.repartition(40), ["a"])
+    for fit in (models.train_forest, models.train_bagged, models.train_boosted):
+        fit(train, ["a"])
+    assert seen == [(spark.sparkContext.defaultParallelism, 80)] * 3
